@@ -107,9 +107,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of the maximal runs of bytes other than space and \\t..\\r."""
-    solid = ~_SPACE[data]
+#: Bytes that part tokens where punctuation does not count: ASCII other than letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the maximal runs of bytes not in gap (space and \\t..\\r)."""
+    solid = ~gap[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = solid
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -125,22 +129,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, rows
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z only) words of each row, and each word's row number.
 
     A row longer than the slice is cut at white space, so that memory stays bounded.
     """
     if len(data) <= 2 * SLICE_BYTES:
-        starts, ends, rows = word_spans(data, offsets)
+        starts, ends, rows = word_spans(data, offsets, gap)
         return span_hashes(data, starts, ends, lower=True), rows
     assert len(offsets) == 2
     hashes, at = [], 0
     while at < len(data):
         end = min(len(data), at + SLICE_BYTES)
-        while end < len(data) and not _SPACE[data[end]]:
+        while end < len(data) and not gap[data[end]]:
             end += 1
         part = data[at:end]
-        starts, ends, _ = word_spans(part, np.array([0, len(part)]))
+        starts, ends, _ = word_spans(part, np.array([0, len(part)]), gap)
         hashes.append(span_hashes(part, starts, ends, lower=True))
         at = end
     h = np.concatenate(hashes)

@@ -9,7 +9,8 @@ many documents share does not bring them all together. Each meeting shingle name
 of classes; groups with the same members are united into one tile. Within a tile, classes
 are sorted by size and compared only inside the size band that t allows; parity bitmaps of
 hashed shingles bound the overlap from above (the sets differ in at least as many shingles
-as their bitmaps do in bits), and only pairs that pass meet as sorted arrays, exactly.
+as their bitmaps do in bits). The connected parts of what is left are the final tiles; each
+set travels to one tile, where only pairs that pass the bound meet as sorted arrays, exactly.
 
 Null and empty texts have an empty set and no links. Rows that repeat a doc_id keep a row
 each. A row with a null doc_id gets a class, but cannot name a component.
@@ -101,7 +102,7 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, t: Fraction, at_le
 
 
 def signed_classes(docs: DataFrame, key: str, text: str, width: int, t: Fraction, frequent) -> DataFrame:
-    """key, set size, class, and the packed prefix of each document's set."""
+    """key, set size, class, packed prefix and parity bitmap of each document's set."""
 
     def sign(batches):
         hot = frequent.value
@@ -116,7 +117,7 @@ def signed_classes(docs: DataFrame, key: str, text: str, width: int, t: Fraction
                     is_hot = hot[at] == h
                 else:
                     is_hot = np.zeros(len(h), bool)
-                ids, prefixes = np.zeros(len(n), np.int64), []
+                ids, prefixes, maps = np.zeros(len(n), np.int64), [], []
                 for i, (a, e) in enumerate(zip(off[:-1], off[1:], strict=True)):
                     s = h[a:e]
                     ids[i] = _class_id(s) if len(s) else 0
@@ -125,9 +126,10 @@ def signed_classes(docs: DataFrame, key: str, text: str, width: int, t: Fraction
                     if len(cold) < larger[i] and e > a:
                         cold = np.concatenate([cold, s[f][: larger[i] - len(cold)]])
                     prefixes.append(cold.tobytes() if e > a else b"")
-                yield pa.RecordBatch.from_arrays([keys.slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(ids), pa.array(prefixes, pa.binary())], ["key", "n", "cls", "prefix"])
+                    maps.append(parity_bitmap(s).tobytes() if e > a else b"")
+                yield pa.RecordBatch.from_arrays([keys.slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(ids), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())], ["key", "n", "cls", "prefix", "bitmap"])
 
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(sign, "key long, n long, cls long, prefix binary")
+    return docs.select(F.col(key).alias("key"), text).mapInArrow(sign, "key long, n long, cls long, prefix binary, bitmap binary")
 
 
 def shared_groups(classes: DataFrame, t: Fraction) -> DataFrame:
@@ -191,9 +193,56 @@ def shared_groups(classes: DataFrame, t: Fraction) -> DataFrame:
     return posted.repartition("h").mapInArrow(gather, "tile long, cls long, n long").dropDuplicates(["tile", "cls"])
 
 
-def parity_bitmap(s: np.ndarray, bits: int) -> np.ndarray:
-    odd = np.bincount((C.mix64(s) >> U64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(bool)).view(np.uint64)
+def parity_bitmap(s: np.ndarray) -> np.ndarray:
+    """Bit k says whether an odd number of shingles hash to k; half to one bit a shingle, 64 at least."""
+    bits = max(64, 1 << (max(len(s) - 1, 1).bit_length() - 1))
+    odd = np.bincount((C.mix64(s) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(U64)
+
+
+class Band:
+    """Sets in size order, with the bit counts that bound their overlaps from above.
+
+    Bitmaps of two lengths meet at the shorter one: the longer is folded by xor, which
+    again gives parities.
+    """
+
+    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], t: Fraction):
+        self.order = np.argsort(sizes, kind="stable")
+        self.size, self.t = sizes[self.order], t
+        self.width = np.array([len(bitmaps[i]) for i in self.order])
+        self.maps: dict[int, tuple[int, np.ndarray]] = {}
+        for w in np.unique(self.width):
+            a, e = np.searchsorted(self.width, w), np.searchsorted(self.width, 2 * w, side="right")
+            rows = [bitmaps[i] for i in self.order[a:e]]
+            self.maps[int(w)] = int(a), np.stack([r if len(r) == w else np.bitwise_xor.reduce(r.reshape(-1, w), axis=0) for r in rows])
+
+    def partners(self, x: int, apart: np.ndarray) -> np.ndarray:
+        """Places after x whose sets may have the overlap that t asks for, among those marked in apart."""
+        p, q = self.t.numerator, self.t.denominator
+        end = int(np.searchsorted(self.size * p, self.size[x] * q, side="right"))
+        ys = x + 1 + np.flatnonzero(apart[x + 1 : end])
+        if len(ys):
+            first, rows = self.maps[int(self.width[x])]
+            differ = np.bitwise_count(rows[ys - first] ^ rows[x - first]).sum(axis=1, dtype=np.int64)
+            total = self.size[ys] + self.size[x]
+            ys = ys[(total - differ) // 2 >= -(-(total * p) // (p + q))]
+        return ys
+
+
+def candidate_stars(ids: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
+    """What the bit counts leave of a tile: each connected part, as a star around its least id."""
+    band = Band(sizes, bitmaps, t)
+    root = np.arange(len(ids))
+    for x in range(len(ids)):
+        for y in band.partners(x, root != root[x]):
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+    ids, found = ids[band.order], []
+    for r in np.unique(root):
+        part = ids[root == r]
+        found += [(int(i), int(part.min())) for i in part if i != part.min()]
+    return found
 
 
 def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], t: Fraction, left: int | None = None) -> list[tuple[int, int]]:
@@ -202,75 +251,80 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], t: Fraction, left: int
     Sets are visited in size order; those outside the band are never compared. With
     ``left``, only pairs of one of the first ``left`` sets with one of the rest count.
     """
-    size = np.array([len(s) for s in sets])
-    side = np.arange(len(sets)) < (left if left is not None else 0)
-    order = np.argsort(size, kind="stable")
-    size, side = size[order], side[order]
-    bits = max(64, 1 << int(size.max() - 1).bit_length() - 1) if len(sets) > 2 else 0
-    maps = np.stack([parity_bitmap(sets[i], bits) for i in order]) if bits else None
-    root = np.arange(len(sets))
-    found = []
+    band = Band(np.array([len(s) for s in sets]), [parity_bitmap(s) for s in sets], t)
+    side = band.order < (left if left is not None else 0)
+    root, found = np.arange(len(sets)), []
     for x in range(len(sets)):
-        end = int(np.searchsorted(size * t.numerator, size[x] * t.denominator, side="right"))
-        ys = np.arange(x + 1, end)
-        ys = ys[root[ys] != root[x]]
-        if left is not None:
-            ys = ys[side[ys] != side[x]]
-        if len(ys) and bits:
-            differ = np.bitwise_count(maps[ys] ^ maps[x]).sum(axis=1)
-            total = size[ys] + size[x]
-            need = -(-(total * t.numerator) // (t.numerator + t.denominator))
-            ys = ys[(total - differ) // 2 >= need]
-        for y in ys:
+        for y in band.partners(x, (root != root[x]) & (side != side[x] if left is not None else True)):
             if root[y] == root[x]:
                 continue
-            a, b = sets[order[x]], sets[order[y]]
+            a, b = sets[band.order[x]], sets[band.order[y]]
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
             both = int((b[at] == a).sum())
             if both * t.denominator >= (len(a) + len(b) - both) * t.numerator:
-                found.append((int(ids[order[x]]), int(ids[order[y]])))
+                found.append((int(ids[band.order[x]]), int(ids[band.order[y]])))
                 root[root == root[y]] = root[x]
     return found
 
 
-def tile_links(tiles: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): links between classes, found tile by tile from (tile, cls) and (cls, items)."""
+def _by_tile(batches, n_keys: int, compare):
+    """Run compare(key, columns) over runs of rows with equal first n_keys columns; yield its pairs."""
+    key, held = None, []
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    for b in batches:
+        found = []
+        columns = [c.to_pylist() for c in b.columns]
+        for row in zip(*columns, strict=True):
+            if row[:n_keys] != key:
+                if len(held) > 1:
+                    found += compare(key, held)
+                key, held = row[:n_keys], []
+            held.append(row[n_keys:])
+        if found:
+            yield batch(found)
+    if len(held) > 1 and (found := compare(key, held)):
+        yield batch(found)
+
+
+def dealt_in_blocks(tiles: DataFrame) -> DataFrame:
+    """tile, lo, hi, is_lo, cls: tiles of over TILE_ROWS rows become pairs of blocks, others one pair (0, 0)."""
     counted = tiles.groupBy("tile").agg(F.count("*").alias("members"))
-    large = counted.where(F.col("members") > TILE_ROWS).withColumn("blocks", F.ceil(F.col("members") / (TILE_ROWS // 2)).cast("int"))
+    large = counted.where(F.col("members") > TILE_ROWS).withColumn("blocks", F.ceil(F.col("members") / (TILE_ROWS // 2)).cast("int")).drop("members")
     placed = tiles.join(large, "tile", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("blocks")), F.lit(0)).cast("int"))
-    # a block meets every block of its tile: as the left side of pairs with those after it
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.withColumn("other", other).select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("is_lo"), "cls")
-    joined = dealt.join(sets, "cls")
+    return placed.withColumn("other", other).select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("is_lo"), "cls")
 
-    def compare(batches):
-        key, ids, items, low = None, [], [], []
 
-        def out():
-            if len(ids) < 2:
-                return []
-            if key[1] == key[2]:
-                return linked_pairs(np.array(ids), items, t)
-            order = sorted(range(len(ids)), key=lambda i: not low[i])
-            return linked_pairs(np.array(ids)[order], [items[i] for i in order], t, left=sum(low))
+def candidate_parts(tiles: DataFrame, bitmaps: DataFrame, t: Fraction) -> DataFrame:
+    """(tile, cls): connected parts of what the bit counts leave of all tiles; every class at most once."""
 
-        for b in batches:
-            found = []
-            for k, i, lo, s in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), b.column(4).to_pylist(), b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True):
-                if k != key:
-                    found += out()
-                    key, ids, items, low = k, [], [], []
-                ids.append(i)
-                low.append(lo)
-                items.append(np.frombuffer(s, U64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
-        if found := out():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+    def compare(_, rows):
+        ids = np.array([r[0] for r in rows])
+        return candidate_stars(ids, np.array([r[1] for r in rows]), [np.frombuffer(r[2], U64) for r in rows], t)
+
+    joined = dealt_in_blocks(tiles).join(bitmaps, "cls").select("tile", "lo", "hi", "cls", "n", "bitmap")
+    spread = joined.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi", "cls")
+    stars = spread.mapInArrow(lambda it: _by_tile(it, 3, compare), "a long, b long")
+    parts = connected_components(stars)
+    return parts.select(F.col("component").alias("tile"), F.col("node").alias("cls"))
+
+
+def tile_links(tiles: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): links between classes, found tile by tile from (tile, cls) and (cls, items)."""
+
+    def compare(key, rows):
+        if key[1] != key[2]:
+            rows = sorted(rows, key=lambda r: not r[0])
+        items = [np.frombuffer(r[2], U64) for r in rows]
+        return linked_pairs(np.array([r[1] for r in rows]), items, t, None if key[1] == key[2] else sum(r[0] for r in rows))
 
+    joined = dealt_in_blocks(tiles).join(sets, "cls").select("tile", "lo", "hi", "is_lo", "cls", "items")
     spread = joined.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi", "cls")
-    return spread.select("tile", "lo", "hi", "is_lo", "cls", "items").mapInArrow(compare, "a long, b long").dropDuplicates()
+    return spread.mapInArrow(lambda it: _by_tile(it, 3, compare), "a long, b long").dropDuplicates()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, threshold: tuple[int, int] = (85, 100), frequent_from: int = 64) -> DataFrame:
@@ -280,10 +334,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, "_text", width, t, frequent_from))
     signed = C.materialize(signed_classes(docs, "_key", "_text", width, t, frequent), "jaccard-sets")
-    tiles = C.materialize(shared_groups(signed, t), "jaccard-tiles")
+    groups = C.materialize(shared_groups(signed, t).select("tile", "cls"), "jaccard-groups")
+    bitmaps = signed.join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    tiles = C.materialize(candidate_parts(groups, bitmaps, t), "jaccard-tiles")
 
-    wanted = tiles.select("cls").distinct()
-    owners = signed.select("key", "cls").join(wanted, "cls", "left_semi").where("key is not null").groupBy("cls").agg(F.min("key").alias("key"))
+    owners = signed.select("key", "cls").join(tiles, "cls", "left_semi").where("key is not null").groupBy("cls").agg(F.min("key").alias("key"))
     owners = C.materialize(owners, "jaccard-owners")
     some = spark.sparkContext.broadcast(C.take_bits(spark, owners, "key"))
 
