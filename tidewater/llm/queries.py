@@ -11,16 +11,44 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.decontaminate import contaminated
+
+    return contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.packing import pack
+
+    return pack(_docs(spark, sf_dir))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.jaccard_join import jaccard_components
 
     return jaccard_components(_docs(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_docs(spark, sf_dir)).selectExpr("doc_id", "text", "cast(__n_lines as long) as n_lines", "cast(__n_removed as long) as n_removed")
+
+
+def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.sharding import shard_documents
+
+    return shard_documents(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_benchmark_decontamination,
+        op6_best_fit_packing,
         op8_ngram_jaccard_join,
+        op9_line_dedup,
+        op10_balanced_sharding,
     )
 }
 ORACLES: dict[str, str] = {}
