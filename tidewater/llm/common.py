@@ -44,6 +44,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
     A run holds at most ``limit`` bytes, or one longer row. Null counts as empty. The
     bytes are a view of Arrow's buffer; offsets has end - first + 1 entries from 0.
     """
+    base = 0
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         n = len(chunk)
         if not n:
@@ -61,8 +62,9 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         while first < n:
             end = int(np.searchsorted(off, off[first] + limit, side="right")) - 1
             end = min(n, max(end, first + 1))
-            yield first, end, raw[off[first] : off[end]], off[first : end + 1] - off[first]
+            yield base + first, base + end, raw[off[first] : off[end]], off[first : end + 1] - off[first]
             first = end
+        base += n
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

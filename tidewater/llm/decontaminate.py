@@ -108,17 +108,23 @@ class Block:
         return [(int(row[i]), int(item[i]), int(equal[i]), int(length[i]), int(begin[i] - begins[row[i]])) for i in np.flatnonzero(held)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_equal, n_tokens, token (place of the item in the document, may be negative)."""
-    spark = docs.sparkSession
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_key: str, item_text: str):
+    """Broadcasts of the benchmark's blocks; each has about BLOCK_TOKENS tokens at most."""
     items = benchmark.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null and id is not null")
     size = items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
     n_blocks = int(size // BLOCK_TOKENS) + 1
-    schema = "doc_id long, item_id long, n_equal int, n_tokens int, token int"
-    out = None
     for k in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).toArrow()
-        block = spark.sparkContext.broadcast(Block(part.column(0).to_pylist(), part.column(1).combine_chunks() if part.num_rows else pa.array([], pa.string())))
+        yield docs.sparkSession.sparkContext.broadcast(Block(part.column(0).to_pylist(), part.column(1)))
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_equal", pa.int32()), ("n_tokens", pa.int32()), ("token", pa.int32())])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, n_equal, n_tokens, token (place of the item in the document, may be negative)."""
+    out = None
+    for block in _blocks(docs, benchmark, item_key, item_text):
 
         def search(batches, block=block):
             for b in batches:
@@ -127,9 +133,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                     words, rows = C.words_of(data, offsets, C.MARKS)
                     found += [(ids[first + r].as_py(), int(block.value.ids[i]), e, n, p) for r, i, e, n, p in block.value.overlaps(words, rows, end - first)]
                 if found:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "n_equal", "n_tokens", "token"), x, strict=True)) for x in found], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_equal", pa.int32()), ("n_tokens", pa.int32()), ("token", pa.int32())]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
-        found = docs.select(F.col(key).cast("long"), text).mapInArrow(search, schema)
-        out = found if out is None else out.union(found)
+        hits = docs.select(F.col(key).cast("long"), text).mapInArrow(search, "doc_id long, item_id long, n_equal int, n_tokens int, token int")
+        out = hits if out is None else out.union(hits)
     best = F.max(F.struct("n_equal", F.negative("token").alias("t"), "n_tokens"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", "b.n_tokens", F.negative("b.t").alias("token"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no benchmark item; no shuffle, and no need of a key."""
+    at = docs.columns.index(text)
+    for block in _blocks(docs, benchmark, item_key, item_text):
+
+        def keep(batches, block=block):
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for first, end, data, offsets in C.text_slices(b.column(at)):
+                    words, rows = C.words_of(data, offsets, C.MARKS)
+                    for hit in block.value.overlaps(words, rows, end - first):
+                        clean[first + hit[0]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
