@@ -11,6 +11,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.language_id import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.decontaminate import contaminated
 
@@ -29,6 +35,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.jaccard_join import jaccard_components
 
@@ -50,9 +62,11 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_language_id,
         op4_benchmark_decontamination,
         op5_toxicity,
         op6_best_fit_packing,
+        op7_nearest_neighbours,
         op8_ngram_jaccard_join,
         op9_line_dedup,
         op10_balanced_sharding,

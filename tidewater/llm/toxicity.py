@@ -20,9 +20,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard as Z
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.holdout import held_out
+
 THRESHOLD = 0.3
 TRAIN_DOCUMENTS, TRAIN_BYTES = 6000, 65_536
 DICTIONARY_BYTES, LEVEL, MIN_GAIN = 4096, 7, 3
@@ -33,11 +35,6 @@ _PAD = b"\0" * 12
 _FEATURES = 5
 
 
-def held_out(key: Column) -> Column:
-    """Whether a document's labels may not be learned from."""
-    return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
-
-
 def train_dictionary(words: list[tuple[str, int]], size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary of the words, those with more contexts weighing more."""
     samples = [f" {w}".encode() for w, n in words for _ in range(min(n, 20))]
