@@ -11,6 +11,19 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.pii import digest, find_pii
+
+    return digest(find_pii(_docs(spark, sf_dir)))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after personal data is replaced; the edits touch few leaves."""
+    from tidewater.llm.token_counts import apply_edits, build_index, redactions
+
+    return apply_edits(redactions(build_index(_docs(spark, sf_dir).select("doc_id", "text"))))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.language_id import identify
 
@@ -62,6 +75,8 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pii,
+        op2_token_counts,
         op3_language_id,
         op4_benchmark_decontamination,
         op5_toxicity,
