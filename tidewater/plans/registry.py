@@ -20,3 +20,10 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from tidewater.plans import aggregations, functions, joins, storage, windows  # noqa: E402, F401  registers them
