@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 Lines are hashed; a rolling hash over the last WINDOW line hashes cuts the text into chunks,
-so that an insertion shifts boundaries only near itself. A line of LONG_WORDS words or more
+so that an insertion shifts boundaries only near itself; chunks of one line are joined to the
+next, which a few lines further on makes no difference either. A line of LONG_WORDS words or more
 is a chunk by itself, cut off on both sides, since it is a passage of its own. A chunk counts
 if it is such a line, or several lines with MIN_WORDS words in all; single short lines stay.
 Chunks whose hash occurs again anywhere are compared byte by byte (they are grouped by their
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from tidewater.llm import common as C
 
 U64 = C.U64
-WINDOW, DIVISOR = 2, 3
-LONG_WORDS, MIN_WORDS = 40, 20
+WINDOW, DIVISOR = 2, 2
+LONG_WORDS, MIN_WORDS = 25, 12
 _NEWLINE = 10
 
 
@@ -58,10 +59,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         before[k:] = h[:-k]
         rolled += np.where(inside, before, U64(0)) * U64(0x9FB21C651E98DF25 + 2 * k)
     long = words >= LONG_WORDS
-    cut = (C.mix64(rolled) % U64(DIVISOR) == 0) | long
-    cut[:-1] |= long[1:] | (rows[1:] != rows[:-1])
-    cut[-1:] = True
-    last = np.flatnonzero(cut)
+    forced = long.copy()
+    forced[:-1] |= long[1:] | (rows[1:] != rows[:-1])
+    forced[-1:] = True
+    last, before = [], -1
+    for at, must in zip(*((c := np.flatnonzero((C.mix64(rolled) % U64(DIVISOR) == 0) | forced)).tolist(), forced[c].tolist()), strict=True):
+        if must or at - before > 1:  # a hash alone does not make a chunk of one line
+            last.append(at)
+            before = at
+    last = np.array(last, dtype=np.int64)
     first = np.concatenate([[0], last[:-1] + 1])
     total = np.concatenate([[0], np.cumsum(words)])
     n_words = total[last + 1] - total[first]
