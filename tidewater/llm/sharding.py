@@ -3,7 +3,7 @@
 Documents that share a hub are linked; here a hub is a text, so equal texts are neighbours.
 A hub that is larger than a shard is split into parts that fit one. In each round every hub
 part counts its documents by shard (a join and a combining aggregate, so a hub with a third
-of all rows is no burden), prefers the shard where most of them are among those with room,
+of all rows is no burden), prefers the shard where most of them are among those with room for all,
 and its other documents ask to move there. A shard grants requests, in an order by hash, up
 to its quota. Documents without links take no part: at the end they fill the room that is
 left, and surplus over a quota goes there too, so that shards differ by one row at most
@@ -46,9 +46,10 @@ def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) ->
         votes = C.materialize(linked.groupBy("hub", "shard").agg(F.count("*").alias("n")), "votes")
         now = {s: 0 for s in quota} | {r["shard"]: r["n"] for r in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = {s: max(0, quota[s] - now[s]) for s in quota}
-        wish = F.max(F.struct((_by_shard(room, F.col("shard")) > 0).cast("int").alias("open"), "n", F.negative("shard").alias("s")))
-        whole = F.max("n") == F.sum("n")  # a hub that is together stays
-        target = votes.groupBy("hub").agg(wish.alias("w"), whole.alias("whole")).where("not whole").select("hub", F.negative("w.s").alias("to"))
+        held = votes.groupBy("hub").agg(F.collect_list(F.struct("shard", "n")).alias("held"), F.sum("n").alias("all"))  # a row a shard at most
+        fits = lambda x: (_by_shard(room, x["shard"]) + x["n"] >= F.col("all")).cast("int")
+        best = F.array_max(F.transform("held", lambda x: F.struct(fits(x).alias("fits"), x["n"].alias("n"), F.negative(x["shard"]).alias("s"))))
+        target = held.where(F.size("held") > 1).select("hub", F.negative(best["s"]).alias("to"))  # a hub that is together stays
         asks = C.materialize(votes.join(target, "hub").where("shard <> to").withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(BUCKETS))), "asks")
         leaving = {r["shard"]: r["n"] for r in asks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         if not leaving:
@@ -81,8 +82,9 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     placed = C.materialize(ranked(linked, ["shard"], scattered), "ranks")
     keep = F.col("__rank") < _by_shard(quota, F.col("shard"))
     kept = {s: 0 for s in quota} | {r["shard"]: r["n"] for r in placed.where(keep).groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    rest = placed.where(~keep).select("rid").union(rows.where("hub is null").select("rid")).withColumn("all", F.lit(0))
-    rest = ranked(rest, ["all"], F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(4 * BUCKETS)))
+    # surplus first, hub by hub, so that it stays together where it goes; then documents without links
+    rest = placed.where(~keep).select("rid", "hub").union(rows.where("hub is null").select("rid", "hub")).withColumn("all", F.lit(0))
+    rest = ranked(rest, ["all"], F.when(F.col("hub").isNotNull(), scattered).otherwise(BUCKETS + F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(3 * BUCKETS))))
     begins, at = {}, 0
     for s in range(shards):
         begins[s] = at
