@@ -28,10 +28,10 @@ def agg_author_daily_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("agg_weighted_mean_days", """
 WITH d AS (SELECT user_id, ts::DATE AS day, avg(value) AS v, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT user_id, round(sum(v * n) / sum(n), 6) AS v, sum(n)::BIGINT AS n FROM d GROUP BY 1""")
+SELECT user_id, round(sum(v * n) / sum(n), 9) AS v, sum(n)::BIGINT AS n FROM d GROUP BY 1""")
 def agg_weighted_mean_days(spark, sf):
     d = table(spark, sf, "events").groupBy("user_id", _day().alias("day")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
-    return A.weighted_mean(d, ["user_id"], ["v"], "n").withColumn("v", F.round("v", 6))
+    return A.weighted_mean(d, ["user_id"], ["v"], "n").withColumn("v", F.round("v", 9))
 
 
 @register("agg_threshold_having", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 65")

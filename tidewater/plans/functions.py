@@ -75,7 +75,7 @@ def fn_join_month(spark, sf):
 
 _POSTS = """p AS (SELECT event_id AS uri, user_id AS author, value, CASE WHEN event_id % 3 = 0 THEN floor(value * 10)::BIGINT END AS likes, CASE WHEN event_id % 3 = 1 THEN value / 100 END AS sim, ts,
  CASE WHEN event_id % 5 <> 0 THEN (event_id % 97) / 97.0 END AS tox, CASE WHEN event_id % 7 <> 0 THEN (event_id % 89) / 89.0 END AS con, (event_id % 83) / 83.0 AS rea, event_id % 4 <> 0 AS soc FROM events),
-q AS (SELECT *, least(round((epoch(date_trunc('second', TIMESTAMP '2024-01-31 00:00:00')) - epoch(date_trunc('second', ts))) / 3600, 2), 720.0) AS age, user_id IS NOT NULL AS is_super
+q AS (SELECT *, least(floor(((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(date_trunc('second', ts))) * 100 + 1800) / 3600) / 100, 720.0) AS age, user_id IS NOT NULL AS is_super
  FROM p LEFT JOIN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 70) ON author = user_id),
 r AS (SELECT *, ln(1 + coalesce(likes::DOUBLE, sim * 100, 80)) AS likeability, greatest(0.0, 3.0 - age * (3.0 / 720)) AS fresh,
  (CASE WHEN soc AND tox + coalesce(con, rea) > 0 THEN (tox * 0.965 + coalesce(con, rea) * 1.02) / (tox + coalesce(con, rea)) ELSE 1 END) * (CASE WHEN is_super THEN 0.95 ELSE 1 END) AS mult FROM q)"""
@@ -100,7 +100,7 @@ def fn_post_scores(spark, sf):
 
 
 @register("fn_freshness_exponential", """
-SELECT event_id, round(3.0 * pow(1.0 * (1 - 3.0 / 24) * 0.95, least(round((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(date_trunc('second', ts))) / 3600, 2), 24.0)), 9) AS fresh FROM events""")
+SELECT event_id, round(3.0 * pow(1.0 * (1 - 3.0 / 24) * 0.95, least(floor(((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(date_trunc('second', ts))) * 100 + 1800) / 3600) / 100, 24.0)), 9) AS fresh FROM events""")
 def fn_freshness_exponential(spark, sf):
     age = S.age_hours(F.lit("2024-01-31 00:00:00").cast("timestamp"), F.col("ts").cast("timestamp"))
     return table(spark, sf, "events").select("event_id", F.round(S.exponential_freshness(age), 9).alias("fresh"))

@@ -85,7 +85,7 @@ SELECT route, count(*) AS n FROM r GROUP BY 1""")
 def stream_route_batch(spark, sf):
     root = scratch_path(spark, "stream")
     _messages(spark, sf, f"{root}/in")
-    people = spark.range(0, 1000).select(F.concat(F.lit("did:"), F.col("id").cast("string")).alias("did"), "id")
+    people = table(spark, sf, "customer").select(F.concat(F.lit("did:"), F.col("c_custkey").cast("string")).alias("did"), F.col("c_custkey").alias("id"))
     q = I.route_stream(I.read_lines(spark, f"{root}/in"), people.where("id % 5 = 0").select("did"), people.where("id % 3 = 0").select("did"), f"{root}/posts", f"{root}/out", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").groupBy("route").agg(F.count("*").alias("n"))
