@@ -98,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return {}
     share = F.when(F.col("y") == 1, bound / n[1]).otherwise(bound / n[0])
     known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30) < share)
-    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where((F.octet_length("t") <= TRAIN_BYTES)).join(known, "k").dropDuplicates(["t", "y"])
+    # known has about 2 * bound rows at most, so it goes to the documents, not they to it
+    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where((F.octet_length("t") <= TRAIN_BYTES)).join(F.broadcast(known), "k").dropDuplicates(["t", "y"])
     sample = sample.persist()
     words = F.split(F.lower("t"), r"[ \t-\r]+")
     pairs = sample.select("y", words.alias("w")).select("y", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("before"), F.col("w").alias("word"))).alias("p"))
