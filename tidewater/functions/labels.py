@@ -58,3 +58,24 @@ def multi_label(probabilities: dict[str, Column], threshold: float = THRESHOLD,
 
 def valid_binary(c: Column) -> Column:
     return c.isin(0, 1)
+
+
+#: Names of engaged records in metric names (fixed values).
+ENGAGED = {"like": "liked_posts", "post": "posted_posts", "repost": "reposted_posts", "reply": "replied_posts"}
+
+
+def engagement_metrics(record_type: str | Column, labels: dict[str, str] = LABELS, kinds: dict[str, str] = ENGAGED) -> list[Column]:
+    """Two aggregates for every label and record type, in one pass: no pivot, one row a group."""
+    kind = F.col(record_type) if isinstance(record_type, str) else record_type
+    out = []
+    for value, name in kinds.items():
+        for label, what in labels.items():
+            c, short = F.when(kind == value, F.col(label)), label.removeprefix("prob_")
+            out += [average(c).alias(f"engagement_average_{name}_{short}"), proportion(c, what).alias(f"engagement_proportion_{name}_{short}")]
+    return out
+
+
+def metric_columns(columns: list[str], metric: str, name: str) -> list[str]:
+    """Columns of a metric type that end in exactly this label (moral does not match moral_outrage)."""
+    longer = [k.removeprefix("prob_") for k in LABELS if k.removeprefix("prob_") != name and k.removeprefix("prob_").endswith(f"_{name}")]
+    return [c for c in columns if f"_{metric}_" in f"_{c}" and c.endswith(f"_{name}") and not any(c.endswith(f"_{x}") for x in longer)]
