@@ -87,4 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_balanced_sharding,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
+s AS (SELECT doc_id, len(gs)::BIGINT AS n, unnest(gs) AS g FROM g),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM g UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id WHERE r.root < l.y)
+SELECT g.doc_id, len(gs)::BIGINT AS n_shingles, c.component_id FROM g JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) c ON g.doc_id = c.doc_id""",
+}
