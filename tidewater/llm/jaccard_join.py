@@ -13,7 +13,7 @@ as their bitmaps do in bits). The connected parts of what is left are the final
 set travels to one tile, where only pairs that pass the bound meet as sorted arrays, exactly.
 
 Null and empty texts have an empty set and no links. Rows that repeat a doc_id keep a row
-each. A row with a null doc_id gets a class, but cannot name a component.
+each. A row with a null doc_id takes part only through rows with equal sets, and cannot name a component.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from tidewater.llm.components import connected_components
 
 U64 = C.U64
 #: Classes of a tile that one task compares; a larger tile is dealt out as pairs of blocks.
-TILE_ROWS = 4096
+TILE_ROWS = 1024
 #: Frequent shingles known to every task: 8 MB at most; past that only the most frequent.
 #: They only set the order of shingles, so any choice of them gives the same links.
 MAX_FREQUENT = 1 << 20
@@ -294,6 +294,7 @@ def dealt_in_blocks(tiles: DataFrame) -> DataFrame:
     """tile, lo, hi, is_lo, cls: tiles of over TILE_ROWS rows become pairs of blocks, others one pair (0, 0)."""
     counted = tiles.groupBy("tile").agg(F.count("*").alias("members"))
     large = counted.where(F.col("members") > TILE_ROWS).withColumn("blocks", F.ceil(F.col("members") / (TILE_ROWS // 2)).cast("int")).drop("members")
+    large = C.materialize(large, "large-tiles")  # apart from its join, so that Spark can split what is skewed there
     placed = tiles.join(large, "tile", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("blocks")), F.lit(0)).cast("int"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.withColumn("other", other).select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("is_lo"), "cls")
@@ -335,10 +336,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, "_text", width, t, frequent_from))
     signed = C.materialize(signed_classes(docs, "_key", "_text", width, t, frequent), "jaccard-sets")
     groups = C.materialize(shared_groups(signed, t).select("tile", "cls"), "jaccard-groups")
-    bitmaps = signed.join(groups.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    tiles = C.materialize(candidate_parts(groups, bitmaps, t), "jaccard-tiles")
+    # one row a class, combined before the shuffle however many copies there are
+    classes = signed.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    classes = C.materialize(classes, "jaccard-classes")
+    tiles = C.materialize(candidate_parts(groups, classes.select("cls", "n", "bitmap"), t), "jaccard-tiles")
 
-    owners = signed.select("key", "cls").join(tiles, "cls", "left_semi").where("key is not null").groupBy("cls").agg(F.min("key").alias("key"))
+    owners = classes.where("key is not null").select("cls", "key").join(tiles, "cls", "left_semi")
     owners = C.materialize(owners, "jaccard-owners")
     some = spark.sparkContext.broadcast(C.take_bits(spark, owners, "key"))
 
@@ -358,9 +361,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     groups = connected_components(links)
 
     # smallest document of each class, then of each group of classes
-    least = signed.where("n > 0").groupBy("cls").agg(F.min("key").alias("least"))
+    least = classes.select("cls", F.col("key").alias("least"))
     least = least.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
     in_group = least.groupBy("grp").agg(F.min("least").alias("component_id"))
-    by_class = C.materialize(least.join(in_group, "grp").select("cls", "component_id"), "jaccard-classes")
+    by_class = C.materialize(least.join(in_group, "grp").select("cls", "component_id"), "jaccard-components")
     out = signed.select("key", "n", "cls").join(by_class, "cls", "left")
     return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
