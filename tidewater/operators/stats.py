@@ -8,15 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_ranks(df: DataFrame, column: str, alias: str, by: list[str] | None = None) -> DataFrame:
-    """df with the rank of the column, ties sharing their mean rank.
+#: Ranges of values that are ranked apart.
+BUCKETS = 64
 
-    Ranks come from counts by value, so equal values never meet in one task.
+
+def average_ranks(df: DataFrame, column: str, alias: str, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """df with the rank of a numeric column, ties sharing their mean rank.
+
+    Ranks come from counts by value, so equal values never meet in one task, and values are
+    ranked within ranges cut at approximate quantiles, so all values do not meet either.
     """
     by = by or []
     counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn(alias, F.sum("__n").over(w) - (F.col("__n") - 1) / 2).drop("__n")
+    cuts = counts.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 1000).alias("__cuts"))
+    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(column)))).drop("__cuts")
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # buckets rows a group
+    ranges = placed.groupBy(*by, "__range").agg(F.sum("__n").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    w = Window.partitionBy(*by, "__range").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = placed.withColumn("__upto", F.sum("__n").over(w)).join(ranges, [*by, "__range"])
+    ranks = ranks.select(*by, column, (F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(alias))
     return df.join(ranks, [*by, column])
 
 

@@ -25,12 +25,16 @@ def latest(df: DataFrame, key: str | list[str], ts: str, *tie_break: str, since:
 def top_share(df: DataFrame, key: str, share: float) -> DataFrame:
     """The most frequent keys, as many as share of all: key, n, place and total.
 
-    Counting combines before its shuffle; the ranking is over one row a key.
+    Keys are first ranked by classes of equal counts, of which there are few; only the classes
+    that reach into the share are then ranked within, each in its own task.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.count("*").alias("total"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), key))).crossJoin(F.broadcast(total))
-    return ranked.where(F.col("place") <= F.floor(F.col("total") * share))
+    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    classes = counts.groupBy("n").agg(F.count("*").alias("__keys")).withColumn("__upto", F.sum("__keys").over(upto))
+    total = classes.agg(F.sum("__keys").alias("total"))
+    reach = classes.crossJoin(F.broadcast(total)).where(F.col("__upto") - F.col("__keys") < F.floor(F.col("total") * share))
+    ranked = counts.join(reach, "n").withColumn("place", (F.col("__upto") - F.col("__keys") + F.row_number().over(Window.partitionBy("n").orderBy(key))).cast("int"))
+    return ranked.where(F.col("place") <= F.floor(F.col("total") * share)).select(key, "n", "place", "total")
 
 
 def running_cap(df: DataFrame, by: list[str], order: list[Column], flag: Column, cap: int | Column) -> DataFrame:
