@@ -72,6 +72,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     n = base.count()
     quota = {s: n // shards + (s < n % shards) for s in range(shards)}
     hubs = base.groupBy("text_hash").agg(F.count("*").alias("copies")).where("copies > 1")
+    hubs = C.materialize(hubs, "copies")  # apart from the join, so that Spark can split what is skewed there
     parts = F.ceil(F.col("copies") / F.lit(max(1, n // shards * 9 // 10)))
     rows = base.select("rid", "text_hash").join(hubs, "text_hash", "left")
     rows = rows.withColumn("hub", F.when(F.col("copies") > 1, F.xxhash64("text_hash", F.pmod(F.xxhash64("rid"), parts)))).select("rid", "hub", F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
