@@ -191,3 +191,55 @@ def test_tf_idf_is_normal_and_mean_vector(spark):
     assert A.mean_vector(v, "v").first()[0] == [2.0, 4.0]
     lex = TS.valence(F.split(F.lit("good good bad"), " "), {"good": 2.0, "bad": -1.0})
     assert spark.range(1).select(lex).first()[0] == pytest.approx(3 / math.sqrt(24))
+
+
+def test_users_weeks_and_default_feeds(spark):
+    from tidewater.operators import users as US
+
+    u = spark.createDataFrame([("a.x", "1"), ("b", "1"), ("c", "2"), (None, "1")], "handle string, wave string")
+    got = [r["handle"] for r in US.repair(u, "handle", {"a.x": "a"}, ("zz",), "wave", {"b": "1", "c": "1"}).collect()]
+    assert got == ["a", "c"]
+    s = spark.createDataFrame([("f1", "backfill", "x"), ("f1", "30", "own"), ("f2", "backfill", "x")], "feed_id string, cursor string, feed string")
+    f = spark.createDataFrame([("f1", "default", "d1"), ("f2", "u", "d2")], "feed_id string, user string, feed string")
+    assert sorted((r["cursor"], r["feed"]) for r in US.impute_feeds(s, f).collect() if r["feed"]) == [("30", "own"), ("backfill", "d1")]
+
+
+def test_topics_find_separate_groups(spark):
+    from tidewater.operators import users as US
+
+    rows = [(i, [float(i % 3 == k) * 5 + (i % 7) * 0.01 for k in range(3)]) for i in range(60)]
+    t = US.topics(spark.createDataFrame(rows, "id int, v array<double>"), "v", 3)
+    assert {r["n"] for r in t.groupBy((F.col("id") % 3).alias("g")).agg(F.countDistinct("topic").alias("n")).collect()} == {1}
+
+
+def test_profile_counts_once(spark):
+    from tidewater.operators.telemetry import profile
+
+    p = profile(spark.range(123))
+    assert p["rows"] == 123 and "Range" in p["plan"] and p["seconds"] >= 0
+
+
+def test_metric_columns_tell_moral_from_moral_outrage():
+    columns = ["feed_average_moral", "feed_average_moral_outrage", "feed_proportion_moral", "feed_average_toxic", "feed_average_severe_toxic"]
+    assert L.metric_columns(columns, "average", "moral") == ["feed_average_moral"]
+    assert L.metric_columns(columns, "average", "toxic") == ["feed_average_toxic"]
+    assert L.metric_columns(columns, "average", "moral_outrage") == ["feed_average_moral_outrage"]
+
+
+def test_engagement_metrics_in_one_pass(spark):
+    df = spark.createDataFrame([("u", "like", 0.6), ("u", "like", 0.2), ("u", "post", None)], "k string, t string, prob_toxic double")
+    r = df.groupBy("k").agg(*L.engagement_metrics("t", {"prob_toxic": "probability"})).first()
+    assert (r["engagement_average_liked_posts_toxic"], r["engagement_proportion_liked_posts_toxic"]) == (0.4, 0.5)
+    assert r["engagement_average_posted_posts_toxic"] is None
+
+
+def test_ranks_over_ranges(spark):
+    values = [float(x) for x in (3, 1, 3, 2, 5, 5, 5, 0)]
+    got = {r["x"]: r["r"] for r in ST.average_ranks(spark.createDataFrame([(v,) for v in values], "x double"), "x", "r", buckets=4).collect()}
+    assert got == {0.0: 1.0, 1.0: 2.0, 2.0: 3.0, 3.0: 4.5, 5.0: 7.0}
+
+
+def test_top_share_breaks_ties_by_key(spark):
+    df = spark.createDataFrame([(k,) for k in "aaabbbccd"], "k string")
+    assert [(r["k"], r["place"]) for r in W.top_share(df, "k", 0.5).orderBy("place").collect()] == [("a", 1), ("b", 2)]
+    assert W.top_share(df, "k", 0.1).count() == 0
