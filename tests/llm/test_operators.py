@@ -157,6 +157,13 @@ def test_viterbi_is_the_best_path():
         assert total(got[k]) == pytest.approx(max(map(total, itertools.product(range(3), repeat=6))), abs=1e-5)
 
 
+def test_segments_give_the_same_path():
+    rng = np.random.default_rng(12)
+    for n in (1, 7, 8, 9, 64, 201):
+        s = (rng.normal(size=(n, 4)) + 2 * np.eye(4)[rng.integers(0, 4, n // 20 + 1)].repeat(20, axis=0)[:n]).astype(np.float64)
+        assert (language_id.viterbi_long(s, 3.0, 8) == language_id.viterbi(s[None], 3.0)[0]).all()
+
+
 def test_language_accuracy_and_edges(spark, docs):
     got = language_id.identify(docs).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["truth"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)

@@ -15,6 +15,7 @@ with score 0. Without any labelled document every text is ``und``.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,9 @@ SCRIPTS = {
 BUCKET_BITS, MAX_N = 16, 4
 FORBIDDEN, SWITCH_PENALTY = -12.0, 9.0
 #: Words whose scores a task keeps.
-CACHED_WORDS = 200_000
-#: Words of a batch of documents that step through Viterbi together, padded to powers of two.
+CACHED_WORDS = 500_000
+#: Documents of over eight times as many words are labelled in segments of this many.
+SEGMENT = 256
 _LETTER_WORD = re.compile(r"[^\W\d_]+")
 _table = np.full(0x10000, len(SCRIPTS), np.uint8)
 for _k, _ranges in enumerate(SCRIPTS.values()):
@@ -129,28 +131,64 @@ def word_scores(words: list[str], model: dict) -> np.ndarray:
     return np.where(model["may"][word_scripts(words)], score, np.minimum(score, 0) + FORBIDDEN).astype(np.float32)
 
 
-def viterbi(score: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
-    """Best states (documents, words) for scores (documents, words, languages); zeros pad."""
-    n_docs, n_words, n_langs = score.shape
-    best = score[:, 0].copy()
-    came = np.zeros((n_words, n_docs), np.int8)
-    stay = np.zeros((n_words, n_docs, n_langs), bool)
-    rows = np.arange(n_docs)
+def _forward(score: np.ndarray, best: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Final scores by last state, and for every word whence a switch comes and who stays."""
+    n, n_words, n_langs = score.shape
+    came = np.zeros((n_words, n), np.int8)
+    stay = np.zeros((n_words, n, n_langs), bool)
+    rows = np.arange(n)
     for t in range(1, n_words):
         top = best.argmax(axis=1)
         jump = best[rows, top] - penalty
         came[t] = top
         stay[t] = best >= jump[:, None]
         best = np.maximum(best, jump[:, None]) + score[:, t]
-    path = np.zeros((n_docs, n_words), np.int8)
-    state = best.argmax(axis=1)
-    for t in range(n_words - 1, 0, -1):
+    return best, came, stay
+
+
+def _backward(state: np.ndarray, came: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    path = np.zeros((len(state), len(came)), np.int8)
+    rows = np.arange(len(state))
+    for t in range(len(came) - 1, 0, -1):
         path[:, t] = state
         state = np.where(stay[t][rows, state], state, came[t])
     path[:, 0] = state
     return path
 
 
+def viterbi(score: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
+    """Best states (documents, words) for scores (documents, words, languages); zeros pad."""
+    best, came, stay = _forward(score, score[:, 0].copy(), penalty)
+    return _backward(best.argmax(axis=1), came, stay)
+
+
+def viterbi_long(score: np.ndarray, penalty: float = SWITCH_PENALTY, width: int = SEGMENT) -> np.ndarray:
+    """Best states of one long document (words, languages): its segments step together, each from
+    every state that may come before it, and are then chained from first to last."""
+    n, n_langs = score.shape
+    n_seg = -(-n // width)
+    padded = np.zeros((n_seg * width, n_langs), score.dtype)
+    padded[:n] = score
+    seg = np.repeat(padded.reshape(n_seg, width, n_langs), n_langs, axis=0)
+    enter = np.where(np.eye(n_langs, dtype=bool), 0, -penalty).astype(score.dtype)
+    begin = np.tile(enter, (n_seg, 1)) + seg[:, 0]
+    begin[:n_langs] = seg[:n_langs, 0]  # nothing comes before the first
+    best, came, stay = _forward(seg, begin, penalty)
+    best = best.reshape(n_seg, n_langs, n_langs).astype(np.float64)
+    total, whence = best[0, 0], []
+    for k in range(1, n_seg):
+        both = total[:, None] + best[k]
+        whence.append(both.argmax(axis=0))
+        total = both.max(axis=0)
+    state = np.zeros(n_seg, np.int64)
+    lane = np.zeros(n_seg, np.int64)
+    state[-1] = total.argmax()
+    for k in range(n_seg - 1, 0, -1):
+        lane[k] = state[k - 1] = whence[k - 1][state[k]]
+    pick = np.arange(n_seg) * n_langs + lane
+    return _backward(state, came[:, pick], stay[:, pick]).reshape(-1)[:n]
+
+
 class Labeller:
     """Labels texts with a model; keeps the scores of frequent words."""
 
@@ -199,11 +237,12 @@ class Labeller:
         width = max(map(len, docs))
         score = np.zeros((len(docs), width, len(langs)), np.float32)
         letters = np.zeros((len(docs), width), np.int32)
-        for k, words in enumerate(docs):
-            ids = self.ids(words)
-            score[k, : len(words)] = self.rows[ids]
-            letters[k, : len(words)] = np.fromiter(map(len, words), np.int32, len(words))
-        path = viterbi(score)
+        flat = list(chain.from_iterable(docs))
+        ids = self.ids(flat)
+        there = np.arange(width) < np.array([len(w) for w in docs])[:, None]
+        score[there] = self.rows[ids]
+        letters[there] = np.fromiter(map(len, flat), np.int32, len(flat))
+        path = viterbi(score) if width <= 8 * SEGMENT else np.stack([np.pad(viterbi_long(score[k, : len(w)]), (0, width - len(w))) for k, w in enumerate(docs)])
         for k, words in enumerate(docs):
             states = path[k, : len(words)]
             per = np.bincount(states, weights=letters[k, : len(words)], minlength=len(langs))
