@@ -466,6 +466,21 @@ def test_line_dedup_query_against_brute_force(spark, texts):
         assert r["n_removed"] == len(gone) and r["text"] == "\n".join(s for i, s in enumerate(lines) if i not in gone)
 
 
+@pytest.mark.parametrize(("n", "words"), [(3, 20), (4, 15), (5, 12), (6, 9), (6, (1, 24, 0, 3, 20, 2))])
+def test_passages_of_few_short_lines_go_whole(spark, n, words):
+    texts, own = [], []
+    for k in range(20):
+        sizes = [words] * n if isinstance(words, int) else words
+        passage = [lines_of(1000 * n + 10 * k + j, 1, w)[0] for j, w in enumerate(sizes)]
+        for copy in range(2):
+            other = lines_of(10**6 + 100 * n + 2 * k + copy, 6, 7)
+            own.append("\n".join(other))
+            texts.append("\n".join([*other[:3], *passage, *other[3:]]))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(spark, *texts)).collect()}
+    for k in range(0, 40, 2):
+        assert out[k]["text"] == texts[k] and out[k + 1]["text"] == own[k + 1] and out[k + 1]["__n_removed"] == n
+
+
 # ---- 10 sharding -----------------------------------------------------------------------------
 
 

@@ -1,12 +1,14 @@
-"""Line dedup by content-defined chunks of lines.
-
-Lines are hashed; a rolling hash over the last WINDOW line hashes cuts the text into chunks,
-so that an insertion shifts boundaries only near itself; chunks of one line are joined to the
-next, which a few lines further on makes no difference either. A line of LONG_WORDS words or more
-is a chunk by itself, cut off on both sides, since it is a passage of its own. A chunk counts
-if it is such a line, or several lines with MIN_WORDS words in all; single short lines stay.
-Chunks whose hash occurs again anywhere are compared byte by byte (they are grouped by their
-bytes), and every occurrence but the first by (doc_id, line) is removed with its line ends.
+"""Line dedup by overlapping runs of lines.
+
+Every short line starts the shortest run of two lines or more, within its text, that has MIN_WORDS
+words, and ends the shortest such run that ends there; a line of LONG_WORDS words or more is a run by
+itself, since it is a passage of its own. A single short line is no run and stays. Each run depends
+on its own lines alone, and the runs inside a passage cover all its lines, so that a repeated
+passage of MIN_WORDS words goes whole, whatever stands before and after it.
+Runs whose hash occurs again anywhere are compared byte by byte (they are grouped by their
+bytes), and every occurrence but the first by (doc_id, line) is removed with its line ends. Runs
+overlap, so of lines that repeat one another at once only the first is left; a line that goes
+always has an equal line that stays.
 
 Null texts stay null, and empty ones empty. Rows alike in doc_id and text are one document
 and get the same result; a null doc_id sorts first. A document of which every line goes
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from tidewater.llm import common as C
 
 U64 = C.U64
-WINDOW, DIVISOR = 2, 2
 LONG_WORDS, MIN_WORDS = 25, 12
 _NEWLINE = 10
 
@@ -45,35 +46,21 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, first line, lines, start byte and end byte of every chunk that counts, and its hash."""
+    """Row, first line, lines, start byte and end byte of every run that counts, and its hash."""
     starts, ends, rows = line_spans(data, offsets)
-    h = C.span_hashes(data, starts, ends)
     w_starts, _, _ = C.word_spans(data, offsets)
     words = np.searchsorted(w_starts, ends) - np.searchsorted(w_starts, starts)
-    n = len(starts)
-    rolled = h.copy()
-    for k in range(1, WINDOW):
-        inside = np.zeros(n, bool)
-        inside[k:] = rows[k:] == rows[:-k]
-        before = np.zeros(n, dtype=U64)
-        before[k:] = h[:-k]
-        rolled += np.where(inside, before, U64(0)) * U64(0x9FB21C651E98DF25 + 2 * k)
-    long = words >= LONG_WORDS
-    forced = long.copy()
-    forced[:-1] |= long[1:] | (rows[1:] != rows[:-1])
-    forced[-1:] = True
-    last, before = [], -1
-    for at, must in zip(*((c := np.flatnonzero((C.mix64(rolled) % U64(DIVISOR) == 0) | forced)).tolist(), forced[c].tolist()), strict=True):
-        if must or at - before > 1:  # a hash alone does not make a chunk of one line
-            last.append(at)
-            before = at
-    last = np.array(last, dtype=np.int64)
-    first = np.concatenate([[0], last[:-1] + 1])
+    n, at = len(starts), np.arange(len(starts))
     total = np.concatenate([[0], np.cumsum(words)])
-    n_words = total[last + 1] - total[first]
-    ok = long[first] | ((last > first) & (n_words >= MIN_WORDS))
-    first, last = first[ok], last[ok]
-    row_first = np.searchsorted(rows, np.arange(len(offsets) - 1))
+    row_first = np.searchsorted(rows, np.arange(len(offsets)))
+    long = np.flatnonzero(words >= LONG_WORDS)
+    short = words < LONG_WORDS
+    until = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS), at + 2)  # of the run that starts at a line
+    since = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1, at - 1)  # of the run that ends there
+    on, back = np.flatnonzero(short & (until <= row_first[rows + 1])), np.flatnonzero(short & (since >= row_first[rows]))
+    first, last = np.concatenate([long, on, since[back]]), np.concatenate([long, until[on] - 1, back])
+    once = np.unique(first * (n + 1) + last)
+    first, last = once // (n + 1), once % (n + 1)
     a, e = starts[first], ends[last]
     return rows[first], first - row_first[rows[first]], last - first + 1, a, e, C.span_hashes(data, a, e)
 
@@ -89,7 +76,7 @@ def _chunk_hashes(batches):
 
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, th (the document), first line and number of lines of every chunk to be removed."""
+    """d, th (the document), first line and number of lines of every run to be removed."""
     spark = docs.sparkSession
     again = docs.select(text).mapInArrow(_chunk_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     again = C.materialize(again, "line-hashes")
@@ -113,7 +100,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with repeated chunks taken out of text, and n_lines and n_removed added as __n_lines, __n_removed."""
+    """docs with repeated runs taken out of text, and n_lines and n_removed added as __n_lines, __n_removed."""
     gone = repeated_chunks(docs, key, text).distinct().groupBy("d", "th").agg(F.collect_list(F.struct("line", "lines")).alias("__gone"))
     keyed = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(text))
     joined = keyed.join(gone.withColumnRenamed("d", "__d").withColumnRenamed("th", "__th"), ["__d", "__th"], "left")
