@@ -77,6 +77,32 @@ def test_network_learns_and_adds(tagger):
     assert t[span[1] : span[2]] == "bob.smith at example dot com"
 
 
+@pytest.mark.parametrize("address", ["bob at example [dot] com", "bob at example (dot) com", "bob@example dot com", "bob @ example.com", "bob [at] example.com"])
+def test_every_form_of_address_is_decoded(tagger, address):
+    t = "filler " * 40 + f"write to {address} today, " + "filler " * 40
+    (span,) = pii.added_spans(tagger, [t], [pii.base_spans(t)])[0]
+    assert span[0] == 0 and address in t[span[1] : span[2]]
+
+
+def test_windows_left_out_change_nothing(tagger, monkeypatch):
+    lines = pii.training_lines(400, seed=78)
+    prose = " ".join(lines_of(4, 30, 9)).replace("v", "at the dotted house, ").split("0")
+    texts = ["", "x" * 500, "(at)" * 90, "9 " * 200, *(" ".join([*prose[k : k + 3], lines[k][0], *prose[k + 3 : k + 5], lines[-k - 1][0]]) for k in range(100))]
+    base = [pii.base_spans(t) for t in texts]
+    got = pii.added_spans(tagger, texts, base)
+    monkeypatch.setattr(pii, "windows_of", lambda t: set(range(-(-len(t) // pii.STRIDE))))
+    assert got == pii.added_spans(tagger, texts, base) and sum(map(len, got)) > 50
+
+
+def test_accuracy_of_find_pii(spark, tagger):
+    lines = pii.training_lines(400, seed=79)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(lines)], "doc_id long, text string")
+    got = {(r["doc_id"], pii.KINDS.index(s["kind"]), s["start"], s["end"]) for r in pii.find_pii(docs, model=tagger).collect() for s in r["spans"]}
+    want = {(k, *s) for k, (_, spans) in enumerate(lines) for s in spans}
+    print(len(got & want) / len(got), len(got & want) / len(want))
+    assert len(got & want) / len(got) > 0.85 and len(got & want) / len(want) > 0.85
+
+
 def test_gradient_of_the_crf():
     rng = np.random.default_rng(1)
     p = pii.init()

@@ -6,8 +6,10 @@ patterns miss (an address with "at" and "dot" in words, a telephone number witho
 Texts are decoded in overlapping windows; where windows overlap, each character's label is
 taken from the window in whose middle it lies best, and spans are then read off globally, so
 a span is never cut at a window's edge. Base spans stay; a span of the network that touches
-one is dropped, and so is one without what its kind needs (see ``plausible``). A window in
-which no span could be plausible is not decoded, which cannot change the result.
+one is dropped, and so is one without what its kind needs (see ``plausible``). Decoded are the
+windows whose labels count for a character that ``_TRIGGER`` matches, and then their neighbours
+for as long as a span reaches the edge of what is decoded. Every plausible span holds such a
+character, so that leaving out the other windows does not change the result.
 
 Null texts count as empty; rows that repeat a doc_id are scanned one by one. Offsets are code
 points. The labelled spans for training are made by rule from templates; TRAIN_LINES of them.
@@ -79,16 +81,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- what the network may add -------------------------------------------------------------
 
 _AT = re.compile(r"[(\[{<]\s*at\s*[)\]}>]|\bat\b", re.I)
+_BRACKETED_AT = re.compile(r"[(\[{<]\s*at\s*[)\]}>]", re.I)
 _DOT = re.compile(r"[(\[{<]\s*dot\s*[)\]}>]|\bdot\b", re.I)
-#: Where a window is worth decoding: a bracketed "at" or "at ... dot", or a group of 6 digits
-#: written with separators.
-_TRIGGER = re.compile(r"[(\[{<]\s?at\s?[)\]}>]|\bat\s\S{1,40}\sdot\s|[0-9][0-9 ().-]{5,}[0-9]", re.I)
+#: What every plausible span holds, by the conditions of plausible(): an address an at sign, a
+#: "dot" or a bracketed "at", the other kinds a digit.
+_TRIGGER = re.compile(r"@|[0-9]|dot|[(\[{<]\s*at\s*[)\]}>]", re.I)
 
 
 def plausible(kind: int, s: str) -> bool:
     """Whether a decoded span holds what its kind needs."""
     if kind == 0:
-        return bool(_AT.search(s) and _DOT.search(s)) or s.count("@") == 1
+        return bool(_AT.search(s) and _DOT.search(s) or _BRACKETED_AT.search(s) and "." in s) or s.count("@") == 1
     digits = sum(c.isdigit() and c.isascii() for c in s)
     if kind == 1:
         return s.count(".") == 3 and digits >= 4
@@ -316,10 +319,20 @@ def decode(p: dict, x: np.ndarray) -> np.ndarray:
     return path
 
 
-def windows_of(text: str) -> list[int]:
-    """Starts of the overlapping windows in which a span could be plausible."""
-    starts = {max(0, k) * STRIDE for m in _TRIGGER.finditer(text) for k in range((m.start() - WINDOW) // STRIDE + 1, m.end() // STRIDE + 1) if k * STRIDE < len(text)}
-    return sorted(starts)
+def owner(at: int) -> int:
+    """Number of the window whose middle is nearest to a character, the earlier of two."""
+    return max(0, (at - (WINDOW - STRIDE) // 2 - 1) // STRIDE)
+
+
+def owned(w: int, n: int) -> tuple[int, int]:
+    """The characters, of n, that window w owns."""
+    first = (WINDOW - STRIDE) // 2 + 1
+    return min(n, w * STRIDE + first) if w else 0, min(n, (w + 1) * STRIDE + first)
+
+
+def windows_of(text: str) -> set[int]:
+    """Numbers of the windows that own a character which every plausible span holds one of."""
+    return {w for m in _TRIGGER.finditer(text) for w in range(owner(m.start()), owner(m.end() - 1) + 1)}
 
 
 def reconcile(n: int, starts: list[int], labels: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -349,22 +362,30 @@ def added_spans(p: dict, texts: list[str], base: list[list[tuple[int, int, int]]
         covered = t
         for _, a, e in base[k]:  # what a pattern has found triggers nothing
             covered = covered[:a] + "\n" * (e - a) + covered[e:]
-        jobs += [(k, s) for s in windows_of(covered)]
-    labels: list[np.ndarray] = []
-    for a in range(0, len(jobs), 512):
-        part = jobs[a : a + 512]
-        x = np.zeros((WINDOW, len(part)), np.int64)
-        for j, (k, s) in enumerate(part):
-            piece = texts[k][s : s + WINDOW]
-            x[: len(piece), j] = encode(piece)
-        labels += list(decode(p, x).T)
+        jobs += [(k, w) for w in sorted(windows_of(covered))]
+    by: dict[int, dict[int, np.ndarray]] = {}
+    while jobs:
+        further = set()
+        for at in range(0, len(jobs), 512):
+            part = jobs[at : at + 512]
+            x = np.zeros((WINDOW, len(part)), np.int64)
+            for j, (k, w) in enumerate(part):
+                piece = texts[k][w * STRIDE : w * STRIDE + WINDOW]
+                x[: len(piece), j] = encode(piece)
+            for (k, w), y in zip(part, decode(p, x).T, strict=True):
+                a, e = owned(w, len(texts[k]))
+                own = by.setdefault(k, {})[w] = np.zeros(WINDOW, np.int8)
+                own[a - w * STRIDE : e - w * STRIDE] = y[a - w * STRIDE : e - w * STRIDE]
+                if a and own[a - w * STRIDE] and own[a - w * STRIDE] % 2 == 0:
+                    further.add((k, w - 1))
+                if e < len(texts[k]) and own[e - 1 - w * STRIDE]:
+                    further.add((k, w + 1))
+        jobs = sorted((k, w) for k, w in further if w not in by[k])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    by: dict[int, list[int]] = {}
-    for j, (k, _) in enumerate(jobs):
-        by.setdefault(k, []).append(j)
     for k, own in by.items():
         t, taken = texts[k], sorted((a, e) for _, a, e in base[k])
-        for kind, a, e in reconcile(len(t), [jobs[j][1] for j in own], [labels[j] for j in own]):
+        starts = sorted(own)
+        for kind, a, e in reconcile(len(t), [w * STRIDE for w in starts], [own[w] for w in starts]):
             while a < e and t[e - 1] in " .,;\n":
                 e -= 1
             while a < e and t[a] in " .,;\n":
