@@ -163,6 +163,19 @@ def test_sampling(spark):
     assert sorted(r["position"] for r in j.collect()) == list(range(1000))
 
 
+def test_jitter_query_keeps_every_event(spark):
+    from tests.conftest import SF
+    from tidewater.plans.registry import QUERIES
+
+    sf = SF.replace("sf0.001", "sf0.01")  # the smallest has no user of 50 or more
+    rows = QUERIES["topk_jitter"](spark, sf).collect()
+    places = {}
+    for r in rows:
+        places.setdefault(r["user_id"], []).append(r["position"])
+    assert sorted(r["event_id"] for r in rows) == sorted(r["event_id"] for r in spark.read.parquet(f"{sf}/events.parquet").collect())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_pages(spark):
     f = spark.createDataFrame([(i, f"x{i}") for i in range(50)], "p int, item string")
     first = [r["item"] for r in K.page_after(f, "p", "item", None).collect()]

@@ -150,5 +150,5 @@ def topk_sample_n(spark, sf):
 @register("topk_jitter")
 def topk_jitter(spark, sf):
     """Jittered positions of every user's events, a permutation of the original ones."""
-    p = K.positions(table(spark, sf, "events").where("user_id < 50"), ["user_id"], [F.desc("ts"), F.col("event_id")])
+    p = K.positions(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.col("event_id")])
     return K.jitter(p, ["user_id"], "position", "event_id", 2, 42).select("user_id", "event_id", "position")
