@@ -437,6 +437,33 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(twice).count() == 10 and jaccard_join.jaccard_components(d.where("false")).count() == 0
 
 
+def test_unlike_words_of_one_length_stay_apart(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    d = documents(spark, one, one.translate(str.maketrans("ab", "ba")))
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(d).collect()} == {0, 1}
+
+
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, b, c = words, [*words, "x"], [*words, "x", "y"]
+    sets = word_sets({0: " ".join(a), 1: " ".join(b), 2: " ".join(c)}, 4)
+    assert brute_components({0: sets[0], 2: sets[2]}, 985, 1000) == {0: 0, 2: 2}
+    d = spark.createDataFrame([(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (None, "only this one"), (None, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.jaccard_components(d, threshold=(985, 1000)).collect())
+    assert got == [("1", 97, "1"), ("2", 99, "1"), ("None", 0, "None"), ("None", 1, "None"), ("None", 98, "1")]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, other = " ".join(f"w{i}" for i in range(40)), "quite another text of some words"
+    rows = [(1, a, "x"), (9, a, "x"), (9, other, "x"), (3, "one two three", "p"), (3, "one two three", "q"), (None, a + " end", "x"), (None, "lone", "x"), (None, "lone", "x"), (None, None, "x"), (4, "", "x"), (4, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, m string")
+    out = jaccard_join.one_of_each_group(d)
+    assert out.columns == d.columns
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect())
+    assert got == sorted([("1", a), ("9", other), ("3", "one two three"), ("None", "lone"), ("None", "None"), ("4", ""), ("4", "")])
+    assert jaccard_join.one_of_each_group(d.where("false")).count() == 0
+
+
 def test_components_of_chains_and_nothing(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 600), (600, 600)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}

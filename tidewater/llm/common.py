@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; its arrays take about 40 times as much memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -19,11 +21,13 @@ U64 = np.uint64
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    The setting is read from the session; only where it is unset (tests, one machine)
-    a local temporary folder takes its place.
+    The setting is read from the session. Where it is unset, a local temporary folder takes its
+    place if Spark runs on this machine alone; on a cluster that would part the data, and is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -78,35 +82,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_rng = np.random.Generator(np.random.PCG64(20240917))
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODE_LOWER = _BYTE_CODE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=U64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=U64)
-    return have
+#: Spans of up to this many bytes are hashed together, eight bytes a step; longer ones one by one.
+SHORT_SPAN = 64
+_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], dtype=U64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of every data[start:end]; equal bytes give equal hashes anywhere."""
-    n = len(data)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum((_CODE_LOWER if lower else _BYTE_CODE)[data] * _power(_BASE, n + 1)[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts]
-    return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hash of every data[start:end]; equal bytes give equal hashes anywhere.
+
+    Each step mixes eight bytes into the state by a bijection, so spans of one length that differ
+    in one step only never meet; longer spans have xxh3 of their bytes.
+    """
+    if lower:
+        data = _LOWER[data]
+    size = ends - starts
+    h = mix64(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= SHORT_SPAN))
+    k = 0
+    while len(left):
+        h[left] = mix64(h[left] ^ (eights[starts[left] + k] & _EIGHT[np.minimum(8, size[left] - k)]))
+        k += 8
+        left = left[size[left] > k]
+    for i in np.flatnonzero(size > SHORT_SPAN):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data)
+    return h
 
 
 #: Bytes that part tokens where punctuation does not count: ASCII other than letters and digits.
@@ -234,3 +239,8 @@ def bit_of(v: np.ndarray, bits: int) -> np.ndarray:
 def has_bit(packed: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
     at = bit_of(v, bits)
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def identity(key: Column, text: Column) -> list[Column]:
+    """Columns kn, k, t1 and t2 that tell rows of different key or text apart, null or not."""
+    return [key.isNull().alias("kn"), F.coalesce(key.cast("long"), F.lit(0)).alias("k"), F.xxhash64(text, text.isNull()).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]

@@ -12,8 +12,10 @@ hashed shingles bound the overlap from above (the sets differ in at least as man
 as their bitmaps do in bits). The connected parts of what is left are the final tiles; each
 set travels to one tile, where only pairs that pass the bound meet as sorted arrays, exactly.
 
-Null and empty texts have an empty set and no links. Rows that repeat a doc_id keep a row
-each. A row with a null doc_id takes part only through rows with equal sets, and cannot name a component.
+Classes are told apart by 128 bits of their sets and then numbered, so no two classes share a
+number. Null and empty texts have an empty set and no links. Rows that repeat a doc_id keep a row
+each. A row with a null doc_id links like any other, but cannot name a component: one that holds
+only such rows has a null component_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from tidewater.llm import common as C
 from tidewater.llm.components import connected_components
 
 U64 = C.U64
-#: Classes of a tile that one task compares; a larger tile is dealt out as pairs of blocks.
-TILE_ROWS = 1024
+_IDENTITY = ("kn", "k", "t1", "t2")
+#: Classes, and entries of their sets, of a tile that one task compares; a larger tile is dealt
+#: out as pairs of blocks.
+TILE_ROWS, TILE_ITEMS = 1024, 1 << 21
 #: Frequent shingles known to every task: 8 MB at most; past that only the most frequent.
 #: They only set the order of shingles, so any choice of them gives the same links.
 MAX_FREQUENT = 1 << 20
@@ -60,8 +64,10 @@ def _sets(column, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, h, off
 
 
-def _class_id(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _class_ids(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The 128 bits of every set's class, as two columns."""
+    whole = b"".join(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16) for s in sets)
+    return [pa.array(x) for x in np.frombuffer(whole, np.int64).reshape(-1, 2).T.copy()]
 
 
 def frequent_shingles(docs: DataFrame, text: str, width: int, t: Fraction, at_least: int) -> np.ndarray:
@@ -81,11 +87,11 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, t: Fraction, at_le
                 for a, e in zip(off[:-1], off[1:], strict=True):
                     s = h[a : a + np.searchsorted(h[a:e], zone)]
                     if len(s) and (k := hash(s.tobytes())) not in seen:
-                        if len(seen) < 1 << 20:
+                        if len(seen) < 1 << 18:
                             seen.add(k)
                         held.append(s)
                         n += len(s)
-                if n > 4_000_000:
+                if n > 2_000_000:
                     yield top(held)
                     held, n = [], 0
         if held:
@@ -101,96 +107,100 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, t: Fraction, at_le
     return np.sort(found.view(U64))
 
 
-def signed_classes(docs: DataFrame, key: str, text: str, width: int, t: Fraction, frequent) -> DataFrame:
-    """key, set size, class, packed prefix and parity bitmap of each document's set."""
+def signed_rows(docs: DataFrame, width: int, t: Fraction, frequent) -> DataFrame:
+    """Identity, set size and class of each row of docs (kn, k, t1, t2, text), with the packed
+    prefix and parity bitmap of the set where a task first meets it."""
 
     def sign(batches):
-        hot = frequent.value
+        hot, met = frequent.value, set()
         for b in batches:
-            keys = b.column(0)
-            for first, h, off in _sets(b.column(1), width):
+            for first, h, off in _sets(b.column(4), width):
                 n = np.diff(off)
                 larger, _ = prefix_sizes(n, t)
+                is_hot = np.zeros(len(h), bool)
                 if len(hot) and len(h):
                     at = np.searchsorted(hot, h)
                     at[at == len(hot)] = 0
                     is_hot = hot[at] == h
-                else:
-                    is_hot = np.zeros(len(h), bool)
-                ids, prefixes, maps = np.zeros(len(n), np.int64), [], []
-                for i, (a, e) in enumerate(zip(off[:-1], off[1:], strict=True)):
-                    s = h[a:e]
-                    ids[i] = _class_id(s) if len(s) else 0
-                    f = is_hot[a:e]
+                ids = _class_ids([h[a:e] for a, e in zip(off[:-1], off[1:], strict=True)])
+                prefixes, maps = [None] * len(n), [None] * len(n)
+                for i, (a, e, c) in enumerate(zip(off[:-1], off[1:], ids[0].to_pylist(), strict=True)):
+                    if e == a or (c, n[i]) in met:
+                        continue
+                    if len(met) < 1 << 17:
+                        met.add((c, n[i]))
+                    s, f = h[a:e], is_hot[a:e]
                     cold = s[~f][: larger[i]]
-                    if len(cold) < larger[i] and e > a:
+                    if len(cold) < larger[i]:
                         cold = np.concatenate([cold, s[f][: larger[i] - len(cold)]])
-                    prefixes.append(cold.tobytes() if e > a else b"")
-                    maps.append(parity_bitmap(s).tobytes() if e > a else b"")
-                yield pa.RecordBatch.from_arrays([keys.slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(ids), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())], ["key", "n", "cls", "prefix", "bitmap"])
+                    prefixes[i], maps[i] = cold.tobytes(), parity_bitmap(s).tobytes()
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(n)) for c in b.columns[:4]), pa.array(n.astype(np.int64)), *ids, pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())], [*_IDENTITY, "n", "c1", "c2", "prefix", "bitmap"])
 
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(sign, "key long, n long, cls long, prefix binary, bitmap binary")
+    return docs.mapInArrow(sign, "kn boolean, k long, t1 long, t2 long, n long, c1 long, c2 long, prefix binary, bitmap binary")
 
 
 def shared_groups(classes: DataFrame, t: Fraction) -> DataFrame:
-    """(tile, cls, n) for every group of two or more classes that meet in a shingle of their prefixes."""
+    """(tile, cls, n) for every group of two or more classes that meet in a shingle of their prefixes.
+
+    The shingles arrive sorted, so a task holds the classes of one shingle at a time (ids and sizes).
+    """
 
     def post(batches):
         for b in batches:
             cls, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            _, first = np.unique(cls, return_index=True)
             packed = b.column(2).to_pylist()
-            at = 0
-            while at < len(first):
-                part = first[at : at + 512]
-                at += 512
-                size = np.array([len(packed[i]) // 8 for i in part])
-                h = np.frombuffer(b"".join(packed[i] for i in part), np.int64)
+            for at in range(0, len(cls), 512):
+                size = np.array([len(x) // 8 for x in packed[at : at + 512]])
+                h = np.frombuffer(b"".join(packed[at : at + 512]), np.int64)
                 place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-                _, smaller = prefix_sizes(n[part], t)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(cls[part], size)), pa.array(np.repeat(n[part], size)), pa.array(place < np.repeat(smaller, size))], ["h", "cls", "n", "small"])
+                _, smaller = prefix_sizes(n[at : at + 512], t)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(cls[at : at + 512], size)), pa.array(np.repeat(n[at : at + 512], size)), pa.array(place < np.repeat(smaller, size))], ["h", "cls", "n", "small"])
+
+    def whole_groups(batches):
+        """Columns of runs of rows that hold all rows of their shingles."""
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if b.num_rows:
+                new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+                last = int(np.searchsorted(new[0], new[0][-1]))
+                if held and (last or held[-1][0][-1] != new[0][0]):
+                    yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in new], strict=True)]
+                    held = []
+                elif last:
+                    yield [c[:last] for c in new]
+                held.append([c[last:] for c in new])
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def gather(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t_ = pa.Table.from_batches(parts)
-        h, cls, n, small = (t_.column(i).to_numpy() for i in range(4))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        again = np.zeros(len(h), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        order = order[again]  # those whose shingle occurs again
-        order = order[np.lexsort((cls[order], n[order], h[order]))]
-        h, cls, n, small = h[order], cls[order], n[order], small[order]
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
-        tiles, members, sizes, done = [], [], [], set()
-        for a, e in zip(cut[:-1], cut[1:], strict=True):
-            keep = np.ones(e - a, bool)
-            keep[1:] = cls[a + 1 : e] != cls[a : e - 1]
-            c, m, s = cls[a:e][keep], n[a:e][keep], small[a:e][keep]
-            if len(c) < 2 or not s.any():
-                continue
-            # runs of the size order in which each next set is in reach of the last
-            apart = np.flatnonzero(m[:-1] * t.denominator < m[1:] * t.numerator)
-            for x, y in zip(np.concatenate([[0], apart + 1]), np.concatenate([apart + 1, [len(c)]]), strict=True):
-                if y - x < 2:
-                    continue
-                members_of = c[x:y]
-                tile = xxhash.xxh3_64_intdigest(np.sort(members_of).tobytes()) - (1 << 63)
-                if tile in done:
+        done: set[int] = set()
+        for h, cls, n, small in whole_groups(batches):
+            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            several = np.flatnonzero(np.diff(cut) > 1)
+            tiles, members, sizes = [], [], []
+            for a, e in zip(cut[several], cut[several + 1], strict=True):
+                if not small[a:e].any():
                     continue
-                done.add(tile)
-                tiles.append(np.full(y - x, tile))
-                members.append(members_of)
-                sizes.append(m[x:y])
-        if tiles:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tiles, members, sizes)], ["tile", "cls", "n"])
-
-    posted = classes.where("n > 0").select("cls", "n", "prefix").mapInArrow(post, "h long, cls long, n long, small boolean")
-    # a row of the same shingle and class may come from many tasks; one is enough
-    return posted.repartition("h").mapInArrow(gather, "tile long, cls long, n long").dropDuplicates(["tile", "cls"])
+                c, m = cls[a:e], n[a:e]
+                # runs of the size order in which each next set is in reach of the last
+                apart = np.flatnonzero(m[:-1] * t.denominator < m[1:] * t.numerator)
+                for x, y in zip(np.concatenate([[0], apart + 1]), np.concatenate([apart + 1, [len(c)]]), strict=True):
+                    if y - x < 2:
+                        continue
+                    tile = xxhash.xxh3_64_intdigest(np.sort(c[x:y]).tobytes()) - (1 << 63)
+                    if tile in done:
+                        continue
+                    if len(done) >= 1 << 18:  # what comes twice then is dropped after the shuffle
+                        done.clear()
+                    done.add(tile)
+                    tiles.append(np.full(y - x, tile))
+                    members.append(c[x:y])
+                    sizes.append(m[x:y])
+            if tiles:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tiles, members, sizes)], ["tile", "cls", "n"])
+
+    posted = classes.select("cls", "n", "prefix").mapInArrow(post, "h long, cls long, n long, small boolean")
+    return posted.repartition("h").sortWithinPartitions("h", "n", "cls").mapInArrow(gather, "tile long, cls long, n long").dropDuplicates(["tile", "cls"])
 
 
 def parity_bitmap(s: np.ndarray) -> np.ndarray:
@@ -291,9 +301,9 @@ def _by_tile(batches, n_keys: int, compare):
 
 
 def dealt_in_blocks(tiles: DataFrame) -> DataFrame:
-    """tile, lo, hi, is_lo, cls: tiles of over TILE_ROWS rows become pairs of blocks, others one pair (0, 0)."""
-    counted = tiles.groupBy("tile").agg(F.count("*").alias("members"))
-    large = counted.where(F.col("members") > TILE_ROWS).withColumn("blocks", F.ceil(F.col("members") / (TILE_ROWS // 2)).cast("int")).drop("members")
+    """tile, lo, hi, is_lo, cls: tiles of over TILE_ROWS rows or TILE_ITEMS entries become pairs of blocks, others one pair (0, 0)."""
+    counted = tiles.groupBy("tile").agg((F.count("*") / (TILE_ROWS // 2)).alias("rows"), (F.sum("n") / (TILE_ITEMS // 2)).alias("items"))
+    large = counted.where("rows > 2 or items > 2").select("tile", F.ceil(F.greatest("rows", "items")).cast("int").alias("blocks"))
     large = C.materialize(large, "large-tiles")  # apart from its join, so that Spark can split what is skewed there
     placed = tiles.join(large, "tile", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("blocks")), F.lit(0)).cast("int"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -301,7 +311,7 @@ def dealt_in_blocks(tiles: DataFrame) -> DataFrame:
 
 
 def candidate_parts(tiles: DataFrame, bitmaps: DataFrame, t: Fraction) -> DataFrame:
-    """(tile, cls): connected parts of what the bit counts leave of all tiles; every class at most once."""
+    """(tile, cls, n): connected parts of what the bit counts leave of all tiles; every class at most once."""
 
     def compare(_, rows):
         ids = np.array([r[0] for r in rows])
@@ -310,12 +320,12 @@ def candidate_parts(tiles: DataFrame, bitmaps: DataFrame, t: Fraction) -> DataFr
     joined = dealt_in_blocks(tiles).join(bitmaps, "cls").select("tile", "lo", "hi", "cls", "n", "bitmap")
     spread = joined.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi", "cls")
     stars = spread.mapInArrow(lambda it: _by_tile(it, 3, compare), "a long, b long")
-    parts = connected_components(stars)
-    return parts.select(F.col("component").alias("tile"), F.col("node").alias("cls"))
+    parts = C.materialize(connected_components(stars), "jaccard-parts")
+    return parts.select(F.col("component").alias("tile"), F.col("node").alias("cls")).join(bitmaps.select("cls", "n"), "cls")
 
 
 def tile_links(tiles: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): links between classes, found tile by tile from (tile, cls) and (cls, items)."""
+    """(a, b): links between classes, found tile by tile from (tile, cls, n) and (cls, items)."""
 
     def compare(key, rows):
         if key[1] != key[2]:
@@ -328,42 +338,65 @@ def tile_links(tiles: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return spread.mapInArrow(lambda it: _by_tile(it, 3, compare), "a long, b long").dropDuplicates()
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, threshold: tuple[int, int] = (85, 100), frequent_from: int = 64) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest key reachable by links) of each document."""
+def classified(docs: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int], frequent_from: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (identity, n, c1, c2), and of each class (c1, c2) its group and the group's least key."""
     spark: SparkSession = docs.sparkSession
     t = Fraction(*threshold)
-    docs = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    docs = docs.select(*C.identity(F.col(key), F.col(text)), F.col(text).alias("_text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, "_text", width, t, frequent_from))
-    signed = C.materialize(signed_classes(docs, "_key", "_text", width, t, frequent), "jaccard-sets")
-    groups = C.materialize(shared_groups(signed, t).select("tile", "cls"), "jaccard-groups")
+    signed = C.materialize(signed_rows(docs, width, t, frequent), "jaccard-sets")
     # one row a class, combined before the shuffle however many copies there are
-    classes = signed.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    classes = C.materialize(classes, "jaccard-classes")
-    tiles = C.materialize(candidate_parts(groups, classes.select("cls", "n", "bitmap"), t), "jaccard-tiles")
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    classes = signed.where("n > 0").groupBy("c1", "c2").agg(F.min(F.when(~F.col("kn"), F.col("k"))).alias("key"), F.min(F.struct(*_IDENTITY)).alias("row"), first("n"), first("prefix"), first("bitmap"))
+    classes = C.materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+    groups = C.materialize(shared_groups(classes, t), "jaccard-groups")
+    tiles = C.materialize(candidate_parts(groups.select("tile", "cls", "n"), classes.select("cls", "n", "bitmap"), t), "jaccard-tiles")
 
-    owners = classes.where("key is not null").select("cls", "key").join(tiles, "cls", "left_semi")
-    owners = C.materialize(owners, "jaccard-owners")
-    some = spark.sparkContext.broadcast(C.take_bits(spark, owners, "key"))
+    # of each class in a tile, the row whose text gives its set
+    owners = C.materialize(classes.join(tiles, "cls", "left_semi").select("cls", "c1", "c2", F.xxhash64(*(f"row.{c}" for c in _IDENTITY)).alias("row")), "jaccard-owners")
+    some = spark.sparkContext.broadcast(C.take_bits(spark, owners, "row"))
 
     def items(batches):
         for b in batches:
-            ids = b.column(0).fill_null(0).to_numpy()
-            at = np.flatnonzero(C.has_bit(some.value, ids.view(U64), 23) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(C.has_bit(some.value, b.column(0).to_numpy().view(U64), 23))
             if not len(at):
                 continue
-            for first, h, off in _sets(b.column(1).take(pa.array(at)), width):
-                rows = at[first : first + len(off) - 1]
+            rows = pa.array(at)
+            for first, h, off in _sets(b.column(1).take(rows), width):
                 s = [h[a:e] for a, e in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([_class_id(x) if len(x) else 0 for x in s]), pa.array([x.tobytes() for x in s], pa.binary())], ["key", "cls", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows.slice(first, len(s))), *_class_ids(s), pa.array([x.tobytes() for x in s], pa.binary())], ["row", "c1", "c2", "items"])
 
-    full = docs.mapInArrow(items, "key long, cls long, items binary").join(owners, ["key", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "items")
-    links = C.materialize(tile_links(tiles, full, t), "jaccard-links")
-    groups = connected_components(links)
+    full = docs.select(F.xxhash64(*_IDENTITY).alias("row"), "_text").mapInArrow(items, "row long, c1 long, c2 long, items binary")
+    full = full.join(owners, ["row", "c1", "c2"]).dropDuplicates(["cls"]).select("cls", "items")
+    linked = C.materialize(connected_components(C.materialize(tile_links(tiles, full, t), "jaccard-links")), "jaccard-linked")
 
     # smallest document of each class, then of each group of classes
-    least = classes.select("cls", F.col("key").alias("least"))
-    least = least.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
-    in_group = least.groupBy("grp").agg(F.min("least").alias("component_id"))
-    by_class = C.materialize(least.join(in_group, "grp").select("cls", "component_id"), "jaccard-components")
-    out = signed.select("key", "n", "cls").join(by_class, "cls", "left")
-    return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    least = classes.select("c1", "c2", "cls", "key").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
+    least = C.materialize(least.select("c1", "c2", "grp", "key"), "jaccard-least")
+    in_group = C.materialize(least.groupBy("grp").agg(F.min("key").alias("component_id")), "jaccard-components")
+    return signed.select(*_IDENTITY, "n", "c1", "c2"), C.materialize(least.drop("key").join(in_group, "grp"), "jaccard-by-class")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, threshold: tuple[int, int] = (85, 100), frequent_from: int = 64) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest key reachable by links) of each document."""
+    rows, by_class = classified(docs, key, text, width, threshold, frequent_from)
+    out = rows.withColumn("doc_id", F.when(~F.col("kn"), F.col("k"))).join(by_class, ["c1", "c2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100), frequent_from: int = 64) -> DataFrame:
+    """The rows of docs without all but one of each group: of the smallest key, nulls last, and of the
+    rows with that key one text. Rows without words stay."""
+    rows, by_class = classified(docs, key, text, width, threshold, frequent_from)
+    alike = C.materialize(rows.where("n > 0").groupBy(*_IDENTITY).agg(F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.count("*").alias("m")), "jaccard-alike")
+    alike = C.materialize(alike.join(by_class.select("c1", "c2", "grp"), ["c1", "c2"]).select(*_IDENTITY, "m", "grp"), "jaccard-in-group")
+    kept = C.materialize(alike.groupBy("grp").agg(F.min(F.struct(*_IDENTITY)).alias("kept"), F.sum("m").alias("all")).where("all > 1"), "jaccard-kept")
+    marks = alike.join(kept, "grp").select(*_IDENTITY, (F.struct(*_IDENTITY) == F.col("kept")).alias("stays"), "m").where("m > 1 or not stays")
+    marks = C.materialize(marks, "jaccard-marks")
+    own = [f"__{c}" for c in _IDENTITY]
+    wide = docs.withColumns({o: c for o, c in zip(own, C.identity(F.col(key), F.col(text)), strict=True)})
+    named = marks.select(*(F.col(c).alias(o) for c, o in zip(_IDENTITY, own, strict=True)), "stays")
+    out = wide.join(named, own, "left_anti")
+    if not marks.where("stays").isEmpty():  # rows alike in key and text, of which one is kept
+        out = out.union(wide.join(named.where("stays"), own, "left_semi").dropDuplicates(own))
+    return out.select(docs.columns)
