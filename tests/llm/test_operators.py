@@ -137,9 +137,9 @@ def test_edits_keep_counts_exact():
     js, rk = packing.default_paths()
     count = lambda t: len(packing.token_ids(t, js, rk))
     rng = np.random.default_rng(5)
-    words = np.array(["the", "don't", "x1", "été", "\n", "  ", "...", "A", "longerword", "12.5", "'s"])
-    for _ in range(60):
-        t = " ".join(rng.choice(words, rng.integers(0, 400)))
+    words = np.array(["the", "don't", "x1", "été", "\n", "  ", "...", "A", "longerword", "12.5", "'s", "漢字。", "<|endoftext|>", "'ll", "½", "\u00a0", "!'t"])
+    for k in range(120):
+        t = ("" if k % 3 == 0 else " ").join(rng.choice(words, rng.integers(0, 400)))
         cuts = np.sort(rng.choice(len(t) + 1, min(len(t) + 1, 6), replace=False)).tolist()
         edits = [(a, b, str(rng.choice(["", "new", " ", "a b c " * 30]))) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
         tree = token_counts.TokenTree.of(t, count)
@@ -150,6 +150,9 @@ def test_edits_keep_counts_exact():
             want, at = want + t[at:a] + x, b
         want += t[at:]
         assert new == want and tree.tokens[1] == count(want) and tree.chars[1] == len(want)
+        at = int(rng.integers(0, len(new) + 1))  # a further edit, of the edited tree
+        last, _ = tree.edit(new, [(at, at, "<|endof"), (at, min(len(new), at + 3), "text|>")], count)
+        assert last == new[:at] + "<|endoftext|>" + new[at + 3 :] and tree.tokens[1] == count(last) and tree.chars[1] == len(last)
 
 
 def test_few_characters_are_encoded_again():
@@ -164,7 +167,25 @@ def test_token_count_query(spark, texts):
     got = QUERIES["op2_token_counts"](spark, SF).collect()
     assert all(r["n_tokens"] == len(packing.token_ids(texts[r["doc_id"]] or "", js, rk)) for r in got) and len(got) == len(texts)
     d = documents(spark, None, "", "mail a@b.co now")
-    assert [(r["n_tokens"], r["n_edits"]) for r in token_counts.apply_edits(token_counts.redactions(token_counts.build_index(d))).orderBy("doc_id").collect()][:2] == [(0, 0), (0, 0)]
+    edited = token_counts.apply_edits(token_counts.redactions(token_counts.build_index(d)))
+    assert [(r["n_tokens"], r["n_edits"]) for r in token_counts.counts(edited).orderBy("doc_id").collect()][:2] == [(0, 0), (0, 0)]
+
+
+def test_a_second_round_of_edits_and_odd_rows(spark):
+    js, rk = packing.default_paths()
+    d = spark.createDataFrame([(1, "漢字。" * 900 + "x", 5), (1, "12,ab;" * 500, 5), (None, None, None), (2, "", 0)], "doc_id long, text string, n_edits int")
+    edits = lambda df, n: df.withColumn("__edits", F.when(F.coalesce(F.length("text"), F.lit(0)) > 20, F.array(F.struct(F.lit(10).alias("start"), F.lit(12).alias("end"), F.lit("new " * n).alias("new")))))
+    once = token_counts.apply_edits(edits(token_counts.build_index(d), 1000))
+    twice = token_counts.apply_edits(edits(once, 1))
+    rows = twice.collect()
+    assert twice.columns[:3] == d.columns and len(rows) == 4
+    for r in rows:
+        assert r["__tokens"][1] == len(packing.token_ids(r["text"] or "", js, rk)) and r["__chars"][1] == len(r["text"] or "")
+        assert (r["text"] is None) == (r["doc_id"] is None) and r["__chars_reencoded"] < 1500 and r["__n_edits"] == (len(r["text"] or "") > 20)
+    assert token_counts.apply_edits(edits(token_counts.build_index(d.where("false")), 1)).count() == 0
+    for bad in ([(0, 5, ""), (4, 6, "")], [(3, 99, "")], [(-1, 0, "")]):
+        with pytest.raises(ValueError, match="overlap"):
+            token_counts.TokenTree.of("some text", len).edit("some text", bad, len)
 
 
 # ---- 3 languages -----------------------------------------------------------------------------
@@ -193,10 +214,22 @@ def test_segments_give_the_same_path():
 def test_language_accuracy_and_edges(spark, docs):
     got = language_id.identify(docs).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["truth"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
-    odd = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6, None, "en"), (10**6, "", None), (10**6 + 1, "12 !? 34", "en"), (None, "Привет мир", None)], "doc_id long, text string, lang string")).withColumn("score", F.lit(1))
+    odd = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6, None, "en"), (10**6, "", None), (10**6 + 1, "12 !? ½ Ⅷ ①", "en"), (None, "Привет мир", None)], "doc_id long, text string, lang string")).withColumn("score", F.lit(1))
     rows = [r for r in language_id.identify(odd).collect() if r["doc_id"] is None or r["doc_id"] >= 10**6]
     assert sorted(str(r["lang_pred"]) for r in rows if r["doc_id"] is not None) == ["und"] * 3 and len(rows) == 4
     assert language_id.identify(docs.where("false")).count() == 0
+    by = {r["lang"]: r["text"] for r in docs.where("length(text) > 600").select("lang", "text").collect()}
+    mixed = " ".join(" ".join(by[k].split()[:80]) for k in ("en", "de")) * 40
+    d = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6, mixed, None)] * 2, "doc_id long, text string, lang string"))
+    one, two = language_id.identify(d).where("doc_id = 1000000").collect()
+    assert one == two and {s["lang"] for s in one["spans"]} == {"en", "de"} and 70 < len(one["spans"]) < 90
+    assert all(x["end"] < y["start"] for x, y in zip(one["spans"], one["spans"][1:], strict=False)) and one["spans"][-1]["end"] <= len(mixed)
+
+
+def test_dirty_language_column_stays_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 4)
+    d = docs.select("doc_id", "text", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")).alias("lang"))
+    assert language_id.learn(d)["langs"] == ["de", "en", "es", "fr"]
 
 
 def test_mixed_text_gets_spans(docs):
@@ -204,6 +237,8 @@ def test_mixed_text_gets_spans(docs):
     by = {r["lang"]: r["text"] for r in docs.where("length(text) > 600").select("lang", "text").collect()}
     en, de = (" ".join(by[k].split()[:60]) for k in ("en", "de"))
     _, _, spans = language_id.Labeller(model).label([f"{en} {de}"])[0]
+    odd = "½ Ⅷ x½y İstanbul naïve ②"
+    assert [odd[a:e].lower() for a, e in language_id.words_at(odd)] == language_id.words_of(odd) == ["x", "y", "i̇stanbul", "naïve"]
     assert [s[2] for s in spans] == ["en", "de"] and abs(spans[0][1] - len(re.findall(r"[^\W\d_]+", en))) < 6
 
 
@@ -217,18 +252,48 @@ def test_substitutions_are_found_and_chance_is_not(spark):
     near = [w if i % 6 else "zz" for i, w in enumerate(item)]
     noise = " ".join(rng.choice(words, 5000))
     d = documents(spark, "pre, " + " ".join(item).upper().replace(" ", ", "), noise + " " + " ".join(near) + " tail", noise, None, "", " ".join(item[:9]), " ".join(item))
-    b = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "a b"), (7, " ".join(item))], "item_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "zz yy"), (7, " ".join(item))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["token"]) for r in decontaminate.contaminated(d, b).collect()}
     assert got == {(0, 7): (30, 1), (1, 7): (25, 5000), (6, 7): (30, 0)}
     assert sorted(r["doc_id"] for r in decontaminate.without_contaminated(d, b).collect()) == [2, 3, 4, 5]
     assert decontaminate.contaminated(d, b.where("false")).count() == 0 and decontaminate.contaminated(d.where("false"), b).count() == 0
 
 
-def test_blocks_of_the_benchmark_find_the_same(spark, docs, monkeypatch):
-    b = spark.read.parquet(f"{SF}/benchmark.parquet")
-    want = sorted(map(tuple, decontaminate.contaminated(docs, b).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 700)
-    assert want and sorted(map(tuple, decontaminate.contaminated(docs, b).collect())) == want
+def test_a_large_benchmark_is_joined_with_the_same_result(spark, docs, monkeypatch):
+    b = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, "zq zr"), (901, "zq zr"), (902, ""), (None, "x y"), (903, None)], "item_id long, text string"))
+    d = docs.union(spark.createDataFrame([(10**6, "say Zq, zr again", "en", "s", 1), (None, "zq zr " * 3000, None, None, None), (None, None, None, None, None)], SCHEMA)).withColumn("item", F.lit("clash"))
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(map(tuple, decontaminate.contaminated(d, b).collect()), key=key)
+    kept = sorted(map(str, decontaminate.without_contaminated(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 10)
+    assert {(10**6, 900, 2, 2, 1), (10**6, 901, 2, 2, 1), (None, 900, 2, 2, 0)} <= set(want)
+    assert sorted(map(tuple, decontaminate.contaminated(d, b).collect()), key=key) == want
+    assert sorted(map(str, decontaminate.without_contaminated(d, b).collect())) == kept and len(kept) < d.count()
+    assert decontaminate.contaminated(d.where("false"), b).count() == 0
+
+
+def test_tolerance_against_brute_force(spark):
+    """Every (text, item) that the rule holds at a place where a mask fits, and no other."""
+    rng = np.random.default_rng(9)
+    found = Counter()
+    items = [[f"i{k}q{j}" for j in range(n)] for k, n in enumerate((3, 7, 12, 24, 26, 40, 60))]
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    texts, truth = [], []
+    for rate in (0.0, 0.1, 0.2, 0.3):
+        for k, w in enumerate(items):
+            for _ in range(6):
+                copy = [f"s{x}" if rng.random() < rate else x for x in w]
+                texts.append(" ".join(["lead", *copy, "tail"]))
+                same = [x == y for x, y in zip(w, copy, strict=True)]
+                n = len(w)
+                held = sum(same) >= (0.6 * n if n > 4 else n) or any(sum(same[i : i + 25]) >= 20 for i in range(n - 24))
+                seeded = any(all(same[i + p] for p in m) for m in (decontaminate.MASKS if n > 4 else [tuple(range(n))]) for i in range(n - m[-1]))
+                truth.append((rate, k, held and seeded))
+                found[rate, "held"] += held
+                found[rate, "found"] += held and seeded
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(documents(spark, *texts), b).collect()}
+    assert got == {(i, k) for i, (_, k, ok) in enumerate(truth) if ok}
+    assert all(found[r, "found"] >= low * found[r, "held"] for r, low in ((0.0, 1), (0.1, 0.95), (0.2, 0.85), (0.3, 0.85))), found
 
 
 def test_decontamination_query_against_brute_force(spark, texts):
@@ -362,6 +427,24 @@ def test_recall_and_scores(spark):
     assert hit / len(rows) >= 0.9
 
 
+def test_shards_and_doubles(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(3000, 8)) * 1e100  # beyond the range of 32-bit numbers
+    v[7] = v[6] * (1 + 1e-12)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SHARD_ROWS", 300)
+    by = {}
+    for r in ann.nearest(e.union(e.where("vec_id = 20"))).collect():
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q, found in by.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len({x[1] for x in found} & set(np.lexsort((np.arange(3000), -s))[:20].tolist()))
+        assert all(sc == pytest.approx(s[i], rel=1e-12) for _, i, sc in found if i != q)
+    assert hit / (20 * len(by)) > 0.95 and len(by) == 150
+
+
 def test_vectors_that_take_no_part_and_copies(spark):
     bad = [(100, None), (101, [0.0, 0.0]), (120, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0])]
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(200, [0.0, 2.0]), (201, [1.0, 1.0])] + bad
@@ -563,6 +646,8 @@ def test_hot_group_is_spread_and_edges(spark):
     check_shards(rows)
     at = {r["doc_id"]: r["shard"] for r in rows}
     assert len({at[i] for i in range(1000)}) <= 10
+    report = sharding.quality(sharding.shard_documents(d)).first()
+    assert report["shards"] == 16 and report["most"] - report["fewest"] <= 1 and 5 <= report["edges_cut"] <= 60
     assert sum(len({at[i] for i in range(1000 + k, 1400, 100)}) == 1 for k in range(100)) >= 80
     few = sharding.shard_documents(d.where("doc_id < 5")).collect()
     check_shards(few)

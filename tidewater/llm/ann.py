@@ -11,8 +11,11 @@ and the best of all shards are kept, nearest first, ties to the smaller id.
 
 A shard's vectors arrive sorted before the queries, which stream through in batches, so a
 task holds one shard (SHARD_ROWS nodes at most, in the mean) however many queries there are.
-Vectors that are null, zero, or hold null or non-finite components take no part; neither do
-those with another number of components than most. Rows that repeat a vec_id count singly.
+Vectors of doubles keep their precision: graphs are built on 32-bit copies scaled to length 1 at
+most, scores come from the vectors as they are. Vectors that are null, zero, or hold null or
+non-finite components take no part; neither do those with another number of components than most,
+since no inner product with most queries exists. Rows that repeat a vec_id count singly, rows
+without one take no part, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, LEAST_SHARDS = 65_536, 8
-DEGREE, BEAM, ALPHA, BATCH = 24, 64, 1.2, 512
+DEGREE, BEAM, SEARCH_BEAM, ALPHA, BATCH = 32, 64, 128, 1.2, 512
 
 
 def _distances(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -132,8 +135,10 @@ class Shard:
 
     def __init__(self, vectors: np.ndarray, members: list[list[int]], longest: float):
         self.vectors, self.members = vectors, members
-        extra = np.sqrt(np.maximum(0, longest - (vectors.astype(np.float64) ** 2).sum(axis=1)))
-        self.long = np.hstack([vectors, extra[:, None]]).astype(np.float32)
+        self.scale = float(longest)
+        short = vectors.astype(np.float64) / self.scale
+        extra = np.sqrt(np.maximum(0, 1 - (short**2).sum(axis=1)))
+        self.long = np.hstack([short, extra[:, None]]).astype(np.float32)
         self.norms = (self.long**2).sum(axis=1)
         self.graph, self.start = build_graph(self.long)
 
@@ -141,9 +146,10 @@ class Shard:
         """(query, vec_id, score): the k best of the shard for every query, without its own row."""
         out = []
         for a in range(0, len(ids), BATCH):
-            q = queries[a : a + BATCH]
-            found, _ = beam_search(self.long, self.norms, self.graph, self.start, np.hstack([q, np.zeros((len(q), 1), np.float32)]), max(BEAM, 2 * k))
-            for own, query, nodes in zip(ids[a : a + BATCH], q.astype(np.float64), found, strict=True):
+            q = queries[a : a + BATCH].astype(np.float64)
+            short = (q / self.scale).astype(np.float32)
+            found, _ = beam_search(self.long, self.norms, self.graph, self.start, np.hstack([short, np.zeros((len(q), 1), np.float32)]), max(SEARCH_BEAM, 2 * k))
+            for own, query, nodes in zip(ids[a : a + BATCH], q, found, strict=True):
                 nodes = nodes[nodes >= 0]
                 score = self.vectors[nodes].astype(np.float64) @ query
                 got = []
@@ -159,7 +165,9 @@ class Shard:
 def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of every row whose key is divisible by every."""
     v = F.col("v")
-    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id is not null and v is not null")
+    kind = "double" if "double" in embeddings.schema[vector].dataType.simpleString() else "float"
+    real = np.float64 if kind == "double" else np.float32
+    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v")).where("id is not null and v is not null")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(fine)
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -167,7 +175,8 @@ def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding
     if common is None:
         return embeddings.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("v") == common["d"])
-    longest, n = rows.agg(F.max(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.count("*")).first()
+    most = F.array_max(F.transform(v, F.abs)).cast("double")  # divided by it, no square overflows
+    longest, n = rows.agg(F.max(most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / most, F.lit(2.0))))), F.count("*")).first()
     shards = max(1 if n < 256 * LEAST_SHARDS else LEAST_SHARDS, math.ceil(n / SHARD_ROWS))
     dim = int(common["d"])
 
@@ -175,7 +184,7 @@ def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding
         """Of each vector of the task, the k + 1 smallest ids."""
         have: dict[bytes, list[int]] = {}
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim) + np.float32(0)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(real).reshape(-1, dim) + real(0)
             for i, x in zip(b.column(0).to_pylist(), flat, strict=True):
                 ids = have.setdefault(x.tobytes(), [])
                 ids.append(i)
@@ -198,7 +207,7 @@ def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     def packed(batches):
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim) + np.float32(0)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(real).reshape(-1, dim) + real(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], ["id", "x"])
 
     asked = rows.where(F.col("id") % every == 0).mapInArrow(packed, "id long, x binary")
@@ -212,7 +221,7 @@ def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding
             for a, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == e:
                     continue
-                x = np.frombuffer(b"".join(b.column(4).slice(a, e - a).to_pylist()), np.float32).reshape(-1, dim)
+                x = np.frombuffer(b"".join(b.column(4).slice(a, e - a).to_pylist()), real).reshape(-1, dim)
                 if which[a] != current:
                     current, held, members, shard = which[a], [], [], None
                 if kind[a] == 0:

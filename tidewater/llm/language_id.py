@@ -8,14 +8,18 @@ letters in its spans, and the score is its share of the letters, scaled by how s
 word scores are. All documents of a batch step through their words together.
 
 Learning reads at most about TRAIN_DOCUMENTS documents of each language, chosen by a hash
-of doc_id, each up to TRAIN_BYTES bytes. Texts that are null or have no letter are ``und``
-with score 0. Without any labelled document every text is ``und``.
+of doc_id, each whole.
+At most MAX_LANGUAGES languages are learned, those with the most rows (ties by name), so that a
+column of free text as ``lang`` stays bounded. Texts that are null or have no letter are ``und``
+with score 0, as is every text without any labelled document. Rows that repeat a doc_id are
+labelled row by row, ties between languages go to the first by name, and an empty table gives
+no rows. Long texts are labelled whole.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from tidewater.llm import common as C
 from tidewater.llm.holdout import held_out
 
 U64 = C.U64
-TRAIN_DOCUMENTS, TRAIN_BYTES = 1500, 65_536
+TRAIN_DOCUMENTS, MAX_LANGUAGES = 1500, 200
 #: Scripts by ranges of code points (fixed values of the Unicode standard).
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF)),
@@ -49,17 +53,47 @@ FORBIDDEN, SWITCH_PENALTY = -12.0, 9.0
 CACHED_WORDS = 500_000
 #: Documents of over eight times as many words are labelled in segments of this many.
 SEGMENT = 256
-_LETTER_WORD = re.compile(r"[^\W\d_]+")
+#: Bytes that the lanes of a long document may take; beyond, its words are stepped through one by one.
+LANE_BYTES = 64 << 20
+_LETTER_WORD = re.compile(r"[^\W\d_]+")  # and numbers that are not digits, like fractions
 _table = np.full(0x10000, len(SCRIPTS), np.uint8)
 for _k, _ranges in enumerate(SCRIPTS.values()):
     for _a, _b in _ranges:
         _table[_a : _b + 1] = _k
 
 
-def word_scripts(words: list[str]) -> np.ndarray:
-    """The script of every word's first letter; one past the last where unknown."""
-    first = np.array([ord(w[0]) for w in words], dtype=np.int64)
-    return np.where(first < len(_table), _table[np.minimum(first, len(_table) - 1)], len(SCRIPTS))
+def words_at(text: str) -> list[tuple[int, int]]:
+    """Start and end of every run of letters."""
+    found = []
+    for m in _LETTER_WORD.finditer(text):
+        if m.group().isalpha():
+            found.append(m.span())
+        else:
+            at = m.start()
+            for letters, run in groupby(m.group(), str.isalpha):
+                n = len(list(run))
+                if letters:
+                    found.append((at, at + n))
+                at += n
+    return found
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case, one for one with words_at."""
+    words = _LETTER_WORD.findall(text)
+    if not text.isascii() and not all(map(str.isalpha, words)):
+        words = ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
+    return " ".join(words).lower().split(" ") if words else []
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Which scripts the letters of every word belong to (words, scripts + 1); the last: none known."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    script = np.where(codes < len(_table), _table[np.minimum(codes, len(_table) - 1)], len(SCRIPTS))
+    out = np.zeros((len(words), len(SCRIPTS) + 1), bool)
+    out[np.repeat(np.arange(len(words)), [len(w) for w in words]), script] = True
+    out[:, -1] &= ~out[:, :-1].any(axis=1)  # marks among known letters say nothing
+    return out
 
 
 def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,24 +121,24 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_DOCUMENTS) -> dict:
     """Languages, n-gram log-probabilities by language, and which scripts each may have."""
     known = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null").where(~held_out(F.col("k")))
-    n = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    n = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
     langs = sorted(n)
     if not langs:
         return {"langs": []}
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, bound / n[k])]), F.col("l"))
     place = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("l"))
-    sample = known.where(F.octet_length("t") <= TRAIN_BYTES).where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30) < share).select("t", place.alias("l"))
+    sample = known.where(F.col("l").isin(langs)).where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30) < share).select("t", place.alias("l"))
 
     def count(batches):
         grams = np.zeros((len(langs), 1 << BUCKET_BITS), np.int64)
         scripts = np.zeros((len(langs), len(SCRIPTS) + 1), np.int64)
         for b in batches:
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = _LETTER_WORD.findall(t.lower())
+                words = words_of(t)
                 if words:
                     g, _ = ngram_buckets(words)
                     grams[k] += np.bincount(g, minlength=1 << BUCKET_BITS)
-                    scripts[k] += np.bincount(word_scripts(words), minlength=len(SCRIPTS) + 1)
+                    scripts[k] += scripts_of(words).sum(axis=0)
         for k in range(len(langs)):
             used = np.flatnonzero(grams[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(grams[k][used])], ["l", "g", "n"])
@@ -128,7 +162,8 @@ def word_scores(words: list[str], model: dict) -> np.ndarray:
     n = np.diff(off)
     total = np.add.reduceat(model["logp"][g], off[:-1], axis=0)
     score = total / np.sqrt(n)[:, None] / 2
-    return np.where(model["may"][word_scripts(words)], score, np.minimum(score, 0) + FORBIDDEN).astype(np.float32)
+    barred = scripts_of(words).astype(np.float32) @ (~model["may"]).astype(np.float32) > 0  # by any letter
+    return np.where(barred & ~barred.all(axis=1, keepdims=True), np.minimum(score, 0) + FORBIDDEN, score).astype(np.float32)
 
 
 def _forward(score: np.ndarray, best: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,8 +199,11 @@ def viterbi(score: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
 
 def viterbi_long(score: np.ndarray, penalty: float = SWITCH_PENALTY, width: int = SEGMENT) -> np.ndarray:
     """Best states of one long document (words, languages): its segments step together, each from
-    every state that may come before it, and are then chained from first to last."""
+    every state that may come before it, and are then chained from first to last. With so many
+    languages that this would take over LANE_BYTES, the words are stepped through in turn."""
     n, n_langs = score.shape
+    if n * n_langs * (5 * n_langs + 1) > LANE_BYTES:
+        return viterbi(score[None], penalty)[0]
     n_seg = -(-n // width)
     padded = np.zeros((n_seg * width, n_langs), score.dtype)
     padded[:n] = score
@@ -211,11 +249,11 @@ class Labeller:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """Language, score and spans (first word, end word, language) of every text."""
+        """Language, score and spans (first word, end word, language) of every text; words as in words_at."""
         out = [("und", 0.0, [])] * len(texts)
         held, n = [], 0
         for i, t in enumerate(texts):
-            words = _LETTER_WORD.findall(t.lower()) if t else []
+            words = words_of(t) if t else []
             if words and self.model["langs"]:
                 held.append((i, words))
                 n += len(words)
@@ -255,16 +293,26 @@ class Labeller:
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, n_spans and n_switched (spans of other languages)."""
+    """doc_id, held_out, lang_pred, score, and spans: array of (start, end, lang) in code points, each
+    from the first letter of its first word to the last of its last."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, key, text, lang))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
+    def place(t, spans):
+        if not spans:
+            return []
+        at = words_at(t)
+        return [{"start": at[x][0], "end": at[y - 1][1], "lang": name} for x, y, name in spans]
 
     def label(batches):
         labeller = Labeller(model.value)
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
-                got = labeller.label(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([len(g[2]) for g in got], pa.int32()), pa.array([sum(s[2] != g[0] for s in g[2]) for g in got], pa.int32())], ["doc_id", "lang_pred", "score", "n_spans", "n_switched"])
-
-    found = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(label, "doc_id long, lang_pred string, score double, n_spans int, n_switched int")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans", "n_switched")
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                texts = part.column(1).to_pylist()
+                got = labeller.label(texts)
+                spans = [place(t, g[2]) for t, g in zip(texts, got, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
+
+    found = docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(label, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")

@@ -139,7 +139,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     placed = np.array(best_fit_rounds(counts, capacity), dtype=np.int64).reshape(-1, 5)
     table = spark.sparkContext.broadcast(placed)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(held.withColumn("before", before).drop("n"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
+    held = held.withColumn("before", before).drop("n").hint("merge")  # grows with the tasks: never broadcast
+    ranked = pieces.join(held, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
 
     def assign(batches):
         t = table.value

@@ -19,15 +19,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts before and after personal data is replaced; the edits touch few leaves."""
-    from tidewater.llm.token_counts import apply_edits, build_index, redactions
+    from tidewater.llm.token_counts import apply_edits, build_index, counts, redactions
 
-    return apply_edits(redactions(build_index(_docs(spark, sf_dir).select("doc_id", "text"))))
+    return counts(apply_edits(redactions(build_index(_docs(spark, sf_dir).select("doc_id", "text")))))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.language_id import identify
 
-    return identify(_docs(spark, sf_dir))
+    return identify(_docs(spark, sf_dir)).selectExpr("doc_id", "held_out", "lang_pred", "score", "size(spans) as n_spans", "size(filter(spans, s -> s.lang <> lang_pred)) as n_switched")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

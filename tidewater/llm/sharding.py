@@ -11,7 +11,8 @@ left, and surplus over a quota goes there too, so that shards differ by one row
 
 Null texts count as empty ones (size 1). Rows that repeat a doc_id are placed row by row. An
 empty table gives no rows. Nothing but totals by shard and tables of fixed size (BUCKETS
-rows a shard) is gathered; ranks are sums over buckets plus a rank within a bucket.
+rows a shard) is gathered; ranks are sums over buckets plus a rank within a bucket, of which there
+are as many as keep a bucket at about BUCKET_ROWS rows. ``quality`` reports sizes and cut edges.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import common as C
 
-SHARDS, ROUNDS, BUCKETS = 16, 4, 1024
+SHARDS, ROUNDS, BUCKETS, BUCKET_ROWS = 16, 8, 1024, 20_000
 
 
 def _by_shard(values: dict[int, int], shard: Column) -> Column:
@@ -79,13 +80,14 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = C.materialize(rows, "hubs")
     linked = propagate(rows.where("hub is not null"), quota)
 
-    scattered = F.pmod(F.xxhash64("hub", F.lit(1)), F.lit(BUCKETS // 16)) * 16 + F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(16))
+    buckets = max(BUCKETS, -(-n // (BUCKET_ROWS * 16)) * 16)
+    scattered = F.pmod(F.xxhash64("hub", F.lit(1)), F.lit(buckets // 16)) * 16 + F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(16))
     placed = C.materialize(ranked(linked, ["shard"], scattered), "ranks")
     keep = F.col("__rank") < _by_shard(quota, F.col("shard"))
     kept = {s: 0 for s in quota} | {r["shard"]: r["n"] for r in placed.where(keep).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     # surplus first, hub by hub, so that it stays together where it goes; then documents without links
     rest = placed.where(~keep).select("rid", "hub").union(rows.where("hub is null").select("rid", "hub")).withColumn("all", F.lit(0))
-    rest = ranked(rest, ["all"], F.when(F.col("hub").isNotNull(), scattered).otherwise(BUCKETS + F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(3 * BUCKETS))))
+    rest = ranked(rest, ["all"], F.when(F.col("hub").isNotNull(), scattered).otherwise(buckets + F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(3 * buckets))))
     begins, at = {}, 0
     for s in range(shards):
         begins[s] = at
@@ -97,3 +99,15 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     places = placed.where(keep).select("rid", F.col("shard").cast("int").alias("shard"), F.col("__rank").alias("slot")).union(rest.select("rid", "shard", "slot"))
     out = base.join(places, "rid")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def quality(sharded: DataFrame) -> DataFrame:
+    """One row: shards, fewest and most rows of a shard, groups of equal texts, groups in more than
+    one shard, and cut edges: pairs of a group's documents, in a row by shard, that two shards part.
+
+    Equal texts are told by (size, text_crc32), so unlike texts of one size may pass as a group.
+    """
+    rows = sharded.groupBy("shard").agg(F.count("*").alias("n")).agg(F.count("*").cast("int").alias("shards"), F.min("n").alias("fewest"), F.max("n").alias("most"))
+    parts = sharded.groupBy("size", "text_crc32", "shard").agg(F.count("*").alias("n")).groupBy("size", "text_crc32").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).where("n > 1")
+    cut = parts.agg(F.count("*").alias("groups"), F.count(F.when(F.col("parts") > 1, 1)).alias("groups_cut"), F.coalesce(F.sum(F.col("parts") - 1), F.lit(0)).alias("edges_cut"))
+    return rows.join(cut, how="cross")  # one row each

@@ -1,14 +1,19 @@
 """Edit-aware token counts.
 
-A document's text is cut into leaves of LEAF_CHARS characters or somewhat more, only at
-places where the tokenizer's pre-token pattern cuts whatever follows: before a space that
-stands between two ASCII letters. So a document's count is the sum of its leaves' counts. A
-segment tree over the leaves keeps sums of characters and tokens. Edits find their leaves by
-descending the tree; only the leaves they touch, with those whose boundary context they
-touch, are encoded again, and the sums above them are updated.
-
-Null texts count as empty and have 0 tokens. Edits are (start, end, replacement) in code
-points of the text before any edit; they must not overlap. Rows are handled one by one.
+A document's text is cut into leaves of LEAF_CHARS characters or somewhat more, only at places
+where the tokenizer's pre-token pattern cuts whatever stands around: before white space, and where
+letters, digits and marks meet (see ``_SAFE``), so that texts without spaces are cut as well. So a
+document's count is the sum of its leaves' counts. A segment tree over the leaves keeps sums of
+characters and tokens. Edits find their leaves by descending the tree; only the leaves they touch,
+with those whose boundary context they touch, are encoded again, and the sums above them are
+updated. A leaf that grows too long is cut again. The edited text and tree are returned, so that
+further edits can follow. A run of letters (or digits, or marks) alone is one pre-token, which no
+cut may part: such a run is one leaf, however long.
+
+Null texts count as empty and have 0 tokens; with edits they become the inserted text, without
+they stay null. Edits are (start, end, replacement) in code points of the text before any of them;
+those that overlap or lie outside the text raise a ValueError. Rows are handled one by one, so
+that repeated rows and null ids need no care, and empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -23,16 +28,38 @@ from pyspark.sql import functions as F
 from tidewater.llm import packing, pii
 
 LEAF_CHARS = 256
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁぁ-ゖァ-ヺ一-鿿가-힣"
+_MARKS = r"!-&(-/:-@\[-`{-~、。「」！，：；？"  # no apostrophe, which may begin a contraction
+#: Places between two pre-tokens, by the characters on both sides alone.
+_SAFE = re.compile(f"(?<=[{_LETTERS}0-9'{_MARKS}])(?=[ \t\n\r])|(?<=[{_LETTERS}])(?=[0-9'{_MARKS}])|(?<=[0-9])(?=[{_LETTERS}'{_MARKS}])|(?<=[{_MARKS}])(?=[{_LETTERS}0-9])")
+#: The one string that the tokenizer takes whole; no leaf ends within it.
+_WHOLE = "<|endoftext|>"
+CONTEXT = len(_WHOLE)
 
 
 def leaf_starts(text: str, size: int = LEAF_CHARS) -> list[int]:
-    starts = [0]
-    while m := _SAFE.search(text, starts[-1] + size):
-        starts.append(m.start())
+    starts, at = [0], size
+    while m := _SAFE.search(text, at):
+        at = m.start()
+        if text.find(_WHOLE, max(0, at - CONTEXT + 1), at + CONTEXT - 1) >= 0:  # around this place
+            at += 1
+        else:
+            starts.append(at)
+            at += size
     return starts
 
 
+def checked(edits: list[tuple[int, int, str]], n: int) -> list[tuple[int, int, str]]:
+    """The edits in order."""
+    edits = sorted(edits, key=lambda e: e[:2])
+    at = 0
+    for start, end, _ in edits:
+        if not at <= start <= end <= n:
+            raise ValueError("edits overlap or lie outside the text")
+        at = end
+    return edits
+
+
 class TokenTree:
     """Segment tree of characters and tokens: node 1 is the root, leaves fill the second half."""
 
@@ -43,16 +70,19 @@ class TokenTree:
     @classmethod
     def of(cls, text: str, count) -> TokenTree:
         starts = leaf_starts(text)
-        size = 1 << (len(starts) - 1).bit_length()
-        chars, tokens = np.zeros(2 * size, np.int32), np.zeros(2 * size, np.int32)
-        for k, (a, e) in enumerate(zip(starts, [*starts[1:], len(text)], strict=True)):
-            chars[size + k], tokens[size + k] = e - a, count(text[a:e]) if e > a else 0
-        for s in (chars, tokens):
-            level = size
-            while level > 1:
-                s[level // 2 : level] = s[level : 2 * level].reshape(-1, 2).sum(axis=1)
-                level //= 2
-        return cls(chars, tokens)
+        return cls.over([(e - a, count(text[a:e]) if e > a else 0) for a, e in zip(starts, [*starts[1:], len(text)], strict=True)])
+
+    @classmethod
+    def over(cls, leaves: list[tuple[int, int]]) -> TokenTree:
+        """The tree of leaves (characters, tokens)."""
+        size = 1 << (len(leaves) - 1).bit_length()
+        sums = np.zeros((2, 2 * size), np.int32)
+        sums[:, size : size + len(leaves)] = np.array(leaves).T
+        level = size
+        while level > 1:
+            sums[:, level // 2 : level] = sums[:, level : 2 * level].reshape(2, -1, 2).sum(axis=2)
+            level //= 2
+        return cls(*sums)
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character at (the last one, if beyond), and its start."""
@@ -76,26 +106,34 @@ class TokenTree:
     def edit(self, text: str, edits: list[tuple[int, int, str]], count) -> tuple[str, int]:
         """Apply edits to the tree; the new text, and the characters that were encoded again."""
         parts: list[list] = []  # first leaf, its start, last leaf, its end, edits
-        for start, end, new in sorted(edits):
-            (i, a), (j, b) = self.find(start - 2), self.find(end + 1)
+        for start, end, new in checked(edits, len(text)):
+            (i, a), (j, b) = self.find(start - CONTEXT), self.find(end + CONTEXT)
             e = b + int(self.chars[self.size + j])
             if parts and i <= parts[-1][2]:
                 parts[-1][2:4] = max(j, parts[-1][2]), max(e, parts[-1][3])
                 parts[-1][4].append((start, end, new))
             else:
                 parts.append([i, a, j, e, [(start, end, new)]])
-        out, at, again = [], 0, 0
+        out, at, again, grown = [], 0, 0, {}
         for i, a, j, e, own in parts:
             piece, p = [], a
             for start, end, new in own:
                 piece += [text[p:start], new]
                 p = end
             new_text = "".join(piece) + text[p:e]
-            self.put(i, len(new_text), count(new_text) if new_text else 0)
-            for k in range(i + 1, j + 1):
-                self.put(k, 0, 0)
+            again += len(new_text)
+            starts = leaf_starts(new_text) if len(new_text) > 8 * LEAF_CHARS else [0]
+            leaves = [(y - x, count(new_text[x:y]) if y > x else 0) for x, y in zip(starts, [*starts[1:], len(new_text)], strict=True)]
+            for k, leaf in zip(range(i, j + 1), [*leaves, *[(0, 0)] * (j - i)], strict=False):
+                self.put(k, *leaf)
+            if len(leaves) > j - i + 1:
+                grown[j] = leaves[j - i + 1 :]
             out += [text[at:a], new_text]
-            at, again = e, again + len(new_text)
+            at = e
+        if grown:
+            leaves = [x for k in range(self.size) for x in [(int(self.chars[self.size + k]), int(self.tokens[self.size + k])), *grown.get(k, [])]]
+            new = TokenTree.over([x for x in leaves if x[0]] or [(0, 0)])
+            self.chars, self.tokens, self.size = new.chars, new.tokens, new.size
         return "".join(out) + text[at:], again
 
 
@@ -138,10 +176,14 @@ def redactions(docs: DataFrame, text: str = "text", replacement: str = "[REDACTE
     return docs.mapInArrow(find, schema)
 
 
-def apply_edits(indexed: DataFrame, key: str = "doc_id", text: str = "text", json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_edits, n_tokens_edited, n_chars, n_chars_reencoded, from text, trees and __edits."""
+def apply_edits(indexed: DataFrame, text: str = "text", json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """indexed after its __edits, which go: text and trees as they then are, with __tokens_before,
+    __n_edits, __chars_before and __chars_reencoded. The result takes new __edits."""
     known = packing.default_paths()
     paths = json_path or known[0], ranks_path or known[1]
+    places = [indexed.columns.index(c) for c in (text, "__chars", "__tokens", "__edits")]
+    figures = ("__tokens_before", "__n_edits", "__chars_before", "__chars_reencoded")
+    kept = [c for c in indexed.columns if c != "__edits" and c not in figures]
 
     def count(t):
         return len(packing.token_ids(t, *paths))
@@ -149,11 +191,22 @@ def apply_edits(indexed: DataFrame, key: str = "doc_id", text: str = "text", jso
     def edit(batches):
         for b in batches:
             rows = []
-            for k, t, chars, tokens, edits in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 5)), strict=True):
+            for t, chars, tokens, edits in zip(*(b.column(i) for i in places), strict=True):
+                t, own = t.as_py(), edits.as_py() or []
                 tree = TokenTree(*(np.array(x.values.to_numpy(zero_copy_only=False)) for x in (chars, tokens)))
-                before, n, own = int(tree.tokens[1]), int(tree.chars[1]), edits.as_py() or []
-                again = tree.edit(t.as_py() or "", [(e["start"], e["end"], e["new"]) for e in own], count)[1] if own else 0
-                rows.append((k, before, len(own), int(tree.tokens[1]), n, again))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars", "n_chars_reencoded"])
-
-    return indexed.select(F.col(key).cast("long"), text, "__chars", "__tokens", "__edits").mapInArrow(edit, "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_chars long, n_chars_reencoded long")
+                before = int(tree.tokens[1]), len(own), int(tree.chars[1])
+                again = 0
+                if own:
+                    t, again = tree.edit(t or "", [(e["start"], e["end"], e["new"] or "") for e in own], count)
+                rows.append((t, tree.chars, tree.tokens, *before, again))
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4], strict=True)]
+            own = dict(zip((text, "__chars", "__tokens"), made, strict=False))
+            yield pa.RecordBatch.from_arrays([own.get(c, b.column(b.schema.get_field_index(c))) for c in kept] + made[3:], [*kept, *figures])
+
+    schema = indexed.select(kept).withColumns({c: F.lit(None).cast("long") for c in figures}).schema
+    return indexed.mapInArrow(edit, schema)
+
+
+def counts(edited: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, n_edits, n_tokens_edited, n_chars, n_chars_reencoded of edited rows."""
+    return edited.select(F.col(key).cast("long").alias("doc_id"), F.col("__tokens_before").alias("n_tokens"), F.col("__n_edits").alias("n_edits"), F.get("__tokens", F.lit(1)).cast("long").alias("n_tokens_edited"), F.col("__chars_before").alias("n_chars"), F.col("__chars_reencoded").alias("n_chars_reencoded"))

@@ -1,16 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what toxic texts say and ordinary ones do not,
-one the other way round. A window of text that compresses better with the toxic dictionary
-speaks for a toxic text. Windows are words of the lower-cased text; padding lets the
-compressor find matches up to a window's end. A document's features are drawn from the gains
-of all its windows, and a logistic calibration on training documents turns them into a score
-whose best threshold on those documents is put at THRESHOLD.
-
-Training uses at most about TRAIN_DOCUMENTS labelled documents of up to TRAIN_BYTES bytes of
-each label, chosen by a hash of doc_id. A word counts once for each different word before it,
-so that copies of a text count once. Without labels of both kinds every score is 0. Null and
-empty texts have no windows, and the score that no evidence gives.
+Two zstandard dictionaries are made, one of what toxic texts say and ordinary ones do not, one the
+other way round. A window of text that compresses better with the toxic dictionary speaks for a
+toxic text. Labels mark whole documents of which a few words are toxic, so windows are single words
+of the lower-cased text (the README has figures of wider ones, which drown them); padding lets the
+compressor find matches up to a window's end. A document's features are drawn from the gains of all
+its windows, and a logistic calibration on training documents turns them into a score whose best
+threshold on those documents is put at THRESHOLD.
+
+Training uses at most about TRAIN_DOCUMENTS labelled documents of each label, chosen by a hash of
+doc_id, each whole. A word counts once for each different word before it, so that copies of a text
+count once. A doc_id with labels of both kinds counts as toxic; labels other than 0 and 1 and null
+ids take no part. Without labels of both kinds every score is 0. Null and empty texts have no
+windows, and the score that no evidence gives. Rows that repeat a doc_id are scored row by row,
+long texts whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.holdout import held_out
 
 THRESHOLD = 0.3
-TRAIN_DOCUMENTS, TRAIN_BYTES = 6000, 65_536
+TRAIN_DOCUMENTS = 6000
 DICTIONARY_BYTES, LEVEL, MIN_GAIN = 4096, 7, 3
 #: Words from which a dictionary is trained, at most: those with the most contexts.
 MAX_WORDS, MIN_CONTEXTS = 4000, 4
@@ -99,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = F.when(F.col("y") == 1, bound / n[1]).otherwise(bound / n[0])
     known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30) < share)
     # known has about 2 * bound rows at most, so it goes to the documents, not they to it
-    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where((F.octet_length("t") <= TRAIN_BYTES)).join(F.broadcast(known), "k").dropDuplicates(["t", "y"])
+    sample = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").dropDuplicates(["t", "y"])
     sample = sample.persist()
     words = F.split(F.lower("t"), r"[ \t-\r]+")
     pairs = sample.select("y", words.alias("w")).select("y", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("before"), F.col("w").alias("word"))).alias("p"))
