@@ -103,6 +103,47 @@ def test_accuracy_of_find_pii(spark, tagger):
     assert len(got & want) / len(got) > 0.85 and len(got & want) / len(want) > 0.85
 
 
+def test_spans_in_text_that_no_template_made(spark, docs, texts, tmp_path):
+    """Forms written by hand, in prose of the table: exact spans, found through find_pii."""
+    model = pii.model_for(docs)
+    assert pii.model_for(docs) is model  # trained once
+    pii.save(spark, model, str(tmp_path / "weights"))
+    kept = pii.load(spark, str(tmp_path / "weights"))
+    assert all((kept[k] == a).all() for k, a in model.items())
+    forms = {
+        "email": ["jane_doe (at) example (dot) org", "paul.smith[at]mail[dot]net", "info at shop dot com", "anna@firma dot de", "lee99 AT corp DOT io", "sales [at] acme [dot] com", "mia.k @ post.org"],
+        "phone": ["212-555-0187", "(030) 555-0123", "650.555.0199", "1-800-555-0147", "415 555 2671", "(212)555-0166", "0049 301 5550"],
+        "card": ["4111/1111/1111/1111", "4465758382889437 4465758382889437"],
+    }
+    prose = [t for t in texts.values() if t and 300 < len(t) < 4000 and not pii.base_spans(t)]
+    rng, rows, want = np.random.default_rng(5), [], set()
+    for kind, own in forms.items():
+        for f in own:
+            for _ in range(12):
+                words = prose[len(rows) % len(prose)].split()
+                at = int(rng.integers(1, len(words)))
+                lead = " ".join(words[:at]) + " "
+                places = [(0, 16), (17, 33)] if f.count(" ") == 1 and kind == "card" else [(0, len(f))]
+                want |= {(len(rows), kind, len(lead) + a, len(lead) + e) for a, e in places}
+                rows.append((len(rows), lead + f + " " + " ".join(words[at:])))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()
+    got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in found for s in r["spans"]}
+    assert len(got & want) / len(got) > 0.85 and len(got & want) / len(want) > 0.8
+
+
+def test_many_spans_take_linear_time(tagger):
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        t = "write a.b@c.org or 10.0.0.1, " * (n // 2)
+        began = time.perf_counter()
+        base = pii.base_spans(t)
+        assert len(base) == n and pii.added_spans(tagger, [t], [base]) == [[]]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 15 * took[0] + 1
+
+
 def test_gradient_of_the_crf():
     rng = np.random.default_rng(1)
     p = pii.init()
