@@ -50,10 +50,14 @@ def one_hot(c: Column, values: dict[str, str]) -> list[Column]:
 
 
 def multi_label(probabilities: dict[str, Column], threshold: float = THRESHOLD, other: str = "other") -> list[Column]:
-    """0/1 labels by probability over the threshold; ``other`` where there is none."""
+    """0/1 labels by probability over the threshold; ``other`` also where there is none else.
+
+    ``other`` may have a probability of its own among them.
+    """
     flags = {k: (p > threshold).cast("int") for k, p in probabilities.items()}
     total = sum(flags.values(), F.lit(0))
-    return [*[f.alias(f"label_{k}") for k, f in flags.items()], F.when(total == 0, 1).otherwise(0).alias(f"label_{other}")]
+    last = F.when(total == 0, 1).otherwise(flags.pop(other, F.lit(0)))
+    return [*[f.alias(f"label_{k}") for k, f in flags.items()], last.alias(f"label_{other}")]
 
 
 def valid_binary(c: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +20,17 @@ SPAM_WORDS = (
 MAX_HASHTAGS = 3
 #: Moderation labels that hide a post (fixed values).
 HIDDEN_LABELS = ("porn", "furry", "sexual", "nudity", "gore", "graphic-media")
-_INVISIBLE = r"[\s\p{Z}\x{200b}\x{200c}\x{200d}\x{feff}\x{2800}]"
+_WHITE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+_INVISIBLE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{200b}\x{200c}\x{200d}\x{feff}\x{2800}]"
+_LETTERS_OF_NOTHING = "".join(sorted(set("".join(NULL_WORDS))))
+#: Characters whose compatible form is one of these letters (wide, bold, circled, raised ones), by Unicode's tables.
+_COMPATIBLE = {chr(c): k for c in range(128, sys.maxunicode + 1) if (k := unicodedata.normalize("NFKC", chr(c)).lower()) in _LETTERS_OF_NOTHING and len(k) == 1}
 
 
 def is_blank(c: Column) -> Column:
-    """Null, only white space or invisible characters, or a spelling of nothing."""
-    bare = F.lower(F.regexp_replace(c, rf"^{_INVISIBLE}+|{_INVISIBLE}+$", ""))
-    return c.isNull() | (bare == "") | bare.isin(*NULL_WORDS)
+    """Null, only white space or invisible characters, or a spelling of nothing in compatible letters."""
+    bare = F.lower(F.regexp_replace(F.translate(c, "".join(_COMPATIBLE), "".join(_COMPATIBLE.values())), rf"^{_WHITE}+|{_WHITE}+$", ""))
+    return c.isNull() | (F.regexp_replace(c, f"{_INVISIBLE}+", "") == "") | bare.isin(*NULL_WORDS)
 
 
 def is_valid(c: Column, least: int = 5) -> Column:
@@ -56,14 +63,14 @@ def document_id(c: Column) -> Column:
 
 
 def hashtags(c: Column, exclude: tuple[str, ...] = (), canonical_forms: dict[str, str] | None = None) -> Column:
-    """Words after '#', lower-cased, without the excluded ones, in canonical form."""
-    tags = F.regexp_extract_all(F.lower(c), F.lit(r"#(\w+)"), 1)
-    if exclude:
-        tags = F.array_except(tags, F.array(*[F.lit(x) for x in exclude]))
-    if canonical_forms:
-        names = F.create_map(*[F.lit(x) for pair in canonical_forms.items() for x in pair])
-        tags = F.transform(tags, lambda t: F.coalesce(F.element_at(names, t), t))
-    return tags
+    """Words after '#' of the lower-cased text, as often as they come. Excluded strings are cut out of
+    the text and variants replaced in it first, in the order given, wherever they stand."""
+    c = F.lower(c)
+    for gone in exclude:
+        c = F.replace(c, F.lit(gone), F.lit(""))
+    for variant, form in (canonical_forms or {}).items():
+        c = F.replace(c, F.lit(variant), F.lit(form))
+    return F.regexp_extract_all(c, F.lit(r"#([\p{L}\p{N}_]+)"), 1)
 
 
 def normal_entity(c: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -79,9 +86,9 @@ def one_line(c: Column) -> Column:
 
 def topic_words(c: Column, stop_words: tuple[str, ...] = (), least: int = 3) -> Column:
     """Words without URLs, marks, stop words and words that are too short."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"https?://\S+|www\.\S+", " "), r"[^\w\s]", " ")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"https?://\S+|www\.\S+", " "), r"[^\p{L}\p{N}_\s]", " ")
     words = F.filter(F.split(F.trim(bare), r"\s+"), lambda w: F.length(w) >= least)
-    return F.array_except(words, F.array(*[F.lit(w) for w in stop_words])) if stop_words else words
+    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 
 def last_part(c: Column, separator: str = "/") -> Column:

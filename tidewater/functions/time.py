@@ -33,6 +33,24 @@ def to_pipeline(c: Column) -> Column:
     return F.date_format(parse(fix_midnight(c)), PIPELINE_FORMAT)
 
 
+def to_pipeline_checked(c: Column) -> Column:
+    """As ``to_pipeline``, but a spelling that is not null and fits no format fails the job."""
+    wrong = F.raise_error(F.concat(F.lit("not a timestamp: "), c)).cast("string")
+    return F.when(c.isNotNull(), F.coalesce(to_pipeline(c), wrong))
+
+
+def first_19(c: Column) -> Column:
+    """Date and time to the second, of spellings that begin with them."""
+    return F.substring(c, 1, 19)
+
+
+def cutoff(now: Column, amount: int, period: str = "days") -> Column:
+    """The pipeline timestamp so many days or hours ago."""
+    if amount <= 0 or period not in ("days", "hours"):
+        raise ValueError("a cutoff needs a positive number of days or hours")
+    return F.date_format(now - F.make_interval(**{period: F.lit(amount)}), PIPELINE_FORMAT)
+
+
 def to_iso(c: Column) -> Column:
     return F.date_format(F.try_to_timestamp(c, F.lit(PIPELINE_FORMAT)), ISO_FORMAT)
 

@@ -51,6 +51,57 @@ def tri_state(c: Column, wanted: bool | None, threshold: float = 0.5) -> Column:
     return F.lit(True) if wanted is None else (c >= threshold) if wanted else (c < threshold)
 
 
+def any_of(c: Column, values: list[str]) -> Column:
+    """The array c holds one of the values; anything for none."""
+    return F.coalesce(F.arrays_overlap(c, F.array(*[F.lit(v) for v in values])), F.lit(False)) if values else F.lit(True)
+
+
+def one_of(c: Column, values: list[str]) -> Column:
+    return F.coalesce(c.isin(*values), F.lit(False)) if values else F.lit(True)
+
+
+#: What a choice asks of a flag (fixed values).
+CHOICES = {"Toxic": True, "Not Toxic": False, "Uncertain": None, "Yes": True, "No": False}
+
+
+def flag_is(c: Column, choice: str | None) -> Column:
+    """The flag is as chosen: true, false, or unknown; anything for no choice."""
+    return F.lit(True) if not choice else c.eqNullSafe(F.lit(CHOICES[choice]))
+
+
+def chosen(filters: dict[str, dict], columns: dict[str, Column]) -> tuple[list[Column], int]:
+    """Predicates of a nested set of filters, and how many rows it wants at most.
+
+    columns: text, hashtags (array), date (string), user, valence, toxic and political (booleans), slant.
+    """
+    get = lambda group, name: filters.get(group, {}).get(name)
+    out = [any_keyword(columns["text"], get("Content", "keywords") or []), any_of(columns["hashtags"], get("Content", "hashtags") or []), one_of(columns["user"], get("User", "handles") or [])]
+    if days := get("Temporal", "date_range"):
+        ends = [d.strip() for d in days.split("to")]
+        out.append(columns["date"].between(ends[0], ends[-1]))
+    for group, name in (("Sentiment", "valence"), ("Political", "slant")):
+        if wanted := get(group, name):
+            out.append(F.coalesce(columns[name] == wanted, F.lit(False)))
+    out += [flag_is(columns["toxic"], get("Sentiment", "toxicity")), flag_is(columns["political"], get("Political", "political"))]
+    return out, get("General", "max_results") or 1000
+
+
+#: Names of conditions as shown (fixed values).
+CONDITION_NAMES = {"reverse_chronological": "Reverse Chronological", "representative_diversification": "Diversified Extremity", "engagement": "Engagement-Based"}
+
+
+def recode_conditions(c: Column, names: dict[str, str] = CONDITION_NAMES) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), c), c)
+
+
+def with_study_time(df: DataFrame, day: str, cutoff: str) -> DataFrame:
+    """df with study_day (days since the first), day_centered (since the middle), is_post and period."""
+    ends = df.agg(F.min(day).alias("__a"), F.max(day).alias("__e"))
+    d = df.crossJoin(F.broadcast(ends)).withColumn("study_day", F.datediff(day, "__a"))
+    after = F.col(day) > F.lit(cutoff).cast("date")
+    return d.withColumns({"day_centered": F.col("study_day") - F.datediff("__e", "__a") / 2, "is_post": after.cast("int"), "period": F.when(after, "Post").otherwise("Pre")}).drop("__a", "__e")
+
+
 def in_study(day: Column, start: str, end: str, exclude: tuple[str, ...] = ()) -> Column:
     inside = day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     return inside & ~day.isin([F.lit(x).cast("date") for x in exclude]) if exclude else inside

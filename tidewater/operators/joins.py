@@ -87,6 +87,31 @@ def calendar(spark, start: str, end: str, exclude: tuple[str, ...] = ()) -> Data
     return days.where(~F.col("day").isin([F.lit(x).cast("date") for x in exclude])) if exclude else days
 
 
+def unique_keys(df: DataFrame, on: list[str]) -> DataFrame:
+    """df, of which the job fails if two rows agree on the keys; one shuffle by them."""
+    w = Window.partitionBy(*on)
+    wrong = F.raise_error(F.concat(F.lit("more than one row of "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on])))
+    return df.withColumn("__n", F.count(F.lit(1)).over(w)).where(F.when(F.col("__n") > 1, wrong).otherwise(F.lit(True))).drop("__n")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", fills: dict[str, object] | None = None) -> DataFrame:
+    """A join that fails the job unless the keys are unique on both sides; so rows never multiply."""
+    out = unique_keys(left, on).join(unique_keys(right, on), on, how)
+    return out.fillna(fills) if fills else out
+
+
+def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows for which SQL's NOT IN is true: none if other holds a null, all if it is empty.
+
+    Nulls are counted first, and the rest is a plain anti join, which may shuffle; the join for
+    NOT IN that an engine would choose sends all of other to every task.
+    """
+    seen = other.agg(F.count("*").alias("__all"), F.count_if(F.col(other_key).isNull()).alias("__nulls"))
+    may = df.crossJoin(F.broadcast(seen)).where("__nulls = 0").where(F.col(key).isNotNull() | (F.col("__all") == 0)).drop("__all", "__nulls")
+    keys = other.select(F.col(other_key).alias("__key")).where("__key is not null").distinct()
+    return may.join(keys, F.col(key) == F.col("__key"), "left_anti")
+
+
 def fill_grid(cells: DataFrame, values: DataFrame, on: list[str], fills: dict[str, object]) -> DataFrame:
     """Left join of values onto the grid, gaps filled; values must have one row a cell."""
     return cells.join(values, on, "left").fillna(fills)

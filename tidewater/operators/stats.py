@@ -1,32 +1,38 @@
-"""Statistics: moments and ranks in Spark, distribution functions of a few numbers on the driver."""
+"""Statistics: moments and ranks in Spark, distribution functions of a few numbers apart."""
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.scratch import materialize
 
-#: Ranges of values that are ranked apart.
-BUCKETS = 64
 
+def counted_values(df: DataFrame, column: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """by, column, __n and __before: every value that is not null, how often it comes, and the rows before it.
 
-def average_ranks(df: DataFrame, column: str, alias: str, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """df with the rank of a numeric column, ties sharing their mean rank.
-
-    Ranks come from counts by value, so equal values never meet in one task, and values are
-    ranked within ranges cut at approximate quantiles, so all values do not meet either.
+    Equal values are combined first, so they never meet in one task; values are then sorted over
+    as many ranges as the session shuffles to (or buckets), and sums by range place each range after the others.
     """
     by = by or []
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
-    cuts = counts.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 1000).alias("__cuts"))
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(column)))).drop("__cuts")
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # buckets rows a group
-    ranges = placed.groupBy(*by, "__range").agg(F.sum("__n").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    placed = materialize(counts.repartitionByRange(*([buckets] if buckets else []), *by, column).withColumn("__range", F.spark_partition_id()), "values")
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = placed.groupBy(*by, "__range").agg(F.sum("__n").alias("__sum"))
+    ranges = ranges.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__first"))
     w = Window.partitionBy(*by, "__range").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = placed.withColumn("__upto", F.sum("__n").over(w)).join(ranges, [*by, "__range"])
-    ranks = ranks.select(*by, column, (F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(alias))
+    on = [F.col("__range") == F.col("__of"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]]
+    out = placed.withColumn("__upto", F.sum("__n").over(w)).join(ranges, on)
+    return out.select(*by, column, "__n", (F.col("__first") + F.col("__upto") - F.col("__n")).alias("__before"))
+
+
+def average_ranks(df: DataFrame, column: str, alias: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """df with the rank of a numeric column, ties sharing their mean rank."""
+    by = by or []
+    ranks = counted_values(df, column, by, buckets).select(*by, column, (F.col("__before") + (F.col("__n") + 1) / 2).alias(alias))
     return df.join(ranks, [*by, column])
 
 
@@ -39,8 +45,25 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, column: str, at: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return df.groupBy(*(by or [])).agg(*[F.percentile(column, p).alias(a) for a, p in at.items()])
+    """Exact percentiles with linear interpolation; the values of a group never meet in one task."""
+    by = by or []
+    values = materialize(counted_values(df.withColumn(column, F.col(column).cast("double")), column, by), "counted")
+    total = values.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    if by:
+        total = total.withColumnsRenamed({c: f"__{c}" for c in by})
+        joined = values.join(total, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    else:
+        joined = values.crossJoin(F.broadcast(total))
+
+    def value_at(place: Column) -> Column:
+        return F.max(F.when((F.col("__before") <= place) & (place < F.col("__before") + F.col("__n")), F.col(column)))
+
+    ends = []
+    for k, p in enumerate(at.values()):
+        place = (F.col("__all") - 1) * F.lit(float(p))
+        ends += [value_at(F.floor(place)).alias(f"__low{k}"), value_at(F.ceil(place)).alias(f"__high{k}"), F.first(place - F.floor(place)).alias(f"__part{k}")]
+    found = joined.groupBy(*by).agg(*ends)
+    return found.select(*by, *[(F.col(f"__low{k}") + F.col(f"__part{k}") * (F.col(f"__high{k}") - F.col(f"__low{k}"))).alias(a) for k, a in enumerate(at)])
 
 
 def five_numbers(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -49,16 +72,38 @@ def five_numbers(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
 
 def without_outliers(df: DataFrame, column: str, times: float = 1.5) -> DataFrame:
     """Rows within times the interquartile range of the quartiles."""
-    q = df.agg(F.percentile(column, 0.25).alias("__q1"), F.percentile(column, 0.75).alias("__q3"))
+    q = percentiles(df, column, {"__q1": 0.25, "__q3": 0.75})
     spread = times * (F.col("__q3") - F.col("__q1"))
     return df.crossJoin(F.broadcast(q)).where(F.col(column).between(F.col("__q1") - spread, F.col("__q3") + spread)).drop("__q1", "__q3")
 
 
 def over_percentile(df: DataFrame, column: str, p: float) -> DataFrame:
-    q = df.agg(F.percentile(column, p).alias("__q"))
+    q = percentiles(df, column, {"__q": p})
     return df.crossJoin(F.broadcast(q)).where(F.col(column) >= F.col("__q")).drop("__q")
 
 
+def mean_intervals(df: DataFrame, value: str, by: list[str], share: float = 0.95) -> DataFrame:
+    """n, mean, sd, and low and high of the t interval of the mean, by group (null for single rows).
+
+    The t quantiles are looked up by the distinct group sizes, of which there are few.
+    """
+    m = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        known = {k: t_quantile(share, k - 1) if k > 1 else float("nan") for k in n.unique()}
+        return n.map(known)
+
+    half = F.nullif(quantile("n"), F.lit(float("nan"))) * F.col("sd") / F.sqrt("n")
+    return m.withColumn("__half", half).select(*by, "n", "mean", "sd", (F.col("mean") - F.col("__half")).alias("low"), (F.col("mean") + F.col("__half")).alias("high"))
+
+
+def distribution(df: DataFrame, column: str) -> DataFrame:
+    """One row: n, mean, median and sample deviation, as printed beside a histogram."""
+    middle = percentiles(df, column, {"median": 0.5})
+    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd")).crossJoin(F.broadcast(middle))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """bin, low, high and n of equal bins from least to greatest; the last bin is closed."""
     ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
@@ -131,7 +176,7 @@ def two_samples(df: DataFrame, value: str, group: Column) -> dict[str, float]:
     group is true for the second sample. All moments and rank sums are aggregates over df.
     """
     d = df.select(F.col(value).cast("double").alias("x"), group.alias("g")).where("x is not null and g is not null")
-    centre = d.groupBy("g").agg(F.percentile("x", 0.5).alias("m"))
+    centre = percentiles(d, "x", {"m": 0.5}, ["g"])
     ranked = average_ranks(d, "x", "r").join(F.broadcast(centre), "g").withColumn("z", F.abs(F.col("x") - F.col("m")))
     rows = {r["g"]: r for r in ranked.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"), F.sum("r").alias("ranks"), F.avg("z").alias("zmean"), F.var_pop("z").alias("zvar")).collect()}
     if len(rows) < 2:

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"\b\w\w+\b"
+from tidewater.sources.scratch import materialize
+
+TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 def tf_idf(docs: DataFrame, key: str, text: str, min_df: int = 1, max_df: float = 1.0, vocabulary: int = 10_000) -> DataFrame:
@@ -18,6 +20,7 @@ def tf_idf(docs: DataFrame, key: str, text: str, min_df: int = 1, max_df: float
     """
     terms = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)).alias("term"))
     tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = materialize(tf, "term-counts")  # read for the vocabulary and for the weights
     n = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
     df = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("total"), "term").limit(vocabulary)
@@ -27,10 +30,11 @@ def tf_idf(docs: DataFrame, key: str, text: str, min_df: int = 1, max_df: float
     return raw.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
 
 
-def top_terms(weights: DataFrame, n_docs: int | Column, top: int) -> DataFrame:
+def top_terms(weights: DataFrame, docs: DataFrame, top: int) -> DataFrame:
     """Terms by mean weight over all documents."""
-    mean = F.round(F.sum("weight") / n_docs, 6)
-    return weights.groupBy("term").agg(mean.alias("score")).orderBy(F.desc("score"), "term").limit(top)
+    n = docs.agg(F.count("*").alias("n"))
+    total = weights.groupBy("term").agg(F.sum("weight").alias("w")).crossJoin(F.broadcast(n))
+    return total.select("term", F.round(F.col("w") / F.col("n"), 6).alias("score")).orderBy(F.desc("score"), "term").limit(top)
 
 
 def slice_shares(assigned: DataFrame, slices: list[str], topic: str) -> DataFrame:
@@ -45,6 +49,20 @@ def slice_summary(shares: DataFrame, slices: list[str], topic: str) -> DataFrame
     return shares.groupBy(*slices).agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_topics"), F.negative(top["t"]).alias("top_topic"), F.max("share").alias("top_share"))
 
 
+def cosine_coherence(pairs: DataFrame, topic: str) -> DataFrame:
+    """topic and coherence: mean cosine of the words' NPMI vectors to their sum, from (topic, a, b, npmi).
+
+    pairs holds every pair of a topic's words once, a few dozen a topic; a word's own value is 1.
+    """
+    both = pairs.select(topic, "a", "b", "npmi").union(pairs.select(topic, F.col("b").alias("a"), F.col("a").alias("b"), "npmi"))
+    own = both.select(topic, "a").distinct().select(topic, "a", F.col("a").alias("b"), F.lit(1.0).alias("npmi"))
+    cells = both.union(own)
+    total = cells.groupBy(topic, "b").agg(F.sum("npmi").alias("sum"))
+    length = total.groupBy(topic).agg(F.sqrt(F.sum(F.col("sum") * F.col("sum"))).alias("total_length"))
+    words = cells.join(total, [topic, "b"]).groupBy(topic, "a").agg(F.sum(F.col("npmi") * F.col("sum")).alias("dot"), F.sqrt(F.sum(F.col("npmi") * F.col("npmi"))).alias("length"))
+    return words.join(length, topic).groupBy(topic).agg(F.avg(F.try_divide(F.col("dot"), F.col("length") * F.col("total_length"))).alias("coherence"))
+
+
 def npmi(docs: DataFrame, key: str, words: str, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with the normalised pointwise mutual information of words in documents.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.windows import numbered
+
 
 def _uniform(key: str, seed: int) -> Column:
-    """A number in [0, 1) from a key, alike on every run and every partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) from a key, alike on every run, every partitioning and every engine with md5."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 10)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 40)
 
 
 def top_n(df: DataFrame, count: str, key: str, n: int = 10) -> DataFrame:
@@ -33,6 +36,14 @@ def too_short(df: DataFrame, by: list[str], length: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") < length)
 
 
+def checked_length(df: DataFrame, by: list[str], length: int) -> DataFrame:
+    """df, of which the job fails if a group has fewer rows than it must have."""
+    short = too_short(df, by, length).limit(1)
+    wrong = short.agg(F.count("*").alias("__short"))
+    checked = F.when(F.col("__short") > 0, F.raise_error(F.lit(f"a group has fewer than {length} rows"))).otherwise(F.lit(True))
+    return df.crossJoin(F.broadcast(wrong)).where(checked).drop("__short")
+
+
 def page_after(items: DataFrame, position: str, item: str, cursor: str | None, limit: int = 30) -> DataFrame:
     """The page after the item whose sha256 is the cursor (the first page for none; empty for eof)."""
     if cursor == "eof":
@@ -61,10 +72,22 @@ def sample_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataF
     return df.limit(0) if share <= 0 else df if share >= 1 else df.where(_uniform(key, seed) < share)
 
 
-def resample(df: DataFrame, key: str, size: int, n: int, seed: int = 42) -> DataFrame:
-    """size rows from df's n rows: a sample, or each as often as it takes and a sample for the rest."""
-    whole, rest = divmod(size, max(1, n))
-    many = df.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(whole)))) if whole else df.withColumn("__copy", F.lit(0))
-    return many.orderBy("__copy", _uniform(key, seed), key).limit(size).drop("__copy") if rest or whole else many.limit(0)
+def resample(df: DataFrame, key: str, size: int, n: int, seed: int = 42, replacement: bool = True) -> DataFrame:
+    """size rows from df's n rows: a sample without repeats, or if n is too small, draws with replacement.
+
+    Draws are numbered; each takes the row whose place (by hash of key) its own hash points at, so the
+    draws are shuffled, never gathered. Without replacement, each row comes as often as it takes.
+    """
+    if n <= 0 or size <= 0:
+        return df.limit(0)
+    if size <= n:
+        return sample_n(df, key, size, seed)
+    if not replacement:
+        whole = -(-size // n)
+        many = df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(whole))))
+        return many.orderBy("__copy", _uniform(key, seed), key).limit(size).drop("__copy")
+    placed = numbered(df, [_uniform(key, seed), F.col(key)], "__at")
+    draws = df.sparkSession.range(size).select(F.floor(_uniform("id", seed + 1) * n).alias("__at"))
+    return placed.join(draws, "__at").drop("__at")
 
 

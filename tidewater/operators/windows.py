@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.scratch import materialize
+
 
 def first_n(df: DataFrame, by: list[str], order: list[Column], n: int = 1, ties: bool = False) -> DataFrame:
     """The first n rows of each group; with ties, all rows that rank so far."""
@@ -22,19 +24,22 @@ def latest(df: DataFrame, key: str | list[str], ts: str, *tie_break: str, since:
     return out.where(F.col(ts) >= since) if since is not None and not since_first else out
 
 
-def top_share(df: DataFrame, key: str, share: float) -> DataFrame:
-    """The most frequent keys, as many as share of all: key, n, place and total.
+def numbered(df: DataFrame, order: list[Column], alias: str) -> DataFrame:
+    """df numbered from 0 in a total order, sorted over as many ranges as the session shuffles to."""
+    placed = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = placed.groupBy("__range").agg(F.count("*").alias("__c")).select("__range", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return placed.withColumn("__in", within).join(ranges, "__range").withColumn(alias, F.col("__first") + F.col("__in")).drop("__range", "__first", "__in")
 
-    Keys are first ranked by classes of equal counts, of which there are few; only the classes
-    that reach into the share are then ranked within, each in its own task.
-    """
+
+def top_share(df: DataFrame, key: str, share: float) -> DataFrame:
+    """The most frequent keys, as many as share of all: key, n, place and total."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    classes = counts.groupBy("n").agg(F.count("*").alias("__keys")).withColumn("__upto", F.sum("__keys").over(upto))
-    total = classes.agg(F.sum("__keys").alias("total"))
-    reach = classes.crossJoin(F.broadcast(total)).where(F.col("__upto") - F.col("__keys") < F.floor(F.col("total") * share))
-    ranked = counts.join(reach, "n").withColumn("place", (F.col("__upto") - F.col("__keys") + F.row_number().over(Window.partitionBy("n").orderBy(key))).cast("int"))
-    return ranked.where(F.col("place") <= F.floor(F.col("total") * share)).select(key, "n", "place", "total")
+    ranked = numbered(counts, [F.desc("n"), F.col(key)], "__place")
+    total = counts.agg(F.count("*").alias("total"))
+    out = ranked.crossJoin(F.broadcast(total)).where(F.col("__place") < F.floor(F.col("total") * share))
+    return out.select(key, "n", (F.col("__place") + 1).cast("int").alias("place"), "total")
 
 
 def running_cap(df: DataFrame, by: list[str], order: list[Column], flag: Column, cap: int | Column) -> DataFrame:

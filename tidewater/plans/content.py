@@ -51,13 +51,10 @@ def agg_user_feed_averages(spark, sf):
 
 
 @register("agg_baseline_by_source", """
-SELECT source, lang, round(avg(toxic), 6) AS average_toxic, round(avg(quality), 6) AS average_quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE source IN ('src0', 'src1') GROUP BY 1, 2""")
+SELECT source, lang, round(avg(toxic), 6) AS average_toxic, round(avg(quality), 6) AS average_quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2""")
 def agg_baseline_by_source(spark, sf):
-    from tidewater.operators.sets import union_all
-
     d = table(spark, sf, "documents").select("doc_id", "source", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
-    one = lambda s: d.where(F.col("source") == s).groupBy("source", "lang").agg(F.round(F.avg("toxic"), 6).alias("average_toxic"), F.round(F.avg("quality"), 6).alias("average_quality"), F.count("*").alias("n"))
-    return union_all([one("src0"), one("src1")])
+    return d.groupBy("source", "lang").agg(F.round(F.avg("toxic"), 6).alias("average_toxic"), F.round(F.avg("quality"), 6).alias("average_quality"), F.count("*").alias("n"))
 
 
 @register("agg_network_filtered_sets", """
@@ -139,20 +136,20 @@ def fn_lookback(spark, sf):
 
 
 @register("fn_entities", """
-WITH w AS (SELECT unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM documents WHERE lang = 'en'), n AS (SELECT regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g') AS e FROM w)
+WITH w AS (SELECT unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM documents), n AS (SELECT regexp_replace(lower(w), '^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$', '', 'g') AS e FROM w)
 SELECT CASE e WHEN 'thee' THEN 'the' ELSE e END AS entity, count(*) AS n FROM n GROUP BY 1 HAVING count(*) >= 20""")
 def fn_entities(spark, sf):
-    w = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.split(F.trim("text"), r"\s+")).alias("w"))
+    w = table(spark, sf, "documents").select(F.explode(F.split(F.trim("text"), r"\s+")).alias("w"))
     return w.groupBy(T.normal_entity(F.col("w"), {"thee": "the"}).alias("entity")).agg(F.count("*").alias("n")).where("n >= 20")
 
 
 @register("fn_topic_words", """
-WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^a-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and'))) AS ws FROM documents WHERE lang = 'en')
-SELECT doc_id, len(ws)::BIGINT AS n_words FROM t""")
+WITH t AS (SELECT doc_id, (list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^\\p{L}\\p{N}_\\s]', ' ', 'g')), '\\s+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and'))) AS ws FROM documents)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(list_distinct(ws))::BIGINT AS n_distinct FROM t""")
 def fn_topic_words(spark, sf):
-    """Distinct topic words; ASCII text on both sides."""
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    return d.select("doc_id", F.size(F.array_distinct(T.topic_words(F.regexp_replace("text", r"[^\x00-\x7f]", " "), ("the", "and")))).cast("long").alias("n_words"))
+    """Topic words of every text, all and distinct."""
+    w = table(spark, sf, "documents").select("doc_id", T.topic_words(F.col("text"), ("the", "and")).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 @register("fn_facets", "SELECT user_id, string_agg(DISTINCT 'tag:' || event_type, ',' ORDER BY 'tag:' || event_type) AS facets FROM events GROUP BY 1")
@@ -197,8 +194,8 @@ def ml_classify_pluggable(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
 
     def scorer(frame):
-        n = frame["text"].str.len()
-        return frame[["doc_id"]].assign(label=(n >= 200).astype("int32"), score=n.astype("int64"))
+        n = frame["text"].str.len().astype("Int64")  # null for null texts
+        return frame[["doc_id"]].assign(label=(n >= 200).astype("Int32"), score=n)
 
     return TS.classify(d, scorer, "doc_id long, label int, score long")
 

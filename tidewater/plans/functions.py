@@ -109,7 +109,7 @@ def fn_freshness_exponential(spark, sf):
 @register("feed_end_to_end", f"""
 WITH {_POSTS}, s AS (SELECT uri, author, CASE WHEN uri % 2 = 0 THEN 'firehose' ELSE 'most_liked' END AS source, round((likeability + fresh), 6) AS score FROM r),
 c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY author ORDER BY score DESC, uri) <= 5),
-u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0), e AS (SELECT DISTINCT o_custkey AS user_id, l_suppkey AS other FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'),
+u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT DISTINCT o_custkey AS user_id, l_suppkey AS other FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 n AS (SELECT DISTINCT u.user_id, c.uri, c.score FROM u JOIN e USING (user_id) JOIN c ON c.author = e.other AND c.source = 'firehose'),
 o AS (SELECT user_id, uri, score, true AS own FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, uri) <= 50),
 x AS (SELECT u.user_id, c.uri, c.score, false AS own FROM u CROSS JOIN c WHERE c.source = 'most_liked' AND NOT EXISTS (SELECT 1 FROM n WHERE n.user_id = u.user_id AND n.uri = c.uri)),
@@ -119,9 +119,8 @@ def feed_end_to_end(spark, sf):
     config = S.FeedConfig(lookback_days=30)
     posts = _scored(spark, sf, config).withColumn("engagement_score", F.round("engagement_score", 6))
     posts = FD.capped_per_author(posts, [F.desc("engagement_score"), F.col("uri")], config)
-    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    edges = o.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("other")).distinct()
-    users = table(spark, sf, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("user")).distinct().withColumn("condition", F.lit("engagement"))
+    edges = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("other")).distinct()
+    users = table(spark, sf, "events").select(F.col("user_id").alias("user")).distinct().withColumn("condition", F.lit("engagement"))
     feed = FD.rank_feeds(users, FD.pools(posts).where("condition = 'engagement'").drop("author_did"), FD.in_network(users, edges, posts), config=config)
     return feed.select(F.col("user").alias("user_id"), "position", "uri", "is_in_network")
 
@@ -169,10 +168,10 @@ def fn_map_string(spark, sf):
 
 
 @register("fn_hashtags", """
-WITH h AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(regexp_replace(text, '(\\w)[%&*$]+', '#\\1', 'g')), '#([a-z0-9_]+)', 1)) AS tag FROM documents)
+WITH h AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(regexp_replace(text, '(\\w)[%&*$]+', '#\\1', 'g')), '#([\\p{L}\\p{N}_]+)', 1)) AS tag FROM documents)
 SELECT lang, tag, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM h GROUP BY 1, 2 HAVING count(*) >= 5""")
 def fn_hashtags(spark, sf):
-    """Noise marks turned to hashtags; ASCII word characters on both sides."""
+    """Noise marks turned to hashtags."""
     d = table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", r"(\w)[%&*$]+", "#$1").alias("t"))
     h = d.select("doc_id", "lang", F.explode(T.hashtags(F.col("t"))).alias("tag"))
     return h.groupBy("lang", "tag").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n >= 5")
@@ -191,13 +190,13 @@ def fn_uri_parts(spark, sf):
 
 
 @register("fn_multi_label", """
-WITH p AS (SELECT event_id, (event_id % 101) / 101.0 AS e, (event_id % 103) / 103.0 AS i, (event_id % 107) / 107.0 AS m FROM events)
-SELECT event_id, (e > 0.5)::INT AS label_emotion, (i > 0.5)::INT AS label_intergroup, (m > 0.5)::INT AS label_moral, CASE WHEN e > 0.5 OR i > 0.5 OR m > 0.5 THEN 0 ELSE 1 END AS label_other FROM p""")
+WITH p AS (SELECT event_id, (event_id % 101) / 101.0 AS e, (event_id % 103) / 103.0 AS i, (event_id % 107) / 107.0 AS m, (event_id % 109) / 109.0 AS o FROM events)
+SELECT event_id, (e > 0.5)::INT AS label_emotion, (i > 0.5)::INT AS label_intergroup, (m > 0.5)::INT AS label_moral, CASE WHEN o > 0.5 OR NOT (e > 0.5 OR i > 0.5 OR m > 0.5) THEN 1 ELSE 0 END AS label_other FROM p""")
 def fn_multi_label(spark, sf):
     from tidewater.functions.labels import multi_label
 
     i = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", *multi_label({"emotion": (i % 101) / 101.0, "intergroup": (i % 103) / 103.0, "moral": (i % 107) / 107.0}))
+    return table(spark, sf, "events").select("event_id", *multi_label({"emotion": (i % 101) / 101.0, "intergroup": (i % 103) / 103.0, "moral": (i % 107) / 107.0, "other": (i % 109) / 109.0}))
 
 
 @register("fn_valence_label", "SELECT event_id, CASE WHEN value / 100 - 0.2 >= 0.05 THEN 'positive' WHEN value / 100 - 0.2 <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM events")
@@ -245,14 +244,13 @@ def vec_cosine_to_mean(spark, sf):
 
 
 @register("text_tfidf_top_terms", """
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents WHERE lang = 'en'), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
-n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), k AS (SELECT term, df FROM v, n WHERE df >= 5 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 2000),
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+n AS (SELECT count(*) AS n FROM documents), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), k AS (SELECT term, df FROM v, n WHERE df >= 5 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 2000),
 r AS (SELECT doc_id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN k ON tf.term = k.term, n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM r GROUP BY 1)
 SELECT term, round(sum(w / len) / any_value(n), 6) AS score FROM r JOIN l USING (doc_id), n GROUP BY 1 ORDER BY score DESC, term LIMIT 50""")
 def text_tfidf_top_terms(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), " ").alias("text"))
-    n = d.count()
-    return TS.top_terms(TS.tf_idf(d, "doc_id", "text", 5, 0.95, 2000), F.lit(n), 50)
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return TS.top_terms(TS.tf_idf(d, "doc_id", "text", 5, 0.95, 2000), d, 50)
 
 
 @register("text_npmi", """
@@ -267,26 +265,29 @@ def text_npmi(spark, sf):
 
 
 @register("graph_degree", """
-WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_quantity > 45 AND l_suppkey <> l_partkey), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 d AS (SELECT a AS node, count(*) AS degree FROM b GROUP BY 1) SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 9) AS centrality FROM d""")
 def graph_degree(spark, sf):
-    e = G.undirected(table(spark, sf, "lineitem").where("l_quantity > 45"), "l_suppkey", "l_partkey")
+    e = G.undirected(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey")
     return G.degrees(e).withColumn("centrality", F.round("centrality", 9))
 
 
 @register("graph_assortativity", """
-WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_quantity > 45 AND l_suppkey <> l_partkey), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 d AS (SELECT a AS node, count(*) AS degree FROM b GROUP BY 1) SELECT round(corr(x.degree, y.degree), 6) AS assortativity FROM b JOIN d x ON x.node = b.a JOIN d y ON y.node = b.b""")
 def graph_assortativity(spark, sf):
-    e = G.undirected(table(spark, sf, "lineitem").where("l_quantity > 45"), "l_suppkey", "l_partkey")
+    e = G.undirected(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey")
     return G.assortativity(e).select(F.round("assortativity", 6).alias("assortativity"))
 
 
 @register("graph_components", """
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 700 AS b FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey % 9 = 0), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT c_custkey AS a, 1000000000 + c_nationkey * 100000 + floor(c_acctbal / 50)::BIGINT + 5000 AS b FROM customer UNION SELECT c_custkey, 2000000000 + length(c_mktsegment) * 100000 + floor(c_acctbal / 20)::BIGINT + 5000 FROM customer), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(node, label) AS (SELECT a, a FROM g UNION SELECT g.b, r.label FROM r JOIN g ON g.a = r.node WHERE r.label < g.b)
 SELECT node, min(label) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT' and o_custkey % 9 = 0")
-    e = G.undirected(o.select(F.col("o_custkey").alias("x"), (F.col("o_orderkey") % 700 + 1000000).alias("y")), "x", "y")
-    return G.components(e)
+    """Customers linked by what they share: nation and about the same balance, or segment and nearer balances."""
+    c = table(spark, sf, "customer")
+    near = lambda width: F.floor(F.col("c_acctbal") / width).cast("long") + 5000
+    by_nation = c.select(F.col("c_custkey").alias("x"), (F.col("c_nationkey").cast("long") * 100000 + 1000000000 + near(50)).alias("y"))
+    by_segment = c.select(F.col("c_custkey").alias("x"), (F.length("c_mktsegment").cast("long") * 100000 + 2000000000 + near(20)).alias("y"))
+    return G.components(G.undirected(by_nation.union(by_segment), "x", "y"))

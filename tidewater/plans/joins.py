@@ -70,15 +70,15 @@ def join_used_earliest(spark, sf):
 
 
 @register("join_in_network", """
-WITH e AS (SELECT DISTINCT o_custkey AS user_id, l_suppkey AS author FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT')
-SELECT e.user_id, count(DISTINCT v.event_id) AS n_posts FROM e JOIN events v ON v.user_id = e.author AND v.event_type = 'view' WHERE e.user_id < 300 GROUP BY 1""")
+WITH e AS (SELECT DISTINCT o_custkey AS user_id, l_suppkey AS author FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT e.user_id, count(DISTINCT v.event_id) AS n_posts FROM e JOIN events v ON v.user_id = e.author AND v.event_type = 'view' GROUP BY 1""")
 def join_in_network(spark, sf):
     from tidewater.operators.feeds import in_network
 
-    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    o = table(spark, sf, "orders")
     edges = o.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("other")).distinct()
     posts = table(spark, sf, "events").where("event_type = 'view'").select(F.col("event_id").alias("uri"), F.col("user_id").alias("author_did"), F.lit("firehose").alias("source"))
-    users = edges.where("user < 300").select("user").distinct()
+    users = edges.select("user").distinct()
     return in_network(users, edges, posts).groupBy(F.col("user").alias("user_id")).agg(F.count("*").alias("n_posts"))
 
 
@@ -162,9 +162,21 @@ def _sql_both(name: str, spark_sql: str, duck: str | None = None):
 
 _sql_both("join_in_nested", """
 SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)))""")
-_sql_both("join_not_in_null", """
+
+
+@register("join_not_in_null", """
 SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderstatus = 'Z' THEN NULL ELSE o_custkey END FROM orders WHERE o_orderpriority = '1-URGENT')""")
-_sql_both("join_not_in_with_null", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_custkey = 1 THEN NULL ELSE o_custkey END FROM orders)")
+def join_not_in_null(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.when(F.col("o_orderstatus") != "Z", F.col("o_custkey")).alias("k"))
+    return J.not_in(table(spark, sf, "customer").select("c_custkey"), "c_custkey", o, "k")
+
+
+@register("join_not_in_with_null", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_custkey = 1 THEN NULL ELSE o_custkey END FROM orders)")
+def join_not_in_with_null(spark, sf):
+    o = table(spark, sf, "orders").select(F.when(F.col("o_custkey") != 1, F.col("o_custkey")).alias("k"))
+    return J.not_in(table(spark, sf, "customer").select("c_custkey"), "c_custkey", o, "k").agg(F.count("*").alias("n"))
+
+
 _sql_both("join_row_value_in", """
 SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE (o_custkey, o_orderdate) IN (SELECT o_custkey, max(o_orderdate) FROM orders GROUP BY o_custkey)""")
 _sql_both("join_retention_cohorts", """
@@ -193,10 +205,10 @@ def join_fanout_counts(spark, sf):
 
 
 @register("join_subject_semi", """
-SELECT event_id, user_id FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k')::BIGINT IN (SELECT json_extract_string(props, '$.k')::BIGINT FROM events WHERE event_type = 'purchase' AND user_id % 10 = 3)""")
+SELECT event_id, user_id FROM events e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND json_extract_string(p.props, '$.k')::BIGINT = json_extract_string(e.props, '$.k')::BIGINT)""")
 def join_subject_semi(spark, sf):
     e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    return e.where("event_type = 'click'").join(e.where("event_type = 'purchase' and user_id % 10 = 3").select("k"), "k", "left_semi").select("event_id", "user_id")
+    return e.where("event_type = 'click'").join(e.where("event_type = 'purchase'").select("user_id", "k"), ["user_id", "k"], "left_semi").select("event_id", "user_id")
 
 
 @register("join_reattach_checked", "SELECT doc_id, quality, length(source) AS n FROM labels JOIN documents USING (doc_id)")

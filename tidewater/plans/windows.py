@@ -141,13 +141,19 @@ def topk_page_after_cursor(spark, sf):
     return K.page_after(f.select("item", F.col("position").cast("long").alias("position")), "position", "item", cursor)
 
 
-@register("topk_sample_n")
+_PLACE = "('0x' || substr(md5('42:' || {}), 1, 10))::BIGINT / 1099511627776.0"
+
+
+@register("topk_sample_n", f"SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_PLACE.format('c_custkey')}, c_custkey) <= 100")
 def topk_sample_n(spark, sf):
     """Seeded sample of 100 users a segment; the same on every run, tested for size and repetition."""
     return K.sample_n(table(spark, sf, "customer"), "c_custkey", 100, by=["c_mktsegment"])
 
 
-@register("topk_jitter")
+@register("topk_jitter", f"""
+WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) - 1 AS position, count(*) OVER (PARTITION BY user_id) - 1 AS last FROM events),
+m AS (SELECT *, least(greatest(position + floor({_PLACE.format('event_id')} * 5) - 2, 0), last) AS moved FROM p)
+SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY moved, position) - 1)::INT AS position FROM m""")
 def topk_jitter(spark, sf):
     """Jittered positions of every user's events, a permutation of the original ones."""
     p = K.positions(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.col("event_id")])

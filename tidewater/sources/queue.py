@@ -24,6 +24,7 @@ def chunks(items: DataFrame, order: str, size: int = CHUNK, metadata: str = "{}"
 
 def enqueue(batches: DataFrame, path: str) -> None:
     batches.write.mode("append").parquet(f"{path}/batches")
+    batches.sparkSession.createDataFrame([], LEDGER).write.mode("append").parquet(f"{path}/ledger")  # so that it is there
 
 
 def mark(spark: SparkSession, ids: DataFrame, status: str, at: str, path: str) -> None:
@@ -31,15 +32,14 @@ def mark(spark: SparkSession, ids: DataFrame, status: str, at: str, path: str) -
 
 
 def load(spark: SparkSession, path: str, status: str | None = None, min_id: int | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
-    """Batches with their last status; limit counts batches, oldest first."""
+    """Batches with their last status; limit counts batches, oldest first.
+
+    Of marks made at one time the greatest status counts. Marks lock nothing: takers must not work
+    on one queue at the same time, or agree on their ids first.
+    """
     df = spark.read.schema(BATCHES).parquet(f"{path}/batches")
-    try:
-        ledger = spark.read.schema(LEDGER).parquet(f"{path}/ledger")
-    except Exception as e:  # nothing taken yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        ledger = spark.createDataFrame([], LEDGER)
-    df = df.join(ledger.groupBy("id").agg(F.max_by("status", "at").alias("status")), "id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+    ledger = spark.read.schema(LEDGER).parquet(f"{path}/ledger")
+    df = df.join(ledger.groupBy("id").agg(F.max(F.struct("at", "status"))["status"].alias("status")), "id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
     if status is not None:
         df = df.where(F.col("status") == status)
     if min_id is not None:

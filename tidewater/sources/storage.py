@@ -6,6 +6,8 @@ through Spark's readers and writers, so any file system that Spark knows will do
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +36,31 @@ def with_partition_date(df: DataFrame, ts: str | None) -> DataFrame:
 
 
 def write(df: DataFrame, root: str, dataset: Dataset, today: str, mode: str = "append", fmt: str = "parquet", extra: tuple[str, ...] = ()) -> None:
-    """Typed and partitioned; one shuffle by day keeps one file a day and task small in number."""
+    """Typed and partitioned; rows are brought together by day, a large day in as many tasks as its bytes ask for."""
     out = coerce(with_partition_date(df, dataset.ts), dataset.with_partition)
     out = out.withColumn("tier", tier(F.col("partition_date"), today))
     keys = ["tier", *extra, "partition_date"]
-    out.repartition(*keys, F.pmod(F.xxhash64(*[c for c in dataset.columns.names[:1]]), F.lit(8))).write.mode(mode).partitionBy(*keys).format(fmt).save(f"{root}/{dataset.name}")
+    out.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(f"{root}/{dataset.name}")
+
+
+def one_day(df: DataFrame, day: str = "partition_date") -> DataFrame:
+    """df, of which the job fails if its partition date is null somewhere or not the same everywhere."""
+    seen = df.agg(F.count_if(F.col(day).isNull()).alias("__nulls"), F.min(day).alias("__a"), F.max(day).alias("__e"))
+    fine = F.when((F.col("__nulls") > 0) | (F.col("__a") != F.col("__e")), F.raise_error(F.lit("a batch must have one partition date"))).otherwise(F.lit(True))
+    return df.crossJoin(F.broadcast(seen)).where(fine).drop("__nulls", "__a", "__e")
+
+
+def read_files(spark: SparkSession, files: list[str], columns: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """The files' rows with the declared columns; an empty table for no files."""
+    return spark.read.schema(columns).format(fmt).load(files) if files else spark.createDataFrame([], columns)
+
+
+def days_between(start: str, end: str, max_days: int = 366) -> list[str]:
+    """The days of a range, no more than max_days of them."""
+    a, e = date.fromisoformat(start), date.fromisoformat(end)
+    if e < a or (e - a).days >= max_days:
+        raise ValueError(f"a range must have from one to {max_days} days")
+    return [(a + timedelta(days=k)).isoformat() for k in range((e - a).days + 1)]
 
 
 def read(spark: SparkSession, root: str, dataset: Dataset, tiers: tuple[str, ...] = TIERS, day: str | None = None, start: str | None = None, end: str | None = None, since: str | None = None, fmt: str = "parquet", tolerant: bool = False) -> DataFrame:
@@ -88,8 +110,13 @@ def delete(spark: SparkSession, root: str, dataset: Dataset, target: str, day: s
     read(spark, root, dataset).where(F.col("partition_date") != day).write.mode("overwrite").partitionBy("tier", "partition_date").parquet(f"{target}/{dataset.name}")
 
 
-def backup(spark: SparkSession, source: str, target: str, overwrite: bool = False, fmt: str = "parquet") -> None:
-    spark.read.format(fmt).load(source).write.mode("overwrite" if overwrite else "errorifexists").format(fmt).save(target)
+def backup(spark: SparkSession, source: str, target: str, overwrite: bool = False, fmt: str = "parquet", partitions: tuple[str, ...] = ("tier", "partition_date")) -> None:
+    """A copy with the same folders; partition columns that source lacks are passed over."""
+    df = spark.read.format(fmt).load(source)
+    keys = [c for c in partitions if c in df.columns]
+    df = df.withColumns({c: F.col(c).cast("string") for c in keys}) if keys else df
+    out = df.write.mode("overwrite" if overwrite else "errorifexists").format(fmt)
+    (out.partitionBy(*keys) if keys else out).save(target)
 
 
 def newest_files(df: DataFrame, keep: int) -> DataFrame:

@@ -31,7 +31,7 @@ def parse(lines: DataFrame, collections: tuple[str, ...] | None = None, dids: Da
     if collections is not None:
         m = m.where(F.col("commit.collection").isin(*collections))
     if dids is not None:
-        m = m.join(F.broadcast(dids.select("did").distinct()), "did", "left_semi")
+        m = m.join(dids.select("did").distinct(), "did", "left_semi")
     return m.withColumn("at", F.timestamp_micros("time_us"))
 
 
