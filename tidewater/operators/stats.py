@@ -47,8 +47,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
 def percentiles(df: DataFrame, column: str, at: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation; the values of a group never meet in one task."""
     by = by or []
-    values = materialize(counted_values(df.withColumn(column, F.col(column).cast("double")), column, by), "counted")
-    total = values.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    values = counted_values(df.select(*by, F.col(column).cast("double").alias(column)), column, by)
+    total = df.groupBy(*by).agg(F.count(column).alias("__all"))
     if by:
         total = total.withColumnsRenamed({c: f"__{c}" for c in by})
         joined = values.join(total, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])

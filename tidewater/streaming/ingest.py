@@ -42,52 +42,70 @@ def operations(messages: DataFrame) -> DataFrame:
     return ops.select("did", "time_us", "at", kind.alias("record_type"), F.col("commit.operation").alias("operation"), "commit.record.*").where(F.col("record_type").isin(*RECORD_TYPES))
 
 
-def routes(records: DataFrame, study_users: DataFrame, in_network: DataFrame, study_posts: DataFrame) -> DataFrame:
-    """One row for each route of a created record; a follow may have two, a delete has none.
+def flagged(records: DataFrame, study_users: DataFrame, in_network: DataFrame) -> DataFrame:
+    """Created records with is_study, is_near and on_study (the subject is a study user), and the address they aim at.
 
-    Static sides: study_users (did) and in_network (did), and study_posts (uri, owner) as it is
-    now (see ``keep_posts``). All are equi-joins that enrich the stream.
+    Static sides: study_users (did) and in_network (did). All are equi-joins that enrich the stream.
     """
     r = records.where("operation = 'create'")
     flag = lambda df, key, name: df.select(F.col("did").alias(key)).distinct().withColumn(name, F.lit(True))
     r = r.join(flag(study_users, "did", "is_study"), "did", "left").join(flag(in_network, "did", "is_near"), "did", "left").join(flag(study_users, "subject_did", "on_study"), "subject_did", "left")
-    posts = study_posts.select(F.col("uri").alias("target_uri"), "owner").distinct()
-    target = F.when(F.col("record_type") == "like", F.col("subject_uri")).otherwise(F.col("parent_uri"))
-    r = r.withColumn("target_uri", target).join(posts, "target_uri", "left")
+    return r.withColumn("target_uri", F.when(F.col("record_type") == "like", F.col("subject_uri")).otherwise(F.col("parent_uri")))
+
+
+def on_study_posts(records: DataFrame, late: str = "10 minutes", keep: str = "365 days") -> DataFrame:
+    """Flagged records that aim at a study user's post, with its owner: a join of the stream with itself.
+
+    The state are study users' posts for as long as ``keep``, by address, and other records only until
+    the watermark passes them, since a post comes no later than what aims at it. So a batch costs what
+    it holds, not what came before; with the RocksDB provider (spark.sql.streaming.stateStore.providerClass)
+    state need not fit in memory. Addresses are created once.
+    """
+    own = records.where(F.col("is_study") & F.col("record_type").isin("post", "reply"))
+    own = own.select(F.col("uri").alias("own_uri"), F.col("did").alias("owner"), F.col("at").alias("own_at")).withWatermark("own_at", late)
+    aimed = records.where("target_uri is not null").withWatermark("at", late)
+    met = (F.col("target_uri") == F.col("own_uri")) & (F.col("at") >= F.col("own_at")) & (F.col("at") <= F.col("own_at") + F.expr(f"INTERVAL {keep}"))
+    return aimed.join(own, met).drop("own_uri", "own_at")
+
+
+_ROUTED = ("did", "time_us", "at", "record_type", "uri", "text", "subject_uri", "subject_did", "parent_uri", "owner", "route")
+
+
+def routes(records: DataFrame, on_posts: DataFrame) -> DataFrame:
+    """One row for each route of flagged records and of those on study users' posts; a follow may have two."""
     is_post = F.col("record_type").isin("post", "reply")
     to = F.array_compact(
         F.array(
             F.when(F.col("is_study") & (F.col("record_type") != "follow"), F.concat(F.lit("study_user_"), "record_type")),
-            F.when(F.col("owner").isNotNull() & (F.col("record_type") == "like"), "like_on_study_user_post"),
-            F.when(F.col("owner").isNotNull() & is_post, "reply_to_study_user_post"),
             F.when(F.col("is_near") & is_post & F.col("is_study").isNull(), "in_network_post"),
             F.when((F.col("record_type") == "follow") & F.col("is_study"), "study_user_follows"),
             F.when((F.col("record_type") == "follow") & F.col("on_study"), "study_user_followed"),
         )
     )
-    return r.select("did", "time_us", "at", "record_type", "uri", "text", "subject_uri", "subject_did", "parent_uri", "owner", F.explode(to).alias("route"))
+    own = records.withColumns({"owner": F.lit(None).cast("string"), "route": F.explode(to)})
+    on = F.when(F.col("record_type") == "like", "like_on_study_user_post").when(is_post, "reply_to_study_user_post")
+    return own.select(*_ROUTED).union(on_posts.withColumn("route", on).where("route is not null").select(*_ROUTED))
 
 
 def route_stream(lines: DataFrame, study_users: DataFrame, in_network: DataFrame, posts_path: str, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Routes every micro-batch and lands it by route and day.
+    """Routes every micro-batch and lands it by route and day, and study users' posts at posts_path.
 
-    State, the posts of study users, is a table that each batch extends before it is read, so
-    it survives restarts and grows on disk, not in memory. A batch's files go to a folder of its
-    own and replace what an earlier try of the same batch left: a retry changes nothing.
+    The posts of study users are state of the stream (see ``on_study_posts``) and survive restarts
+    with its checkpoint. A batch's files go to a folder of its own and replace what an earlier try of the
+    same batch left: a retry changes nothing.
     """
-    spark = lines.sparkSession
+    records = flagged(operations(parse(lines)), study_users, in_network)
+    routed = routes(records, on_study_posts(records))
 
     def land(batch: DataFrame, number: int) -> None:
-        ops = operations(parse(batch))
-        ops.persist()
-        new = ops.where("operation = 'create' and record_type in ('post', 'reply')").join(study_users.select("did").distinct(), "did", "left_semi")
-        new.select("uri", F.col("did").alias("owner")).write.mode("overwrite").parquet(f"{posts_path}/batch={number}")
-        known = spark.read.schema("uri string, owner string").option("basePath", posts_path).parquet(f"{posts_path}/batch=*")
-        out = routes(ops, study_users, in_network, known).withColumn("partition_date", F.date_format("at", "yyyy-MM-dd"))
-        out.write.mode("overwrite").partitionBy("route", "partition_date").parquet(f"{out_path}/batch={number}")
-        ops.unpersist()
-
-    writer = lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+        batch.persist()
+        out = batch.withColumn("partition_date", F.date_format("at", "yyyy-MM-dd"))
+        out.hint("rebalance", "route", "partition_date").write.mode("overwrite").partitionBy("route", "partition_date").parquet(f"{out_path}/batch={number}")
+        posts = batch.where("route in ('study_user_post', 'study_user_reply')").select("uri", F.col("did").alias("owner"))
+        posts.hint("rebalance").write.mode("overwrite").parquet(f"{posts_path}/batch={number}")
+        batch.unpersist()
+
+    writer = routed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 
