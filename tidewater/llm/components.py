@@ -1,37 +1,7 @@
-"""Connected components of a link table by alternating star contractions."""
+"""Connected components of a link table, as the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from tidewater.operators.graph import connected_components
 
-from tidewater.llm import common as C
-
-
-def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component) for every node of links (a long, b long); component is the least node.
-
-    Each round joins every node's larger neighbours to its least neighbour, then its
-    smaller ones (large star and small star); all aggregates combine before the shuffle,
-    and a hub with many neighbours is never gathered in one row. Self-links and repeated
-    links do no harm; no links give no rows.
-    """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = C.materialize(edges, "cc")
-    before = None
-    for _ in range(rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(down, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = C.materialize(small, "cc")
-        state = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if state[:3] == before and state[0] == state[3]:
-            break
-        before = state[:3]
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]
