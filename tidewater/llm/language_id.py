@@ -80,9 +80,13 @@ def words_at(text: str) -> list[tuple[int, int]]:
 
 def words_of(text: str) -> list[str]:
     """The runs of letters of a text, in lower case, one for one with words_at."""
+    low = text.lower()
+    if len(low) == len(text):  # character for character
+        words = _LETTER_WORD.findall(low)
+        if not words or low.isascii() or "".join(words).isalpha():
+            return words
     words = _LETTER_WORD.findall(text)
-    if not text.isascii() and not all(map(str.isalpha, words)):
-        words = ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
+    words = ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
     return " ".join(words).lower().split(" ") if words else []
 
 
@@ -232,6 +236,7 @@ class Labeller:
 
     def __init__(self, model: dict):
         self.model, self.known, self.rows = model, {}, np.zeros((1024, len(model["langs"])), np.float32)
+        self.sizes = np.zeros(1024, np.int32)
 
     def ids(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -243,6 +248,8 @@ class Labeller:
             at = len(known)
             while at + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.sizes[at : at + len(new)] = [len(w) for w in new]
             for a in range(0, len(new), 50_000):
                 self.rows[at + a : at + a + len(new[a : a + 50_000])] = word_scores(new[a : a + 50_000], self.model)
             known.update(zip(new, range(at, at + len(new)), strict=True))
@@ -279,7 +286,7 @@ class Labeller:
         ids = self.ids(flat)
         there = np.arange(width) < np.array([len(w) for w in docs])[:, None]
         score[there] = self.rows[ids]
-        letters[there] = np.fromiter(map(len, flat), np.int32, len(flat))
+        letters[there] = self.sizes[ids]
         path = viterbi(score) if width <= 8 * SEGMENT else np.stack([np.pad(viterbi_long(score[k, : len(w)]), (0, width - len(w))) for k, w in enumerate(docs)])
         for k, words in enumerate(docs):
             states = path[k, : len(words)]
@@ -301,14 +308,21 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     def place(t, spans):
         if not spans:
             return []
+        if len(spans) == 1:  # from the first letter to the last
+            a, e = 0, len(t)
+            while not t[a].isalpha():
+                a += 1
+            while not t[e - 1].isalpha():
+                e -= 1
+            return [{"start": a, "end": e, "lang": spans[0][2]}]
         at = words_at(t)
         return [{"start": at[x][0], "end": at[y - 1][1], "lang": name} for x, y, name in spans]
 
     def label(batches):
         labeller = Labeller(model.value)
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
+            for a in range(0, b.num_rows, 2000):
+                part = b.slice(a, 2000)
                 texts = part.column(1).to_pylist()
                 got = labeller.label(texts)
                 spans = [place(t, g[2]) for t, g in zip(texts, got, strict=True)]
