@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, LEAST_SHARDS = 65_536, 8
-DEGREE, BEAM, SEARCH_BEAM, ALPHA, BATCH = 32, 64, 128, 1.2, 512
+DEGREE, BEAM, SEARCH_BEAM, ALPHA, BATCH = 24, 64, 128, 1.2, 512
 
 
 def _distances(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
