@@ -1,6 +1,7 @@
 """Small golden frames for operators and functions, with nulls, ties and empty inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,25 @@ def test_asof_ties_nulls_and_default(spark):
     assert got == [("u", 0, "default"), ("u", 5, "b"), ("u", 5, "b"), ("w", 9, "default")]
 
 
+def test_asof_by_spans_equals_brute_force(spark):
+    rng = random.Random(4)
+    groups = ["hot"] * 6 + ["a", "b", None]
+    left = [(i, rng.choice(groups), rng.choice([None, *range(60)])) for i in range(500)]
+    right = [(rng.choice(groups), rng.choice([None, *range(60)]), rng.choice([None, *range(9)])) for _ in range(120)]
+    early = lambda t: -1 if t is None else t
+    want = {}
+    for i, g, t in left:
+        fits = [(early(rt), v) for rg, rt, v in right if rg == g and v is not None and early(rt) <= early(t)]
+        want[i] = max(fits)[1] if fits else None
+    l, r = spark.createDataFrame(left, "i int, k string, t int"), spark.createDataFrame(right, "k string, rt int, v int")  # noqa: E741
+    for span in (None, lambda t: F.floor(t / 7), lambda t: t):
+        assert {x["i"]: x["v"] for x in J.asof(l, r, ["k"], "t", "rt", "v", span=span).collect()} == want
+    days = lambda d, c: d.withColumn(c, F.timestamp_seconds(F.col(c) * 40_000))
+    assert {x["i"]: x["v"] for x in J.asof(days(l, "t"), days(r, "rt"), ["k"], "t", "rt", "v").collect()} == want
+    assert J.asof(l.where("false"), r, ["k"], "t", "rt", "v").count() == 0
+    assert {x["v"] for x in J.asof(l, r.where("false"), ["k"], "t", "rt", "v").collect()} == {None}
+
+
 def test_interval_join(spark):
     posts = spark.sql("select 'a' k, date'2024-01-01' d union all select 'a', date'2024-01-08' union all select 'b', date'2024-01-01'")
     sup = spark.sql("select 'a' k, date'2024-01-05' e")

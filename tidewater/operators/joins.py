@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def split_by(df: DataFrame, other: DataFrame, key: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -38,18 +40,35 @@ def without_missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return joined.where(checked).drop("__there")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, value: str, default: Column | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, value: str, default: Column | None = None, span: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with the value of the newest right row of the same group that is not later.
 
-    One shuffle: both sides are united, and a window carries the last value forward, so a
-    group's sides never multiply. Of right rows at one time the largest value counts.
+    Both sides are united, and a window carries the last value forward, so a group's sides never
+    multiply. Of right rows at one time the largest value counts; null values are passed over.
+
+    A group's history is cut by ``span``, a monotonic function of the time (the day, if times are
+    dates or timestamps; else there is one span), and each span starts with the last value of
+    those before it: so a busy group is dealt over tasks by its spans. Those last values come from
+    an aggregate with a row a group and span, and the rows themselves are shuffled once.
     """
-    r = right.select(*by, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    l_cols = [c for c in left.columns]
-    l = left.withColumn("__row", F.struct(*l_cols)).select(*by, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), "__row")  # noqa: E741
-    w = Window.partitionBy(*by).orderBy("__ts", "__side", F.col("__value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("__last", F.last("__value", ignorenulls=True).over(w))
-    out = both.where("__side = 1").select("__row.*", F.col("__last").alias(value))
+    if span is None:
+        timed = isinstance(left.schema[left_ts].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        span = F.to_date if timed else lambda _: F.lit(0)
+    r = right.select(*by, F.col(right_ts).alias("__ts"), F.lit(1).alias("__side"), F.col(value).alias("__value"))
+    l = left.withColumn("__row", F.struct(*left.columns)).select(*by, F.col(left_ts).alias("__ts"), F.lit(2).alias("__side"), "__row")  # noqa: E741
+    r, l = (d.withColumn("__span", span(F.col("__ts"))) for d in (r, l))  # noqa: E741
+
+    newest = F.max(F.when(F.col("__value").isNotNull(), F.struct("__ts", "__value")))["__value"]
+    ends = r.groupBy(*by, "__span").agg(newest.alias("__end"))
+    spans = l.select(*by, "__span").distinct().withColumn("__side", F.lit(0))
+    earlier = Window.partitionBy(*by).orderBy("__span", F.col("__side").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a span's end comes after its rows
+    carried = spans.unionByName(ends, allowMissingColumns=True).withColumn("__value", F.last("__end", ignorenulls=True).over(earlier))
+    carried = carried.where("__side = 0").select(*by, "__span", "__side", "__value")
+
+    w = Window.partitionBy(*by, "__span").orderBy("__side_first", "__ts", "__side", F.col("__value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = l.unionByName(r, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    both = both.withColumn("__side_first", F.col("__side") > 0).withColumn("__last", F.last("__value", ignorenulls=True).over(w))
+    out = both.where("__side = 2").select("__row.*", F.col("__last").alias(value))
     return out.withColumn(value, F.coalesce(value, default)) if default is not None else out
 
 
