@@ -233,7 +233,7 @@ def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding
                     found = shard.search(b.column(2).slice(a, e - a).to_numpy(), x, k)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
 
-    dealt = nodes.union(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    dealt = nodes.union(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "id")  # one task a shard
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
