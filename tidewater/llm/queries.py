@@ -72,6 +72,12 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.conversation_repair import repair
+
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.quality_rules import build_ledger, verdicts
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_line_dedup,
         op10_balanced_sharding,
+        op11_conversation_repair,
         op12_quality_rules,
     )
 }
@@ -102,6 +109,25 @@ s AS (SELECT doc_id, len(gs)::BIGINT AS n, unnest(gs) AS g FROM g),
 l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM g UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id WHERE r.root < l.y)
 SELECT g.doc_id, len(gs)::BIGINT AS n_shingles, c.component_id FROM g JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) c ON g.doc_id = c.doc_id""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tb),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c // 256, tb[xor(c, b) % 256 + 1])), 4294967295) % 20 AS how FROM conversations, tb),
+d AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE how WHEN 3 THEN [0, 1] ELSE [0] END) AS cp FROM h WHERE how <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, cp)::BIGINT AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, cp) AS j, role[1] AS r FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN j > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS two FROM o),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b')::BIGINT AS blank, count(*) FILTER (fault = 'd')::BIGINT AS duplicate, count(*) FILTER (fault = 't')::BIGINT AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, count(*) AS n FROM f GROUP BY 1),
+ins(q, made, mid) AS (VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3), (3, '', 3), (3, 'I', 2)),
+ops(mid, op, r, q2, c) AS (VALUES (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4), (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'K', '', 0, 0), (1, 'K', '', 1, 0), (2, 'K', '', 2, 0), (3, 'K', '', 3, 0)),
+mv AS (SELECT q, q2, made || op AS e, op, r, c + 3 * len(made) AS c FROM ins JOIN ops USING (mid)),
+p(conv_id, i, q, b) AS (SELECT conv_id, 0::BIGINT, 0, {'c': 0, 'a': ''} FROM s UNION ALL
+  SELECT p.conv_id, p.i + 1, mv.q2, min({'c': p.b.c + mv.c + CASE WHEN f.fault = 't' AND mv.op <> 'D' THEN 3 ELSE 0 END, 'a': p.b.a || mv.e}) FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN mv ON mv.q = p.q AND (mv.r IS NULL OR mv.r = f.r) AND (mv.op = 'D' OR f.fault NOT IN ('b', 'd')) GROUP BY 1, 2, 3),
+z AS (SELECT s.conv_id, min({'c': p.b.c + 3 * len(e.t), 'a': p.b.a || e.t}) AS b FROM s JOIN p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.i = s.n JOIN (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) e(q, t) ON e.q = p.q GROUP BY 1),
+l AS (SELECT conv_id, unnest(string_split(b.a, '')) AS e, unnest(range(len(b.a))) AS x FROM z WHERE b.a <> ''),
+m AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY x) AS i FROM l),
+y AS (SELECT m.conv_id, m.x, e, f.role, CASE e WHEN 'I' THEN '' ELSE f.text END AS text, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.x) AS k, first_value(e = 'K' AND f.r = 's') OVER (PARTITION BY m.conv_id ORDER BY m.x) AS s FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i WHERE e <> 'D'),
+g AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - s::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY x) AS t FROM y GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.b.c, 0)::BIGINT AS cost, coalesce(z.b.a, '') AS audit, sha256(coalesce(g.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id""",
     "op12_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
