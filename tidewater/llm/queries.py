@@ -84,6 +84,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(build_ledger(_docs(spark, sf_dir)))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.source_divergence import audit
+
+    return audit(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_balanced_sharding,
         op11_conversation_repair,
         op12_quality_rules,
+        op13_source_divergence,
     )
 }
 ORACLES: dict[str, str] = {
@@ -139,4 +146,14 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
 f AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END AS base, CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_marks > 50 * n_words THEN 8 ELSE 0 END
   + CASE WHEN n_letters >= 100 AND 100 * n_capitals > 50 * n_letters THEN 16 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 128 ELSE 0 END AS more FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base > 0 AS base_failed, base + more = 0 AS kept, (base + more)::BIGINT AS failed FROM f""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT lang, source, id, unnest(ts) AS t FROM d), k AS (SELECT lang, t FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10), g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT l.lang, count(k.t) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN k USING (lang) GROUP BY 1), c AS (SELECT t.lang, source, t.t, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.t = t.t GROUP BY 1, 2, 3),
+m AS (SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS gn, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.t) AS ln, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lt FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+p AS (SELECT m.lang, source, t, n, (1 + 1000000000::HUGEINT * (n + 2) // (gn + 2 * v))::HUGEINT AS p, (1 + 1000000000::HUGEINT * (ln + 2) // (lt + 2 * v))::HUGEINT AS q FROM m JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 10""",
 }
