@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +104,85 @@ def test_routes_state_and_restart(spark, tmp_path):
     assert run() == sorted(["in_network_post", "study_user_post", "like_on_study_user_post", "reply_to_study_user_post", "study_user_follows", "study_user_followed"])
 
 
+class Store:
+    """A state store of one key, for the processor alone."""
+
+    def __init__(self):
+        self.owner, self.rows, self.timers = None, [], []
+
+    def getValueState(self, name, schema, ttl=None):  # noqa: N802
+        return self
+
+    def getListState(self, name, schema, ttl=None):  # noqa: N802
+        return Held(self)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def get(self):
+        return self.owner
+
+    def update(self, value):
+        self.owner = value
+
+
+class Held:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        return iter(list(self.store.rows))
+
+    def exists(self):
+        return bool(self.store.rows)
+
+    def put(self, rows):
+        self.store.rows = list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.store.rows += rows
+
+    def clear(self):
+        self.store.rows = []
+
+
+def test_what_waits_for_its_post(spark):
+    now = type("Now", (), {"getCurrentProcessingTimeInMs": lambda self: self.at})()
+    fields = I._AIMED
+    row = lambda name, is_own=False: Row(**dict.fromkeys(fields), is_own=is_own).asDict() | {"did": name, "is_own": is_own}
+    rows = lambda *names: [Row(**row(n)) for n in names]
+    store, p = Store(), I.StudyPostAudience(wait_ms=100)
+    p.CHUNK = 2
+    p.init(store)
+    now.at = 10
+    assert not list(p.handleInputRows(("k",), iter(rows("a", "b", "c")), now)) and len(store.rows) == 3
+    now.at = 60
+    assert not list(p.handleInputRows(("k",), iter(rows("d")), now)) and store.timers == [110]
+    now.at = 115
+    assert not list(p.handleExpiredTimer(("k",), now, None))
+    assert [r[0] for r in store.rows] == ["d"] and store.timers[-1] == 160
+    got = list(p.handleInputRows(("k",), iter([*rows("e"), Row(**row("owner", True)), *rows("f")]), now))
+    assert [(r["did"], r["owner"]) for r in got] == [("d", "owner"), ("e", "owner"), ("f", "owner")] and not store.rows
+    assert [r["owner"] for r in p.handleInputRows(("k",), iter([Row(**row("other", True)), *rows("g")]), now)] == ["owner"]  # the first owner stays
+
+
+def test_likes_before_posts_and_rejects(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    study, near = spark.createDataFrame([("s1",)], "did string"), spark.createDataFrame([], "did string")
+    known = spark.createDataFrame([("old", "s1")], "uri string, owner string")
+
+    def run(n, *lines):
+        (src / f"{n}.json").write_text("\n".join(lines))
+        I.route_stream(I.read_lines(spark, str(src)), study, near, str(tmp_path / "posts"), str(tmp_path / "out"), str(tmp_path / "cp"), rejected_path=str(tmp_path / "bad"), known_posts=known).awaitTermination()
+        return sorted((r["uri"], r["owner"]) for r in spark.read.parquet(str(tmp_path / "out")).where("owner is not null").collect())
+
+    assert run(1, message("x", "like", uri="l1", subject_uri="p1"), message("x", "like", uri="l2", subject_uri="never"), message("y", "like", uri="l3", subject_uri="old"), "junk", "") == [("l3", "s1")]
+    assert run(2, message("z", "like", uri="l4", subject_uri="p1"), message("s1", "post", uri="p1")) == [("l1", "s1"), ("l3", "s1"), ("l4", "s1")]
+    bad = spark.read.parquet(str(tmp_path / "bad")).select("reason", "raw").collect()
+    assert ("malformed", "junk") in set(map(tuple, bad)) and {r["reason"] for r in bad} == {"malformed"}
+
+
 def test_queue_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text(message("a", "post", uri="p") + "\nbad\n")

@@ -56,8 +56,8 @@ def io_queue_round_trip(spark, sf):
     return got.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
 
 
-def _messages(spark: SparkSession, sf: str, path: str) -> None:
-    """Events as messages: views are posts, clicks are likes of the post before, signups follow."""
+def _as_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as messages (event_id, value): views are posts, clicks are likes of the post before, signups follow."""
     e = table(spark, sf, "events")
     did = lambda c: F.concat(F.lit("did:"), c.cast("string"))
     uri = lambda c: F.concat(F.lit("at://post/"), c.cast("string"))
@@ -69,26 +69,72 @@ def _messages(spark: SparkSession, sf: str, path: str) -> None:
     )
     op = F.when(F.col("event_type") == "error", "delete").otherwise("create")
     commit = F.struct(op.alias("operation"), F.concat(F.lit("app.feed."), kind).alias("collection"), F.col("event_id").cast("string").alias("rkey"), record.alias("record"))
-    m = e.select(F.to_json(F.struct(did(F.col("user_id")).alias("did"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"), F.lit("commit").alias("kind"), commit.alias("commit"))).alias("value"))
+    return e.select("event_id", "event_type", F.to_json(F.struct(did(F.col("user_id")).alias("did"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"), F.lit("commit").alias("kind"), commit.alias("commit"))).alias("value"))
+
+
+def _messages(spark: SparkSession, sf: str, path: str) -> None:
+    m = _as_messages(spark, sf).select("value")
     m.union(spark.createDataFrame([("not json",), ('{"kind":"commit"}',)], "value string")).write.text(path)
 
 
-@register("stream_route_batch", """
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(F.concat(F.lit("did:"), F.col("c_custkey").cast("string")).alias("did"), F.col("c_custkey").alias("id"))
+
+
+def _routed(spark: SparkSession, sf: str, root: str, per_trigger: int | None = None) -> None:
+    """One run of the routing stream over what lies in root/in."""
+    people = _people(spark, sf)
+    q = I.route_stream(I.read_lines(spark, f"{root}/in", per_trigger), people.where("id % 5 = 0").select("did"), people.where("id % 3 = 0").select("did"), f"{root}/posts", f"{root}/out", f"{root}/checkpoint", rejected_path=f"{root}/rejected")
+    q.awaitTermination()
+
+
+_ROUTES_SQL = """
 WITH e AS (SELECT *, user_id % 5 = 0 AS is_study, user_id % 3 = 0 AS is_near, (user_id * 7) % 150 % 5 = 0 AS on_study FROM events), s AS (SELECT event_id FROM e WHERE is_study AND event_type IN ('view', 'purchase')),
 x AS (SELECT e.*, s.event_id IS NOT NULL AS on_post FROM e LEFT JOIN s ON e.event_id - 1 = s.event_id),
 r AS (SELECT 'study_user_' || CASE event_type WHEN 'view' THEN 'post' WHEN 'click' THEN 'like' ELSE 'reply' END AS route FROM x WHERE is_study AND event_type IN ('view', 'click', 'purchase')
 UNION ALL SELECT 'like_on_study_user_post' FROM x WHERE on_post AND event_type = 'click' UNION ALL SELECT 'reply_to_study_user_post' FROM x WHERE on_post AND event_type = 'purchase'
 UNION ALL SELECT 'in_network_post' FROM x WHERE is_near AND NOT is_study AND event_type IN ('view', 'purchase') UNION ALL SELECT 'study_user_follows' FROM x WHERE is_study AND event_type = 'signup' UNION ALL SELECT 'study_user_followed' FROM x WHERE on_study AND event_type = 'signup')
-SELECT route, count(*) AS n FROM r GROUP BY 1""")
+SELECT route, count(*) AS n FROM r GROUP BY 1"""
+
+
+@register("stream_route_batch", _ROUTES_SQL)
 def stream_route_batch(spark, sf):
     root = scratch_path(spark, "stream")
     _messages(spark, sf, f"{root}/in")
-    people = table(spark, sf, "customer").select(F.concat(F.lit("did:"), F.col("c_custkey").cast("string")).alias("did"), F.col("c_custkey").alias("id"))
-    q = I.route_stream(I.read_lines(spark, f"{root}/in"), people.where("id % 5 = 0").select("did"), people.where("id % 3 = 0").select("did"), f"{root}/posts", f"{root}/out", f"{root}/checkpoint")
-    q.awaitTermination()
+    _routed(spark, sf, root)
     return spark.read.parquet(f"{root}/out").groupBy("route").agg(F.count("*").alias("n"))
 
 
+@register("stream_late_and_early", _ROUTES_SQL)
+def stream_late_and_early(spark, sf):
+    """The same routes, whatever the order: messages come in micro-batches dealt by id, so that of likes
+    and replies many come before their post, others hours after it, and half of them after a restart."""
+    root = scratch_path(spark, "stream")
+    m = _as_messages(spark, sf).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    for run in range(2):
+        for part in (2 * run, 2 * run + 1):
+            m.where(F.col("part") == part).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
+        _routed(spark, sf, root, per_trigger=1)
+    return spark.read.parquet(f"{root}/out").groupBy("route").agg(F.count("*").alias("n"))
+
+
+@register("stream_rejected", """
+WITH r AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'malformed' WHEN event_id % 7 = 1 THEN 'no_author' WHEN event_id % 7 = 2 THEN 'no_time' WHEN event_id % 7 = 3 THEN 'unknown_kind' WHEN event_id % 7 = 4 THEN 'no_operation' WHEN event_id % 7 = 5 AND event_type <> 'error' THEN 'no_address' END AS reason, event_id FROM events)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1""")
+def stream_rejected(spark, sf):
+    """Six of seven messages are broken in one way each; every one is kept with its reason, in two runs."""
+    root = scratch_path(spark, "stream")
+    m, k = _as_messages(spark, sf), F.col("event_id") % 7
+    without = lambda pattern: F.regexp_replace("value", pattern, "")
+    broken = F.when(k == 0, F.expr("left(value, length(value) - 3)")).when(k == 1, without('"did":"[^"]*",')).when(k == 2, without('"time_us":[0-9]*,')).when(k == 3, F.regexp_replace("value", '"kind":"commit"', '"kind":"odd"'))
+    broken = broken.when(k == 4, without('"operation":"[^"]*",')).when(k == 5, without('"uri":"[^"]*",')).otherwise(F.col("value"))
+    m = m.select(broken.alias("value"), (F.col("event_id") % 2).alias("run"))
+    for run in range(2):
+        m.where(F.col("run") == run).select("value").write.mode("append").text(f"{root}/in")
+        _routed(spark, sf, root)
+    return spark.read.parquet(f"{root}/rejected").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @register("stream_windowed", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_windowed(spark, sf):

@@ -7,11 +7,12 @@ Kafka, sockets. Progress is the stream's checkpoint, so a restart goes on where
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 KINDS = ("commit", "identity", "account")
 RECORD_TYPES = ("post", "like", "repost", "follow", "block", "reply")
@@ -24,22 +25,42 @@ def read_lines(spark: SparkSession, path: str, per_trigger: int | None = None) -
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
 
 
+def judged(lines: DataFrame) -> DataFrame:
+    """Messages, flattened, with the raw line and the reason for which it is rejected (null if it is not).
+
+    A line that is no JSON of the expected types is malformed; others lack what every message, or every
+    created record, must have. Nothing is lost: a rejected line keeps its text.
+    """
+    m = lines.select(F.col("value").alias("raw"), F.from_json("value", f"{MESSAGE}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("m")).select("raw", "m.*")
+    created = (F.col("kind") == "commit") & (F.col("commit.operation") == "create")
+    reason = (
+        F.when(F.col("_corrupt").isNotNull() | (F.trim("raw") == ""), "malformed")
+        .when(F.col("did").isNull(), "no_author")
+        .when(F.col("time_us").isNull(), "no_time")
+        .when(F.col("kind").isNull() | ~F.col("kind").isin(*KINDS), "unknown_kind")
+        .when((F.col("kind") == "commit") & (F.col("commit.operation").isNull() | F.col("commit.collection").isNull()), "no_operation")
+        .when(created & F.col("commit.record.uri").isNull(), "no_address")
+    )
+    return m.withColumn("reason", reason).drop("_corrupt").withColumn("at", F.timestamp_micros("time_us"))
+
+
 def parse(lines: DataFrame, collections: tuple[str, ...] | None = None, dids: DataFrame | None = None) -> DataFrame:
-    """Valid messages, flattened: required fields there, a known kind, wanted collections and authors."""
-    m = lines.select(F.from_json("value", MESSAGE).alias("m")).select("m.*")
-    m = m.where(F.col("did").isNotNull() & F.col("time_us").isNotNull() & F.col("kind").isin(*KINDS))
+    """Messages that nothing speaks against, flattened: required fields there, a known kind, wanted collections and authors."""
+    m = judged(lines).where(F.col("reason").isNull()).drop("reason", "raw")
     if collections is not None:
         m = m.where(F.col("commit.collection").isin(*collections))
     if dids is not None:
         m = m.join(dids.select("did").distinct(), "did", "left_semi")
-    return m.withColumn("at", F.timestamp_micros("time_us"))
+    return m
 
 
 def operations(messages: DataFrame) -> DataFrame:
-    """Creates and deletes of known record types; updates are ignored."""
+    """Creates and deletes of known record types, and rejected lines where messages have them; updates are ignored."""
     kind = F.element_at(F.split("commit.collection", r"\."), -1)
-    ops = messages.where("kind = 'commit' and commit.operation in ('create', 'delete')")
-    return ops.select("did", "time_us", "at", kind.alias("record_type"), F.col("commit.operation").alias("operation"), "commit.record.*").where(F.col("record_type").isin(*RECORD_TYPES))
+    known = (F.col("kind") == "commit") & F.col("commit.operation").isin("create", "delete") & kind.isin(*RECORD_TYPES)
+    rejected = [c for c in ("reason", "raw") if c in messages.columns]
+    ops = messages.where(known | F.col("reason").isNotNull() if rejected else known)
+    return ops.select("did", "time_us", "at", kind.alias("record_type"), F.col("commit.operation").alias("operation"), "commit.record.*", *rejected)
 
 
 def flagged(records: DataFrame, study_users: DataFrame, in_network: DataFrame) -> DataFrame:
@@ -47,33 +68,115 @@ def flagged(records: DataFrame, study_users: DataFrame, in_network: DataFrame) -
 
     Static sides: study_users (did) and in_network (did). All are equi-joins that enrich the stream.
     """
-    r = records.where("operation = 'create'")
+    r = records.where("operation = 'create' or reason is not null" if "reason" in records.columns else "operation = 'create'")
     flag = lambda df, key, name: df.select(F.col("did").alias(key)).distinct().withColumn(name, F.lit(True))
     r = r.join(flag(study_users, "did", "is_study"), "did", "left").join(flag(in_network, "did", "is_near"), "did", "left").join(flag(study_users, "subject_did", "on_study"), "subject_did", "left")
     return r.withColumn("target_uri", F.when(F.col("record_type") == "like", F.col("subject_uri")).otherwise(F.col("parent_uri")))
 
 
-def on_study_posts(records: DataFrame, late: str = "10 minutes", keep: str = "365 days") -> DataFrame:
-    """Flagged records that aim at a study user's post, with its owner: a join of the stream with itself.
+#: What is kept of a record that aims at a post.
+AIMED = "did string, time_us bigint, record_type string, uri string, text string, subject_uri string, subject_did string, parent_uri string"
+_AIMED = [f.split()[0] for f in AIMED.split(", ")]
+_MET = Row(*_AIMED, "owner")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class StudyPostAudience(StatefulProcessor):
+    """State by post address: its owner once a study user's post came, and until then what aims at the address.
+
+    A record meets its post whichever comes first, however late, in one batch or another, before a restart
+    or after it. Owners are kept without limit, or ``keep_ms`` after they came; records whose post has
+    not come within ``wait_ms`` of processing time are given up by a timer. Only the address is held in
+    memory, and a fixed number of records: lists stay in the state store.
+    """
 
-    The state are study users' posts for as long as ``keep``, by address, and other records only until
-    the watermark passes them, since a post comes no later than what aims at it. So a batch costs what
-    it holds, not what came before; with the RocksDB provider (spark.sql.streaming.stateStore.providerClass)
-    state need not fit in memory. Addresses are created once.
+    CHUNK = 500
+
+    def __init__(self, wait_ms: int, keep_ms: int | None = None) -> None:
+        self.wait_ms, self.keep_ms = wait_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.owner = handle.getValueState("owner", "owner string", self.keep_ms)
+        self.waiting = handle.getListState("waiting", f"{AIMED}, arrived bigint")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.owner.update((initialState.owner,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now, held = timerValues.getCurrentProcessingTimeInMs(), []
+        owner = self.owner.get()
+        for r in rows:
+            if r.is_own:
+                if owner is None:
+                    owner = (r.did,)
+                    self.owner.update(owner)
+                    for x in self.waiting.get():
+                        yield _MET(*x[:-1], owner[0])
+                    self.waiting.clear()
+                    for x in held:
+                        yield _MET(*x[:-1], owner[0])
+                    held = []
+            elif owner is not None:
+                yield _MET(*(r[c] for c in _AIMED), owner[0])
+            else:
+                held.append((*(r[c] for c in _AIMED), now))
+                if len(held) == self.CHUNK:
+                    self.hold(held, now)
+                    held = []
+        if held:
+            self.hold(held, now)
+
+    def hold(self, records: list[tuple], now: int) -> None:
+        if not self.waiting.exists():
+            self.handle.registerTimer(now + self.wait_ms)
+        self.waiting.appendList(records)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Gives up what has waited its time; what came later gets its own time, chunk by chunk."""
+        now = timerValues.getCurrentProcessingTimeInMs()
+        left, first = [], None
+        for x in self.waiting.get():
+            if x[-1] + self.wait_ms > now:
+                left.append(tuple(x))
+                first = x[-1] if first is None else min(first, x[-1])
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(first + self.wait_ms)
+        else:
+            self.waiting.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def on_study_posts(records: DataFrame, wait: timedelta = timedelta(days=7), keep: timedelta | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Flagged records that aim at a study user's post, with its owner, by keyed state (see ``StudyPostAudience``).
+
+    ``known`` are posts (uri, owner) from before the stream. State lies in RocksDB, so it need not fit in
+    memory, and a batch costs what it holds, not what came before.
     """
-    own = records.where(F.col("is_study") & F.col("record_type").isin("post", "reply"))
-    own = own.select(F.col("uri").alias("own_uri"), F.col("did").alias("owner"), F.col("at").alias("own_at")).withWatermark("own_at", late)
-    aimed = records.where("target_uri is not null").withWatermark("at", late)
-    met = (F.col("target_uri") == F.col("own_uri")) & (F.col("at") >= F.col("own_at")) & (F.col("at") <= F.col("own_at") + F.expr(f"INTERVAL {keep}"))
-    return aimed.join(own, met).drop("own_uri", "own_at")
+    rows = records.where("uri is not null or target_uri is not null")
+    is_own = F.col("is_study") & F.col("record_type").isin("post", "reply")
+    both = F.array_compact(F.array(F.when(is_own & F.col("uri").isNotNull(), F.struct(F.col("uri").alias("key"), F.lit(True).alias("is_own"))), F.when(F.col("target_uri").isNotNull(), F.struct(F.col("target_uri").alias("key"), F.lit(False).alias("is_own")))))
+    keyed = rows.select(F.explode(both).alias("k"), *_AIMED).select("k.key", "k.is_own", *_AIMED)
+    first = known.select(F.col("uri").alias("key"), "owner").dropDuplicates(["key"]).groupBy("key") if known is not None else None
+    ms = lambda t: None if t is None else int(t.total_seconds() * 1000)
+    met = keyed.groupBy("key").transformWithState(StudyPostAudience(ms(wait), ms(keep)), f"{AIMED}, owner string", "append", "processingTime", first)
+    return met.withColumn("at", F.timestamp_micros("time_us"))
 
 
-_ROUTED = ("did", "time_us", "at", "record_type", "uri", "text", "subject_uri", "subject_did", "parent_uri", "owner", "route")
+_ROUTED = ("did", "time_us", "at", "record_type", "uri", "text", "subject_uri", "subject_did", "parent_uri", "owner", "route", "reason", "raw")
+REJECTED = "rejected"
 
 
 def routes(records: DataFrame, on_posts: DataFrame) -> DataFrame:
-    """One row for each route of flagged records and of those on study users' posts; a follow may have two."""
+    """One row for each route of flagged records and of those on study users' posts; a follow may have two.
+    Rejected lines, where the records have them, have the route ``REJECTED``."""
     is_post = F.col("record_type").isin("post", "reply")
+    judged = "reason" in records.columns
+    reason, raw = (F.col(c) if judged else F.lit(None).cast("string") for c in ("reason", "raw"))
     to = F.array_compact(
         F.array(
             F.when(F.col("is_study") & (F.col("record_type") != "follow"), F.concat(F.lit("study_user_"), "record_type")),
@@ -82,31 +185,46 @@ def routes(records: DataFrame, on_posts: DataFrame) -> DataFrame:
             F.when((F.col("record_type") == "follow") & F.col("on_study"), "study_user_followed"),
         )
     )
-    own = records.withColumns({"owner": F.lit(None).cast("string"), "route": F.explode(to)})
+    to = F.when(reason.isNotNull(), F.array(F.lit(REJECTED))).otherwise(to)
+    own = records.withColumns({"owner": F.lit(None).cast("string"), "route": F.explode(to), "reason": reason, "raw": raw})
     on = F.when(F.col("record_type") == "like", "like_on_study_user_post").when(is_post, "reply_to_study_user_post")
-    return own.select(*_ROUTED).union(on_posts.withColumn("route", on).where("route is not null").select(*_ROUTED))
+    none = F.lit(None).cast("string")
+    return own.select(*_ROUTED).union(on_posts.withColumns({"route": on, "reason": none, "raw": none}).where("route is not null").select(*_ROUTED))
 
 
-def route_stream(lines: DataFrame, study_users: DataFrame, in_network: DataFrame, posts_path: str, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Routes every micro-batch and lands it by route and day, and study users' posts at posts_path.
+def route_stream(lines: DataFrame, study_users: DataFrame, in_network: DataFrame, posts_path: str, out_path: str, checkpoint: str, available_now: bool = True, rejected_path: str | None = None, known_posts: DataFrame | None = None) -> StreamingQuery:
+    """Routes every micro-batch and lands it by route and day, study users' posts at posts_path, and
+    rejected lines with their reasons at rejected_path.
 
     The posts of study users are state of the stream (see ``on_study_posts``) and survive restarts
-    with its checkpoint. A batch's files go to a folder of its own and replace what an earlier try of the
-    same batch left: a retry changes nothing.
+    with its checkpoint. All of a batch's files go to folders of its number and replace what an earlier try
+    of the same batch left: a retry changes nothing.
     """
-    records = flagged(operations(parse(lines)), study_users, in_network)
-    routed = routes(records, on_study_posts(records))
+    records = flagged(operations(judged(lines)), study_users, in_network)
+    routed = routes(records, on_study_posts(records.where("reason is null"), known=known_posts))
 
     def land(batch: DataFrame, number: int) -> None:
         batch.persist()
-        out = batch.withColumn("partition_date", F.date_format("at", "yyyy-MM-dd"))
+        out = batch.where(F.col("route") != REJECTED).drop("reason", "raw").withColumn("partition_date", F.date_format("at", "yyyy-MM-dd"))
         out.hint("rebalance", "route", "partition_date").write.mode("overwrite").partitionBy("route", "partition_date").parquet(f"{out_path}/batch={number}")
         posts = batch.where("route in ('study_user_post', 'study_user_reply')").select("uri", F.col("did").alias("owner"))
         posts.hint("rebalance").write.mode("overwrite").parquet(f"{posts_path}/batch={number}")
+        if rejected_path is not None:
+            batch.where(F.col("route") == REJECTED).select("reason", "raw").hint("rebalance").write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
         batch.unpersist()
 
     writer = routed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+    # a run that ends when the data do must not wait for timers: they go off with the next run's data
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB} | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now else {})
+    conf = lines.sparkSession.conf
+    before = {k: conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            conf.set(k, v)  # a stream keeps the settings that hold when it starts
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def to_queue(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
