@@ -39,12 +39,13 @@ def test_tries_count_and_merge():
     words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))).encode() for _ in range(4000)]
     one, two, want = S.RadixTrie(), S.RadixTrie(), Counter()
     for i, w in enumerate(words):
-        (one if i % 3 else two).add(w, i % 5, 2, 1)
+        (one if i % 3 else two).add(w, 1, {i % 5: 2})
         want[w, i % 5] += 1
     one.merge(two)
     got = list(one.leaves())
     assert [t for t, _ in got] == sorted({w for w, _ in want})
-    assert {(t, own[i]): (own[i + 1], own[i + 2]) for t, own in got for i in range(0, len(own), 3)} == {k: (2 * n, n) for k, n in want.items()}
+    assert {(t, k): n for t, (_, own) in got for k, n in own.items()} == {k: 2 * n for k, n in want.items()}
+    assert {t: d for t, (d, _) in got} == Counter(words)
     assert one.size == len(want)
 
 

@@ -10,9 +10,9 @@ ranges give is summed, ranked, and cut to ``TOP`` candidates.
 
 Scale. Tries are handed on and emptied at ``TRIE_COUNTERS`` counters, so memory does not grow with the
 vocabulary; a language that holds most of the rows has its terms in many ranges. Pairs are added up in
-arrays for ``SOURCES`` sources at a time: a range goes once to each pair of blocks of a language's
-sources (one pair, unless there are more), with the totals of those sources as rows that come first in
-it. Nothing is broadcast or collected. Arithmetic is exact in 64-bit integers for up to 10**14 counted
+arrays for about ``SOURCES`` sources at a time: a range goes once to each pair of blocks of a language's
+sources (one pair, unless there are more), with the totals of those sources as the row that comes first
+in it. Nothing is broadcast or collected. Arithmetic is exact in 64-bit integers for up to 10**14 counted
 words a group.
 
 Defined cases. Null text, lang and source are ''. A group without terms has count 0 for every kept term;
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from tidewater.llm import common as C
 
 MIN_DOCUMENTS, TOP, SMOOTH, SCALE = 10, 10, 2, 1_000_000_000
 #: Counters that a task's tries hold before they are handed on, and counts before they go into the tries.
-TRIE_COUNTERS, COUNTS = 300_000, 150_000
+TRIE_COUNTERS, COUNTS = 1_000_000, 400_000
 #: Sources of a language whose pairs are added up together, and terms taken at a time.
 SOURCES, TERMS = 512, 1024
 _TERM = re.compile(rb"[a-z\x80-\xff]+").findall
@@ -44,21 +45,22 @@ _TEXT_SLICE = 1 << 20
 
 
 class Node:
-    __slots__ = ("label", "children", "counters")
+    __slots__ = ("label", "children", "leaf")
 
-    def __init__(self, label: bytes, counters: list[int] | None) -> None:
-        self.label, self.counters = label, counters
+    def __init__(self, label: bytes, leaf: list | None) -> None:
+        self.label, self.leaf = label, leaf
         self.children: dict[int, Node] | None = None
 
 
 class RadixTrie:
-    """Byte strings with counters by source: [source, occurrences, documents, source, ...] at each leaf."""
+    """Byte strings with a leaf each: documents, and occurrences by source."""
 
     def __init__(self) -> None:
         self.root = Node(b"", None)
         self.size = 0
 
-    def add(self, term: bytes, source: int, n: int, docs: int) -> None:
+    def add(self, term: bytes, docs: int, counts: dict[int, int]) -> None:
+        """Adds to the term's leaf; counts become its own if it is new."""
         node, at, end = self.root, 0, len(term)
         while at < end:
             children = node.children
@@ -66,8 +68,8 @@ class RadixTrie:
                 children = node.children = {}
             child = children.get(term[at])
             if child is None:
-                children[term[at]] = Node(term[at:], [source, n, docs])
-                self.size += 1
+                children[term[at]] = Node(term[at:], [docs, counts])
+                self.size += len(counts)
                 return
             label = child.label
             if not term.startswith(label, at):
@@ -80,32 +82,29 @@ class RadixTrie:
                 children[term[at]] = child = upper
                 label = upper.label
             node, at = child, at + len(label)
-        own = node.counters
-        if own is None:
-            node.counters = [source, n, docs]
-            self.size += 1
+        if node.leaf is None:
+            node.leaf = [docs, counts]
+            self.size += len(counts)
             return
-        for i in range(0, len(own), 3):
-            if own[i] == source:
-                own[i + 1] += n
-                own[i + 2] += docs
-                return
-        own += [source, n, docs]
-        self.size += 1
+        own = node.leaf[1]
+        node.leaf[0] += docs
+        self.size -= len(own)
+        for source, n in counts.items():
+            own[source] = own.get(source, 0) + n
+        self.size += len(own)
 
     def merge(self, other: RadixTrie) -> None:
-        for term, own in other.leaves():
-            for i in range(0, len(own), 3):
-                self.add(term, *own[i : i + 3])
+        for term, (docs, counts) in other.leaves():
+            self.add(term, docs, dict(counts))
 
     def leaves(self):
-        """(term, counters) in byte order."""
+        """(term, [documents, counts by source]) in byte order."""
         stack = [(self.root, b"")]
         while stack:
             node, before = stack.pop()
             term = before + node.label
-            if node.counters is not None:
-                yield term, node.counters
+            if node.leaf is not None:
+                yield term, node.leaf
             if node.children:
                 stack += [(node.children[k], term) for k in sorted(node.children, reverse=True)]
 
@@ -120,14 +119,17 @@ class Counts:
 
     def __init__(self) -> None:
         self.names: dict[str, int] = {}
-        self.groups: dict[tuple[str, int], tuple[Counter, Counter]] = {}
+        self.groups: dict[tuple[str, int], Counter] = {}
+        self.docs: dict[str, Counter] = {}
         self.seen: set[tuple[str, int]] = set()
         self.tries: dict[str, RadixTrie] = {}
 
     def document(self, lang: str, source: str, text: bytes) -> None:
         group = (lang, self.names.setdefault(source, len(self.names)))
-        self.seen.add(group)
-        n, docs = self.groups.setdefault(group, (Counter(), Counter()))
+        if group not in self.groups:
+            self.seen.add(group)
+            self.groups[group] = Counter()
+        n, docs = self.groups[group], self.docs.setdefault(lang, Counter())
         if len(text) <= _TEXT_SLICE:
             found = terms_of(text)
             n.update(found)
@@ -144,45 +146,55 @@ class Counts:
         docs.update(own.keys())
 
     def into_tries(self) -> None:
-        for (lang, source), (n, docs) in self.groups.items():
-            trie = self.tries.setdefault(lang, RadixTrie())
+        """What was counted goes into the tries, each term of a language once, whatever the number of its sources."""
+        together: dict[str, dict[bytes, dict[int, int]]] = {}
+        for (lang, source), n in self.groups.items():
+            terms = together.setdefault(lang, {})
             for term, k in n.items():
-                trie.add(term, source, k, docs[term])
+                if term in terms:
+                    terms[term][source] = k
+                else:
+                    terms[term] = {source: k}
         self.groups.clear()
+        for lang, terms in together.items():
+            trie, docs = self.tries.setdefault(lang, RadixTrie()), self.docs[lang]
+            for term, counts in terms.items():
+                trie.add(term, docs[term], counts)
+        self.docs.clear()
 
     def waiting(self) -> int:
-        return sum(len(n) for n, _ in self.groups.values())
+        return sum(map(len, self.groups.values()))
 
     def held(self) -> int:
         return sum(t.size for t in self.tries.values())
 
-    def hand_on(self):
+    def hand_on(self, rows: int = 50_000):
         """The leaves in byte order as record batches; then the tries are empty."""
-        names = list(self.names)
         for lang in sorted(self.tries):
-            terms, flat = [], []
-            for term, own in self.tries[lang].leaves():
-                terms += [term] * (len(own) // 3)
-                flat += own
-            yield _leaves(lang, terms, np.array(flat, np.int64).reshape(-1, 3), names)
+            found = self.tries[lang].leaves()
+            while part := list(islice(found, rows)):
+                yield self.batch(lang, part)
         self.tries.clear()
 
     def marks(self):
         """A leaf without a term for every group, since groups without terms count too."""
         for lang, source in sorted(self.seen):
-            yield _leaves(lang, [b""], np.array([[source, 0, 0]]), list(self.names))
+            yield self.batch(lang, [(b"", [0, {source: 0}])])
 
+    def batch(self, lang: str, leaves: list[tuple[bytes, list]]) -> pa.RecordBatch:
+        sources = np.fromiter((s for _, (_, own) in leaves for s in own), np.int32)
+        n = np.fromiter((k for _, (_, own) in leaves for k in own.values()), np.int64)
+        ends = np.cumsum([0, *(len(own) for _, (_, own) in leaves)], dtype=np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(list(self.names), pa.string()).take(pa.array(sources)), pa.array(n)], ["source", "n"])
+        langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(leaves), np.int32)))
+        return pa.RecordBatch.from_arrays([langs, pa.array([t for t, _ in leaves], pa.binary()), pa.array([d for _, (d, _) in leaves], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["lang", "term", "docs", "counts"])
 
-_LEAF = "lang string, term binary, source string, n bigint, docs bigint"
 
-
-def _leaves(lang: str, terms: list[bytes], flat: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    sources = pa.array(names, pa.string()).take(pa.array(flat[:, 0]))
-    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(terms), np.int64))), pa.array(terms, pa.binary()), sources, pa.array(flat[:, 1].copy()), pa.array(flat[:, 2].copy())], names=["lang", "term", "source", "n", "docs"])
+_LEAF = "lang string, term binary, docs bigint, counts array<struct<source: string, n: bigint>>"
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
-    """Leaves of the tasks' tries: lang, term, source, occurrences and documents; a term '' marks a group."""
+    """Leaves of the tasks' tries: lang, term, documents and counts by source; leaves of term '' name the groups."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(blank("lang"), blank("source"), blank("text"))
 
@@ -190,14 +202,15 @@ def count_terms(docs: DataFrame) -> DataFrame:
         counts, waiting = Counts(), 0
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                counts.document(lang, source, text.as_buffer().to_pybytes())
-                waiting += len(text.as_buffer())
+                text = text.as_buffer().to_pybytes()
+                counts.document(lang, source, text)
+                waiting += len(text)
                 if waiting > 4 * COUNTS:  # bytes: there are at least as many as counts
+                    waiting = 0
                     if counts.waiting() > COUNTS:
                         counts.into_tries()
-                    waiting = 0
-                    if counts.held() > TRIE_COUNTERS:
-                        yield from counts.hand_on()
+                        if counts.held() > TRIE_COUNTERS:
+                            yield from counts.hand_on()
         counts.into_tries()
         yield from counts.hand_on()
         yield from counts.marks()
@@ -206,15 +219,17 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
 
 def merged(leaves: DataFrame) -> DataFrame:
-    """Kept terms by source: lang, term, source, n, the language's total, its range, and whether the row is the term's first.
+    """Kept terms: lang, term, the language's total, counts by source, and the number of the range.
 
-    The range partitioning by (lang, term) serves the sums and windows too: there is one shuffle.
+    The range partitioning by (lang, term) serves the windows and sums too: there is one shuffle. Leaves
+    of rare terms go before the others are taken apart.
     """
     ranged = leaves.where("term <> X''").repartitionByRange("lang", "term")
-    by_source = ranged.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    w = Window.partitionBy("lang", "term")
-    out = by_source.select("lang", "term", "source", "n", F.sum("n").over(w).alias("total"), F.sum("docs").over(w).alias("docs"), (F.row_number().over(w.orderBy("source")) == 1).alias("first"))
-    return out.where(F.col("docs") >= MIN_DOCUMENTS).select("lang", "term", "source", "n", "total", "first", F.spark_partition_id().alias("range"))
+    docs = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    common = ranged.withColumn("docs", docs).where(F.col("docs") >= MIN_DOCUMENTS)
+    by_source = common.select("lang", "term", F.inline("counts")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    whole = by_source.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("counts"))
+    return whole.withColumn("range", F.spark_partition_id())
 
 
 def shares(n: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -228,87 +243,74 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Traversal:
-    """One range of one language and pair of source blocks: totals first, then terms in UTF-8 order."""
-
-    def __init__(self, key: tuple) -> None:
-        self.key = key  # lang, block of the one side, of the other
-        self.sources: dict[str, int] = {}
-        self.blocks: list[int] = []
-        self.n: list[int] = []
-        self.words = self.kept = self.unseen = 0
-        self.pairs: np.ndarray | None = None
-        self.term: bytes | None = None
+    """One range of one language and pair of source blocks: its terms in UTF-8 order, added up as they come.
+
+    ``sources`` and ``n`` are those of both blocks, the first ``split`` of the first block (all, where a
+    block meets itself); ``words`` and ``kept`` are the language's, ``there`` counts the range's kept terms.
+    """
+
+    def __init__(self, lang: str, alone: bool, sources: list[str], n: list[int], split: int, words: int, kept: int, there: int) -> None:
+        self.lang, self.alone, self.names = lang, alone, sources
+        self.at = {s: k for k, s in enumerate(sources)}
+        self.rows = np.arange(split)
+        self.columns = self.rows if alone else np.arange(split, len(sources))
+        self.all, self.whole = np.array(n, np.int64) + SMOOTH * kept, words + SMOOTH * kept
+        self.unseen = there
+        self.pairs = np.zeros((len(self.rows), len(self.columns)), np.int64)
+        self.best: list[list[tuple[int, bytes]]] = [[] for _ in self.rows]
         self.fresh()
 
     def fresh(self) -> None:
         self.terms: list[bytes] = []
         self.totals: list[int] = []
-        self.cells: list[tuple[int, int, int]] = []
-
-    def source(self, name: str, block: int, n: int, words: int, kept: int, there: int) -> None:
-        if name not in self.sources:
-            self.sources[name] = len(self.sources)
-            self.blocks.append(block)
-            self.n.append(n)
-            self.words, self.kept, self.unseen = words, kept, there
-
-    def ready(self) -> None:
-        """After the totals: who belongs to which side, and empty sums."""
-        blocks = np.array(self.blocks)
-        self.rows, self.columns = np.flatnonzero(blocks == self.key[1]), np.flatnonzero(blocks == self.key[2])
-        self.all = np.array(self.n, np.int64) + SMOOTH * self.kept
-        self.pairs = np.zeros((len(self.rows), len(self.columns)), np.int64)
-        self.best: list[list[tuple[int, bytes]]] = [[] for _ in self.rows]
-
-    def leaf(self, term: bytes, source: str, n: int, total: int) -> None:
-        if self.pairs is None:
-            self.ready()
-        if term != self.term:
-            if len(self.terms) == TERMS:
-                self.add_up()
-            self.term = term
-            self.terms.append(term)
-            self.unseen -= 1
-            self.totals.append(total)
-        self.cells.append((len(self.terms) - 1, self.sources[source], n))
+        self.cells: list[int] = []
+        self.counts: list[int] = []
+
+    def leaf(self, term: bytes, total: int, counts: list[dict]) -> None:
+        base = len(self.terms) * len(self.names)
+        self.terms.append(term)
+        self.totals.append(total)
+        for c in counts:
+            self.cells.append(base + self.at[c["source"]])
+            self.counts.append(c["n"])
+        if len(self.terms) == TERMS:
+            self.add_up()
 
     def add_up(self) -> None:
         if not self.terms:
             return
-        counts = np.zeros((len(self.terms), len(self.n)), np.int64)
-        at = np.array(self.cells, np.int64)
-        counts[at[:, 0], at[:, 1]] = at[:, 2]
+        counts = np.zeros(len(self.terms) * len(self.names), np.int64)
+        counts[self.cells] = self.counts
+        counts = counts.reshape(len(self.terms), -1)
         p = shares(counts, self.all)
         right = p[:, self.columns]
         for i, g in enumerate(self.rows):
             self.pairs[i] += divergence(p[:, g : g + 1], right).sum(axis=0)
-        if self.key[1] == self.key[2]:
-            q = shares(np.array(self.totals, np.int64), self.words + SMOOTH * self.kept)
+        if self.alone:
+            q = shares(np.array(self.totals, np.int64), self.whole)
             for i, g in enumerate(self.rows):
                 ok = np.flatnonzero((counts[:, g] > 0) & (p[:, g] > q))
                 f = divergence(p[ok, g], q[ok])
                 top = np.argsort(-f, kind="stable")[:TOP]  # terms are in order, so equal values stay so
                 self.best[i] = sorted(self.best[i] + [(-int(f[k]), self.terms[ok[k]]) for k in top])[:TOP]
+        self.unseen -= len(self.terms)
         self.fresh()
 
     def results(self):
         """(lang, source, part, item, value): each pair both ways, and candidates."""
-        if self.pairs is None:
-            self.ready()
         self.add_up()
         if self.unseen:  # kept terms of this range that no source of these blocks has
-            none = shares(np.zeros(len(self.n), np.int64), self.all)
+            none = shares(np.zeros(len(self.names), np.int64), self.all)
             self.pairs += self.unseen * divergence(none[self.rows, None], none[None, self.columns])
-        names, lang = list(self.sources), self.key[0]
         for i, g in enumerate(self.rows):
             for j, h in enumerate(self.columns):
                 if g != h:
                     value = int(self.pairs[i, j])
-                    yield lang, names[g], "pair", names[h].encode(), value
-                    if self.key[1] != self.key[2]:
-                        yield lang, names[h], "pair", names[g].encode(), value
+                    yield self.lang, self.names[g], "pair", self.names[h].encode(), value
+                    if not self.alone:
+                        yield self.lang, self.names[h], "pair", self.names[g].encode(), value
             for value, term in self.best[i]:
-                yield lang, names[g], "term", term, -value
+                yield self.lang, self.names[g], "term", term, -value
 
 
 _RESULT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.binary()), ("value", pa.int64())])
@@ -334,32 +336,34 @@ def traversed(kept: DataFrame, groups: DataFrame, block: int = SOURCES) -> DataF
 
     ``groups`` has every (lang, source) with its words n, and the language's words and kept terms.
     """
-    groups = groups.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1) / block).cast("int"))
-    last = groups.groupBy("lang").agg(F.max("block").alias("last"))
-    # every pair of blocks that holds the row's own: (b, own..last) and (0..own-1, own)
-    own = F.col("block")
-    both = F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))))
-    of = groups.join(last, "lang").select("lang", "source", "block", "n", "words", "kept", both.alias("b"))
-    ranges = kept.where("first").groupBy("lang", "range").agg(F.count("*").alias("there"))
-    ranges = groups.select("lang").distinct().join(ranges, "lang", "left").select("lang", F.coalesce("range", F.lit(-1)).alias("range"), F.coalesce("there", F.lit(0)).alias("there"))
-    heads = of.join(ranges, "lang").select("lang", "b.i", "b.j", "range", F.lit(None).cast("binary").alias("term"), "source", "block", "n", F.col("words").alias("total"), "kept", "there")
-    place = of.select("lang", "source", "b")
-    leaves = kept.join(place, ["lang", "source"]).select("lang", "b.i", "b.j", "range", "term", "source", F.lit(0).alias("block"), "n", "total", F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("there"))
+    langs = groups.groupBy("lang").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max("words").alias("words"), F.max("kept").alias("kept"))
+    of = lambda source: F.pmod(F.xxhash64(source), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # of each source, every pair of blocks with its own; of each term, every pair of blocks
+    own = groups.select("lang", "source", "n").join(langs, "lang").withColumn("own", of(F.col("source")))
+    own = own.withColumn("b", F.explode(every)).select("lang", "words", "kept", F.least("b", "own").alias("i"), F.greatest("b", "own").alias("j"), F.struct((F.col("own") != F.least("b", "own")).alias("second"), "source", "n").alias("s"))
+    both = own.groupBy("lang", "i", "j", "words", "kept").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    there = langs.select("lang").join(kept.groupBy("lang", "range").agg(F.count("*").alias("there")), "lang", "left").na.fill({"range": -1, "there": 0})
+    pair = lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"))
+    heads = both.join(there, "lang").select("lang", "i", "j", "range", F.lit(None).cast("binary").alias("term"), F.col("words").alias("total"), F.transform("s", pair).alias("counts"), "kept", "there", F.size(F.filter("s", lambda x: ~x["second"])).alias("split"))
+    cases = F.flatten(F.transform(every, lambda i: F.transform(F.filter(every, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    leaves = kept.join(langs.select("lang", "blocks"), "lang").withColumn("b", F.explode(cases))
+    mine = F.when(F.col("blocks") == 1, F.col("counts")).otherwise(F.filter("counts", lambda x: of(x["source"]).isin(F.col("b.i"), F.col("b.j"))))
+    zero = F.lit(0).cast("long")
+    leaves = leaves.select("lang", "b.i", "b.j", "range", "term", "total", mine.alias("counts"), zero.alias("kept"), zero.alias("there"), F.lit(0).alias("split")).where("size(counts) > 0")
     keys = ["lang", "i", "j", "range"]
-    stream = heads.union(leaves).repartition(*keys).sortWithinPartitions(*keys, "term", "source")
+    stream = heads.union(leaves).repartition(*keys).sortWithinPartitions(*keys, "term")
 
     def run(batches):
-        now, key = None, None
+        now = None
         for b in batches:
-            for lang, i, j, part, term, source, block, n, total, kept_terms, there in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if (lang, i, j, part) != key:
-                    if now is not None:
-                        yield from _batches(now.results())
-                    key, now = (lang, i, j, part), Traversal((lang, i, j))
-                if term is None:
-                    now.source(source, block, n, total, kept_terms, there)
-                else:
-                    now.leaf(term, source, n, total)
+            for lang, i, j, _, term, total, counts, kept_terms, there, split in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if term is not None:
+                    now.leaf(term, total, counts)
+                    continue
+                if now is not None:
+                    yield from _batches(now.results())
+                now = Traversal(lang, i == j, [c["source"] for c in counts], [c["n"] for c in counts], split, total, kept_terms, there)
         if now is not None:
             yield from _batches(now.results())
 
@@ -370,10 +374,10 @@ def audit(docs: DataFrame, block: int = SOURCES) -> DataFrame:
     """lang, source, part, item, value and rank of every pair of sources and of each source's own terms."""
     leaves = C.materialize(count_terms(docs), "leaves")
     kept = C.materialize(merged(leaves), "terms")
-    by_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    # a language's words and terms, from the totals of each term's first row
-    by_lang = kept.where("first").groupBy("lang").agg(F.sum("total").alias("words"), F.count("*").alias("kept"))
-    groups = leaves.where("term = X''").select("lang", "source").distinct().join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left")
+    by_group = kept.select("lang", F.inline("counts")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    by_lang = kept.groupBy("lang").agg(F.sum("total").alias("words"), F.count("*").alias("kept"))
+    marks = leaves.where("term = X''").select("lang", F.inline("counts")).select("lang", "source").distinct()
+    groups = marks.join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left")
     groups = C.materialize(groups.na.fill(0, ["n", "words", "kept"]), "groups")
     found = C.materialize(traversed(kept, groups, block), "divergence")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
