@@ -245,6 +245,28 @@ def test_viterbi_is_the_best_path():
         assert total(got[k]) == pytest.approx(max(map(total, itertools.product(range(3), repeat=6))), abs=1e-5)
 
 
+@pytest.mark.parametrize("n", [129, 150, 200])
+def test_many_languages(n):
+    s = np.random.default_rng(n).normal(size=(3, 40, n)).astype(np.float32)
+    for k, path in enumerate(language_id.viterbi(s, 0.5)):
+        best, whence = s[k, 0].astype(float), []
+        for t in range(1, 40):
+            step = best[:, None] - 0.5 * (1 - np.eye(n))
+            whence.append(step.argmax(axis=0))
+            best = step.max(axis=0) + s[k, t]
+        state = [int(best.argmax())]
+        for w in reversed(whence):
+            state.append(int(w[state[-1]]))
+        assert path.min() >= 0 and path.tolist() == state[::-1]
+
+
+def test_more_labels_than_fit_a_byte(spark):
+    words = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("xa", "yo", "zu", "we"))
+    d = spark.createDataFrame([(k * 200 + i, f"{words(i)} " * 6, f"l{i:03}") for i in range(200) for k in range(3)], "doc_id long, text string, lang string")
+    got = language_id.identify(d).collect()
+    assert len(got) == 600 and len({r["lang_pred"] for r in got}) > 150
+
+
 def test_segments_give_the_same_path():
     rng = np.random.default_rng(12)
     for n in (1, 7, 8, 9, 64, 201):
@@ -486,6 +508,32 @@ def test_shards_and_doubles(spark, monkeypatch):
     assert hit / (20 * len(by)) > 0.95 and len(by) == 150
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.25, 0.5])
+def test_largest_products_of_unequal_lengths(spark, monkeypatch, spread):
+    """64 dimensions, noisy copies of the given vectors and random ones; bands of over 256 rows have graphs."""
+    monkeypatch.setattr(ann, "MIXED_ROWS", 256)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 700)
+    own = np.stack(spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/embeddings.parquet").limit(2500).toPandas().embedding)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        v = rng.normal(size=(5000, 64)) if seed == 2 else own[rng.integers(0, len(own), 5000)] + rng.normal(0, 0.05, (5000, 64))
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(spread * rng.normal(size=(5000, 1)))).astype(np.float32)
+        e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        place, mixed = ann.plan_shards(dict(zip(*np.unique(np.floor(np.log(np.linalg.norm(v, axis=1)) / np.log(ann.LENGTH_RATIO) + 0.5).astype(int), return_counts=True), strict=True)))
+        assert len(mixed) >= 8 and not all(mixed)
+        hit = 0
+        got = ann.nearest(e).collect()
+        for r in got:
+            s = r["score"]
+            assert s == pytest.approx(float(v[r["query_id"]].astype(float) @ v[r["vec_id"]].astype(float)), abs=1e-9)
+        found = {(r["query_id"], r["vec_id"]) for r in got}
+        for q in range(0, 5000, 20):
+            s = v.astype(float) @ v[q].astype(float)
+            s[q] = -np.inf
+            hit += sum((q, int(i)) in found for i in np.argsort(-s)[:20])
+        assert hit / len(got) >= 0.93 and len(got) == 5000, (seed, hit / len(got))
+
+
 def test_vectors_that_take_no_part_and_copies(spark):
     bad = [(100, None), (101, [0.0, 0.0]), (120, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0])]
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(200, [0.0, 2.0]), (201, [1.0, 1.0])] + bad

@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by largest inner product, on robust-pruned directed graphs.
 
 Equal vectors form one node that keeps the smallest ids of its copies, as many as a result
-can show; so copies neither crowd a node's edges nor one task. Nodes are dealt over shards by
-hash. In a shard, inserted points search greedily for candidates, and robust pruning keeps a
+can show; so copies neither crowd a node's edges nor one task. Nodes are parted into bands of about
+equal length (a factor of LENGTH_RATIO), since a graph over lengths that differ much loses its way to the
+largest products; each band is dealt over shards by hash. Neighbouring bands of fewer than MIXED_ROWS rows
+together are one shard, which is searched whole: it is no larger than that. In a band's shard, inserted points search greedily for candidates, and robust pruning keeps a
 candidate only if no kept one is ALPHA times nearer to it than the point is; links also go
 back, and are pruned again where they overflow. An extra coordinate makes all vectors equally
 long, so that nearest by distance means largest inner product. Every query runs a beam search
 in every shard; found nodes are scored again in double precision on the original vectors,
 and the best of all shards are kept, nearest first, ties to the smaller id.
 
+Bands are counted first; there are at most some 30,000, as many as powers of LENGTH_RATIO among doubles.
 A shard's vectors arrive sorted before the queries, which stream through in batches, so a
 task holds one shard (SHARD_ROWS nodes at most, in the mean) however many queries there are.
 Vectors of doubles keep their precision: graphs are built on 32-bit copies scaled to length 1 at
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, LEAST_SHARDS = 65_536, 8
+SHARD_ROWS, LEAST_SHARDS = 20_000, 8
+LENGTH_RATIO, MIXED_ROWS = 1.05, 2_048
 DEGREE, BEAM, SEARCH_BEAM, ALPHA, BATCH = 24, 64, 128, 1.2, 512
 
 
@@ -131,26 +135,38 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
 
 
 class Shard:
-    """One shard's vectors with their graph; answers batches of queries."""
+    """One shard's vectors, with their graph or, of mixed lengths, without; answers batches of queries."""
 
-    def __init__(self, vectors: np.ndarray, members: list[list[int]], longest: float):
-        self.vectors, self.members = vectors, members
-        self.scale = float(longest)
+    def __init__(self, vectors: np.ndarray, members: list[list[int]], mixed: bool = False):
+        self.vectors, self.members, self.mixed = vectors, members, mixed
+        if mixed:
+            return
+        most = np.abs(vectors).max(axis=1, keepdims=True).astype(np.float64)
+        self.scale = float((most[:, 0] * np.sqrt(((vectors / most) ** 2).sum(axis=1))).max())
         short = vectors.astype(np.float64) / self.scale
         extra = np.sqrt(np.maximum(0, 1 - (short**2).sum(axis=1)))
         self.long = np.hstack([short, extra[:, None]]).astype(np.float32)
         self.norms = (self.long**2).sum(axis=1)
         self.graph, self.start = build_graph(self.long)
 
+    def candidates(self, q: np.ndarray, k: int) -> list[np.ndarray]:
+        """For every query the nodes that may be among its k nearest."""
+        if not self.mixed:
+            short = (q / self.scale).astype(np.float32)
+            found, _ = beam_search(self.long, self.norms, self.graph, self.start, np.hstack([short, np.zeros((len(q), 1), np.float32)]), max(SEARCH_BEAM, 2 * k))
+            return [nodes[nodes >= 0] for nodes in found]
+        score = q @ self.vectors.astype(np.float64).T
+        if score.shape[1] <= k + 1:
+            return [np.arange(score.shape[1])] * len(q)
+        least = -np.partition(-score, k, axis=1)[:, k]  # the own row is one of k + 1
+        return [np.flatnonzero(row >= x - abs(x) * 1e-12) for row, x in zip(score, least, strict=True)]
+
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         """(query, vec_id, score): the k best of the shard for every query, without its own row."""
         out = []
         for a in range(0, len(ids), BATCH):
             q = queries[a : a + BATCH].astype(np.float64)
-            short = (q / self.scale).astype(np.float32)
-            found, _ = beam_search(self.long, self.norms, self.graph, self.start, np.hstack([short, np.zeros((len(q), 1), np.float32)]), max(SEARCH_BEAM, 2 * k))
-            for own, query, nodes in zip(ids[a : a + BATCH], q, found, strict=True):
-                nodes = nodes[nodes >= 0]
+            for own, query, nodes in zip(ids[a : a + BATCH], q, self.candidates(q, k), strict=True):
                 score = self.vectors[nodes].astype(np.float64) @ query
                 got = []
                 for at in np.argsort(-score, kind="stable"):
@@ -162,6 +178,34 @@ class Shard:
         return out
 
 
+def plan_shards(bands: dict[int, int]) -> tuple[dict[int, tuple[int, int]], list[bool]]:
+    """For every band its first shard and number of shards, and of every shard whether lengths are mixed in it."""
+    place: dict[int, tuple[int, int]] = {}
+    mixed: list[bool] = []
+    rest: list[int] = []
+
+    def close() -> None:
+        if rest:
+            place.update(dict.fromkeys(rest, (len(mixed), 1)))
+            mixed.append(len(rest) > 1)
+            rest.clear()
+
+    for band in sorted(bands):
+        n = bands[band]
+        if n >= MIXED_ROWS or len(bands) == 1:
+            close()
+            small = n < (256 if len(bands) == 1 else 2048) * LEAST_SHARDS
+            shards = max(1 if small else LEAST_SHARDS, math.ceil(n / SHARD_ROWS))
+            place[band] = (len(mixed), shards)
+            mixed += [False] * shards
+            continue
+        if sum(bands[b] for b in rest) + n > MIXED_ROWS:
+            close()
+        rest.append(band)
+    close()
+    return place, mixed
+
+
 def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of every row whose key is divisible by every."""
     v = F.col("v")
@@ -176,41 +220,46 @@ def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding
         return embeddings.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("v") == common["d"])
     most = F.array_max(F.transform(v, F.abs)).cast("double")  # divided by it, no square overflows
-    longest, n = rows.agg(F.max(most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / most, F.lit(2.0))))), F.count("*")).first()
-    shards = max(1 if n < 256 * LEAST_SHARDS else LEAST_SHARDS, math.ceil(n / SHARD_ROWS))
-    dim = int(common["d"])
+    length = F.log(most) + 0.5 * F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / most, F.lit(2.0))))
+    # half a step off, so that vectors of length 1, but for rounding, are one band
+    rows = rows.withColumn("band", F.floor(length / math.log(LENGTH_RATIO) + 0.5).cast("int"))
+    place, mixed = plan_shards({r["band"]: r["count"] for r in rows.groupBy("band").count().collect()})
+    shards, dim = len(mixed), int(common["d"])
 
     def first_copies(batches):
-        """Of each vector of the task, the k + 1 smallest ids."""
+        """Of each vector of the task, the k + 1 smallest ids, and the shards of its band."""
         have: dict[bytes, list[int]] = {}
+        bands: dict[bytes, int] = {}
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(real).reshape(-1, dim) + real(0)
-            for i, x in zip(b.column(0).to_pylist(), flat, strict=True):
-                ids = have.setdefault(x.tobytes(), [])
+            for i, x, band in zip(b.column(0).to_pylist(), flat, b.column(2).to_pylist(), strict=True):
+                raw = x.tobytes()
+                bands[raw] = band
+                ids = have.setdefault(raw, [])
                 ids.append(i)
                 if len(ids) > 4 * k:
-                    have[x.tobytes()] = sorted(ids)[: k + 1]
+                    have[raw] = sorted(ids)[: k + 1]
             if len(have) > 100_000:
-                yield from out(have)
-                have = {}
-        yield from out(have)
+                yield from out(have, bands)
+                have, bands = {}, {}
+        yield from out(have, bands)
 
-    def out(have):
-        pairs = [(i, x) for x, ids in have.items() for i in sorted(ids)[: k + 1]]
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs], pa.binary())], ["id", "x"])
+    def out(have, bands):
+        found = [(i, x, *place[bands[x]]) for x, ids in have.items() for i in sorted(ids)[: k + 1]]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["id", "x", "first", "parts"])
 
-    copies = rows.mapInArrow(first_copies, "id long, x binary").withColumn("h", F.xxhash64("x"))
+    copies = rows.select("id", "v", "band").mapInArrow(first_copies, "id long, x binary, first int, parts int").withColumn("h", F.xxhash64("x"))
     kept = copies.withColumn("r", F.row_number().over(Window.partitionBy("h", "x").orderBy("id"))).where(F.col("r") <= k + 1)
-    nodes = kept.groupBy("h", "x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    nodes = nodes.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "ids", "x")
+    nodes = kept.groupBy("h", "x", "first", "parts").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    nodes = nodes.select((F.col("first") + F.pmod("h", F.col("parts"))).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "ids", "x")
 
     def packed(batches):
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(real).reshape(-1, dim) + real(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], ["id", "x"])
 
-    asked = rows.where(F.col("id") % every == 0).mapInArrow(packed, "id long, x binary")
+    asked = rows.select("id", "v").where(F.col("id") % every == 0).mapInArrow(packed, "id long, x binary")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", F.lit(None).cast("array<bigint>").alias("ids"), "x")
 
     def search(batches):
@@ -229,7 +278,7 @@ def nearest(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding
                     members += b.column(3).slice(a, e - a).to_pylist()
                 elif held:
                     if shard is None:
-                        shard = Shard(np.concatenate(held), members, longest)
+                        shard = Shard(np.concatenate(held), members, mixed[current])
                     found = shard.search(b.column(2).slice(a, e - a).to_numpy(), x, k)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
 

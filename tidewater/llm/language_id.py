@@ -173,7 +173,7 @@ def word_scores(words: list[str], model: dict) -> np.ndarray:
 def _forward(score: np.ndarray, best: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Final scores by last state, and for every word whence a switch comes and who stays."""
     n, n_words, n_langs = score.shape
-    came = np.zeros((n_words, n), np.int8)
+    came = np.zeros((n_words, n), np.int16)
     stay = np.zeros((n_words, n, n_langs), bool)
     rows = np.arange(n)
     for t in range(1, n_words):
@@ -186,7 +186,7 @@ def _forward(score: np.ndarray, best: np.ndarray, penalty: float) -> tuple[np.nd
 
 
 def _backward(state: np.ndarray, came: np.ndarray, stay: np.ndarray) -> np.ndarray:
-    path = np.zeros((len(state), len(came)), np.int8)
+    path = np.zeros((len(state), len(came)), np.int16)
     rows = np.arange(len(state))
     for t in range(len(came) - 1, 0, -1):
         path[:, t] = state
