@@ -24,9 +24,10 @@ Further columns, of whatever names, are not read.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +106,9 @@ class RadixTrie:
             term = before + node.label
             if node.leaf is not None:
                 yield term, node.leaf
-            if node.children:
-                stack += [(node.children[k], term) for k in sorted(node.children, reverse=True)]
+            below = node.children
+            if below:
+                stack += [(below[k], term) for k in (sorted(below, reverse=True) if len(below) > 1 else below)]
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -182,9 +184,10 @@ class Counts:
             yield self.batch(lang, [(b"", [0, {source: 0}])])
 
     def batch(self, lang: str, leaves: list[tuple[bytes, list]]) -> pa.RecordBatch:
-        sources = np.fromiter((s for _, (_, own) in leaves for s in own), np.int32)
-        n = np.fromiter((k for _, (_, own) in leaves for k in own.values()), np.int64)
-        ends = np.cumsum([0, *(len(own) for _, (_, own) in leaves)], dtype=np.int32)
+        counts = [own for _, (_, own) in leaves]
+        sources = np.fromiter(chain.from_iterable(counts), np.int32)
+        n = np.fromiter(chain.from_iterable(own.values() for own in counts), np.int64)
+        ends = np.cumsum([0, *map(len, counts)], dtype=np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(list(self.names), pa.string()).take(pa.array(sources)), pa.array(n)], ["source", "n"])
         langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(leaves), np.int32)))
         return pa.RecordBatch.from_arrays([langs, pa.array([t for t, _ in leaves], pa.binary()), pa.array([d for _, (d, _) in leaves], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["lang", "term", "docs", "counts"])
@@ -198,7 +201,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(blank("lang"), blank("source"), blank("text"))
 
-    def run(batches):
+    def counted(batches):
         counts, waiting = Counts(), 0
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -215,6 +218,13 @@ def count_terms(docs: DataFrame) -> DataFrame:
         yield from counts.hand_on()
         yield from counts.marks()
 
+    def run(batches):
+        gc.disable()  # nodes are many and never in a cycle; looking for cycles would take a third of the time
+        try:
+            yield from counted(batches)
+        finally:
+            gc.enable()
+
     return rows.mapInArrow(run, _LEAF)
 
 
@@ -258,47 +268,32 @@ class Traversal:
         self.unseen = there
         self.pairs = np.zeros((len(self.rows), len(self.columns)), np.int64)
         self.best: list[list[tuple[int, bytes]]] = [[] for _ in self.rows]
-        self.fresh()
-
-    def fresh(self) -> None:
-        self.terms: list[bytes] = []
-        self.totals: list[int] = []
-        self.cells: list[int] = []
-        self.counts: list[int] = []
-
-    def leaf(self, term: bytes, total: int, counts: list[dict]) -> None:
-        base = len(self.terms) * len(self.names)
-        self.terms.append(term)
-        self.totals.append(total)
-        for c in counts:
-            self.cells.append(base + self.at[c["source"]])
-            self.counts.append(c["n"])
-        if len(self.terms) == TERMS:
-            self.add_up()
-
-    def add_up(self) -> None:
-        if not self.terms:
-            return
-        counts = np.zeros(len(self.terms) * len(self.names), np.int64)
-        counts[self.cells] = self.counts
-        counts = counts.reshape(len(self.terms), -1)
+
+    def leaves(self, terms: list[bytes], totals: np.ndarray, ends: np.ndarray, sources: np.ndarray, n: np.ndarray) -> None:
+        """Terms in order; those of place i have the sources (by number) and counts from ends[i] to ends[i + 1]."""
+        for a in range(0, len(terms), TERMS):
+            part = slice(ends[a], ends[min(a + TERMS, len(terms))])
+            of = np.repeat(np.arange(len(terms[a : a + TERMS])), np.diff(ends[a : a + TERMS + 1]))
+            self.add_up(terms[a : a + TERMS], totals[a : a + TERMS], of, sources[part], n[part])
+
+    def add_up(self, terms: list[bytes], totals: np.ndarray, of: np.ndarray, sources: np.ndarray, n: np.ndarray) -> None:
+        counts = np.zeros((len(terms), len(self.names)), np.int64)
+        counts[of, sources] = n
         p = shares(counts, self.all)
         right = p[:, self.columns]
         for i, g in enumerate(self.rows):
             self.pairs[i] += divergence(p[:, g : g + 1], right).sum(axis=0)
         if self.alone:
-            q = shares(np.array(self.totals, np.int64), self.whole)
+            q = shares(totals, self.whole)
             for i, g in enumerate(self.rows):
                 ok = np.flatnonzero((counts[:, g] > 0) & (p[:, g] > q))
                 f = divergence(p[ok, g], q[ok])
                 top = np.argsort(-f, kind="stable")[:TOP]  # terms are in order, so equal values stay so
-                self.best[i] = sorted(self.best[i] + [(-int(f[k]), self.terms[ok[k]]) for k in top])[:TOP]
-        self.unseen -= len(self.terms)
-        self.fresh()
+                self.best[i] = sorted(self.best[i] + [(-int(f[k]), terms[ok[k]]) for k in top])[:TOP]
+        self.unseen -= len(terms)
 
     def results(self):
         """(lang, source, part, item, value): each pair both ways, and candidates."""
-        self.add_up()
         if self.unseen:  # kept terms of this range that no source of these blocks has
             none = shares(np.zeros(len(self.names), np.int64), self.all)
             self.pairs += self.unseen * divergence(none[self.rows, None], none[None, self.columns])
@@ -331,6 +326,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
 
 
+def _leaves_of(now: Traversal, terms: pa.Array, totals: np.ndarray, ends: np.ndarray, names: list[str], codes: np.ndarray, n: np.ndarray, a: int, e: int) -> None:
+    """Gives rows a to e of a batch to the traversal."""
+    if a < e:
+        number = np.array([now.at.get(x, -1) for x in names])
+        part = slice(ends[a], ends[e])
+        now.leaves(terms.slice(a, e - a).to_pylist(), totals[a:e], ends[a : e + 1] - ends[a], number[codes[part]], n[part])
+
+
 def traversed(kept: DataFrame, groups: DataFrame, block: int = SOURCES) -> DataFrame:
     """What each range gives: lang, source, part, item and value, to be summed for pairs and ranked for terms.
 
@@ -357,13 +360,21 @@ def traversed(kept: DataFrame, groups: DataFrame, block: int = SOURCES) -> DataF
     def run(batches):
         now = None
         for b in batches:
-            for lang, i, j, _, term, total, counts, kept_terms, there, split in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if term is not None:
-                    now.leaf(term, total, counts)
-                    continue
+            terms, counts = b.column(4), b.column(6)
+            flat = counts.flatten()
+            ends = np.concatenate([[0], np.cumsum(counts.value_lengths().to_numpy(zero_copy_only=False))])
+            named, n = flat.field(0).dictionary_encode(), flat.field(1).to_numpy()
+            names, codes = named.dictionary.to_pylist(), named.indices.to_numpy()
+            totals = b.column(5).to_numpy()
+            heads = [*np.flatnonzero(terms.is_null().to_numpy(zero_copy_only=False)), len(terms)]
+            if now is not None and heads[0]:
+                _leaves_of(now, terms, totals, ends, names, codes, n, 0, heads[0])
+            for at, end in zip(heads[:-1], heads[1:], strict=True):
                 if now is not None:
                     yield from _batches(now.results())
-                now = Traversal(lang, i == j, [c["source"] for c in counts], [c["n"] for c in counts], split, total, kept_terms, there)
+                lang, i, j, _, _, words, own, kept_terms, there, split = (b.column(c)[int(at)].as_py() for c in range(10))
+                now = Traversal(lang, i == j, [c["source"] for c in own], [c["n"] for c in own], split, words, kept_terms, there)
+                _leaves_of(now, terms, totals, ends, names, codes, n, at + 1, end)
         if now is not None:
             yield from _batches(now.results())
 
