@@ -166,6 +166,39 @@ def t_quantile(p: float, dof: float) -> float:
     return lo
 
 
+def gamma_upper(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > abs(total) * 1e-17:
+            k += 1
+            term *= x / k
+            total += term
+        return 1 - total * scale
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 100_000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or tiny)
+        c = b + an / c or tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return h * scale
+
+
+def chi_square_upper(x: float, dof: float) -> float:
+    """The chance that a chi-square variable exceeds x."""
+    return gamma_upper(dof / 2, x / 2)
+
+
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tidewater.plans import aggregations, content, details, functions, joins, storage, windows  # noqa: E402, F401  registers them
+from tidewater.plans import aggregations, content, details, functions, joins, models, storage, windows  # noqa: E402, F401  registers them
