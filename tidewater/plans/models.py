@@ -1,4 +1,4 @@
-"""Registered queries of mixed-effects models over a complete grid of users and days.
+"""Registered queries of models: density clusters, and mixed effects over a complete grid of users and days.
 
 The grid is balanced, so that restricted maximum likelihood has a closed form, which the SQL computes from
 mean squares between and within users; the Spark side knows nothing of the balance.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators import density as DE
 from tidewater.operators import joins as J
 from tidewater.operators import mixed as M
 from tidewater.plans.registry import register, table
@@ -96,3 +97,9 @@ def stat_model_comparison(spark: SparkSession, sf: str) -> DataFrame:
             rows.append((o, model, f.parameters, f.reml, f.aic, f.bic, f.aic - min(small.aic, large.aic), f.bic - min(small.bic, large.bic), test["chisq"] if f is large else None, test["p"] if f is large else None))
     out = spark.createDataFrame(rows, "outcome string, model string, df int, loglik double, aic double, bic double, delta_aic double, delta_bic double, chisq double, p double")
     return out.withColumns({c: F.round(c, 3) for c in ("loglik", "aic", "bic", "delta_aic", "delta_bic")} | {"chisq": F.round("chisq", 4), "p": F.round("p", 5)})
+
+
+@register("ml_density_clusters")
+def ml_density_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The density cluster of every vector, -1 for outliers; tests/test_density.py compares with the full matrix."""
+    return DE.density_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 5, 15).select("vec_id", "cluster", F.round("w", 6).alias("w"))
