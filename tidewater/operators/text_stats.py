@@ -99,3 +99,23 @@ def valence(words: Column, lexicon: dict[str, float], alpha: float = 15.0) -> Co
     table = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
     total = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(table, F.lower(w)), F.lit(0.0)))
     return total / F.sqrt(total * total + alpha)
+
+
+def vector_coherence(docs: DataFrame, topics: DataFrame, words: str, vector: str) -> DataFrame:
+    """(topic, n_words, coherence): mean cosine over a topic's pairs of words between the words' mean vectors.
+
+    docs has a word list and a vector a row, topics (topic, word) a few dozen words a topic. A word's vector is
+    the mean of the vectors of documents that hold it: one aggregate that combines sums by word and place.
+    For unit vectors u of n words the sum over pairs is (|sum u|^2 - n) / 2, so no pair is formed. Words
+    that no document holds take no part; topics of fewer than two words have coherence 0.
+    """
+    wanted = topics.select(F.col("word").alias("w")).distinct()
+    held = docs.where(F.col(vector).isNotNull()).select(F.explode(F.array_distinct(words)).alias("w"), F.col(vector).alias("v")).join(wanted, "w", "left_semi")
+    means = held.select("w", F.posexplode("v").alias("i", "x")).groupBy("w", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    length = means.groupBy("w").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length")).where("length > 0")
+    units = topics.select("topic", F.col("word").alias("w")).distinct().join(means, "w").join(length, "w").select("topic", "w", "i", (F.col("x") / F.col("length")).alias("u"))
+    n = units.groupBy("topic").agg(F.count_distinct("w").alias("n_words"))
+    total = units.groupBy("topic", "i").agg(F.sum("u").alias("s")).groupBy("topic").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    out = topics.select("topic").distinct().join(n, "topic", "left").join(total, "topic", "left")
+    mean = (F.col("ss") - F.col("n_words")) / (F.col("n_words") * (F.col("n_words") - 1))
+    return out.select("topic", F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), F.when(F.col("n_words") > 1, mean).otherwise(0.0).alias("coherence"))

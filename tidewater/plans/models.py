@@ -6,12 +6,14 @@ mean squares between and within users; the Spark side knows nothing of the balan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import density as DE
 from tidewater.operators import joins as J
+from tidewater.operators import language as L
 from tidewater.operators import mixed as M
+from tidewater.operators import text_stats as TS
 from tidewater.plans.registry import register, table
 
 POST = "2024-01-16"
@@ -103,3 +105,35 @@ def stat_model_comparison(spark: SparkSession, sf: str) -> DataFrame:
 def ml_density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """The density cluster of every vector, -1 for outliers; tests/test_density.py compares with the full matrix."""
     return DE.density_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 5, 15).select("vec_id", "cluster", F.round("w", 6).alias("w"))
+
+
+_GRAMS = r"""
+WITH w AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, lang, substr(' ' || w || ' ', i, 3) AS gram FROM (SELECT *, unnest(range(1, length(w) + 1)) AS i FROM w)),
+p AS (SELECT lang, gram, rank FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS rank FROM g WHERE lang IS NOT NULL GROUP BY 1, 2) WHERE rank <= 300)"""
+
+
+@register("filter_language_predicted", _GRAMS + """,
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), k AS (SELECT g.doc_id, p.lang, sum(301 - rank) AS s FROM g JOIN p USING (gram) GROUP BY 1, 2),
+d AS (SELECT n.doc_id, l.lang, 301 - coalesce(s, 0) / n AS d FROM n CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN k ON k.doc_id = n.doc_id AND k.lang = l.lang)
+SELECT doc_id, lang, round(d, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(d, 9), lang) AS r FROM d) WHERE r = 1 AND lang IN ('en', 'fr')""")
+def filter_language_predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that read as English or French, by trigram profiles of all labelled documents, with the distance."""
+    docs = table(spark, sf, "documents")
+    found = L.predict(docs, "doc_id", "text", L.profiles(docs, "lang", "text"))
+    return found.where(F.col("lang").isin("en", "fr")).select("doc_id", "lang", F.round("distance", 5).alias("distance"))
+
+
+@register("text_vector_coherence", r"""
+WITH d AS (SELECT lang, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda x: x <> '')) AS ws, embedding AS v FROM documents JOIN embeddings ON vec_id = doc_id WHERE lang IS NOT NULL),
+w AS (SELECT lang, unnest(ws) AS w, v FROM d), t AS (SELECT lang AS topic, w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r FROM w GROUP BY 1, 2) WHERE r <= 10),
+x AS (SELECT w, i, avg(x) AS x FROM (SELECT w, unnest(range(len(v))) AS i, unnest(v)::DOUBLE AS x FROM w WHERE w IN (SELECT w FROM t)) GROUP BY 1, 2), u AS (SELECT w, i, x / sqrt(sum(x * x) OVER (PARTITION BY w)) AS u FROM x),
+c AS (SELECT a.topic, a.w, b.w AS w2, sum(y.u * z.u) AS c FROM t a JOIN t b ON a.topic = b.topic AND a.w < b.w JOIN u y ON y.w = a.w JOIN u z ON z.w = b.w AND z.i = y.i GROUP BY 1, 2, 3)
+SELECT t.topic, count(DISTINCT t.w)::BIGINT AS n_words, round(coalesce(any_value(m.c), 0), 6) AS coherence FROM t LEFT JOIN (SELECT topic, avg(c) AS c FROM c GROUP BY 1) m ON m.topic = t.topic GROUP BY 1""")
+def text_vector_coherence(spark: SparkSession, sf: str) -> DataFrame:
+    """Coherence of the ten words of each language that most documents hold, by the documents' vectors."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
+    docs = table(spark, sf, "documents").where("text is not null and lang is not null").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("lang", words.alias("ws"), "embedding")
+    counts = docs.select(F.col("lang").alias("topic"), F.explode("ws").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"))
+    topics = counts.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "word"))).where("r <= 10").select("topic", "word")
+    return TS.vector_coherence(docs, topics, "ws", "embedding").withColumn("coherence", F.round("coherence", 6))
