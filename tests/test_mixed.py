@@ -1,4 +1,4 @@
-"""Mixed models against the dense likelihood on unbalanced rows, and distribution tails against tables."""
+"""Distribution tests and mixed models: published values, and mixed models against the dense likelihood on unbalanced rows, and distribution tails against tables."""
 
 import math
 
@@ -74,3 +74,25 @@ def test_comparison(spark, terms):
     assert test["df"] == 1 and test["chisq"] > 20 and test["p"] < 1e-5
     assert large.aic == pytest.approx(-2 * large.reml + 8) and large.bic == pytest.approx(-2 * large.reml + 4 * math.log(large.n))
     assert M.fit(df.where("false"), ["y"], terms, F.col("g")) == {}
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    ps = [1e-300, 1e-20, 1e-9, 0.01, 0.074, 0.076, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0]], "p double").select(ST.normal_quantile(F.col("p"))).collect()
+    assert [r[0] for r in got[:-2]] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-12, abs=1e-15)
+    assert [r[0] for r in got[-2:]] == [None, None]
+
+
+def test_shapiro_wilk(spark):
+    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]  # published: W 0.7888, p 0.0067
+    miles = [21.0, 21.0, 22.8, 21.4, 18.7, 18.1, 14.3, 24.4, 22.8, 19.2, 17.8, 16.4, 17.3, 15.2, 10.4, 10.4, 14.7, 32.4, 30.4, 33.9, 21.5, 15.5, 15.2, 13.3, 19.2, 27.3, 26.0, 30.4, 15.8, 19.7, 15.0, 21.4]  # W 0.94756, p 0.1229
+    rows = [(g, float(v)) for g, vs in {"w": weights, "m": miles, "two": [1, 2], "same": [3] * 9, "three": [1, 2, 4], "four": [1, 2, 3, 10], None: [1, 2, 3, 4, 5.5]}.items() for v in vs] + [("w", None), ("w", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for chunk in (10_000, 2):
+        got = {r["g"]: r for r in ST.shapiro_wilk(df, "v", ["g"], chunk).collect()}
+        assert got["w"]["w"] == pytest.approx(0.788815, abs=2e-5) and ST.normal_upper(got["w"]["z"]) == pytest.approx(0.0067038, rel=1e-3)
+        assert got["m"]["w"] == pytest.approx(0.94756, abs=1e-5) and ST.normal_upper(got["m"]["z"]) == pytest.approx(0.1229, abs=5e-5)
+        assert got["two"]["w"] is None and got["same"]["w"] is None and got["three"]["w"] == pytest.approx(0.5 * 9 / (14 / 3), rel=1e-9)
+        assert 0.6 < got["four"]["w"] < 0.85 and got[None]["n"] == 5 and got[None]["w"] > 0.95

@@ -236,3 +236,66 @@ def two_samples(df: DataFrame, value: str, group: Column) -> dict[str, float]:
     sigma = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) if n > 1 else 0.0
     out |= {"mann_whitney_u": u, "mann_whitney_p": min(1.0, normal_two_sided(max(0.0, abs(u - n1 * n2 / 2) - 0.5) / sigma)) if sigma else 1.0}
     return out
+
+
+#: Rational approximation of the normal quantile (algorithm AS 241): near the middle, in the tails, far out.
+_MIDDLE = ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727), (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610))
+_TAIL = ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640), (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9))
+_FAR = ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7), (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 0.000786869131145613259100, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+#: The weights' and the p-value's polynomials of the Shapiro-Wilk test (algorithm AS R94).
+_LAST, _LAST_BUT_ONE = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_SMALL = ((-2.273, 0.459), (0.544, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322))
+_LARGE = ((-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302))
+
+
+def polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + F.lit(c)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The z below which a standard normal variable falls with probability p; null outside (0, 1)."""
+    q = p - 0.5
+    ratio = lambda x, parts: polynomial(x, parts[0]) / polynomial(x, parts[1])
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    outer = F.when(r <= 5, ratio(r - 1.6, _TAIL)).otherwise(ratio(r - 5, _FAR)) * F.signum(q)
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * ratio(0.180625 - q * q, _MIDDLE)).otherwise(outer))
+
+
+def shapiro_wilk(df: DataFrame, value: str, by: list[str] | None = None, chunk: int = 10_000) -> DataFrame:
+    """by, n, w and z of the test for a normal distribution; ``normal_upper(z)`` is its p.
+
+    Weights belong to places in the order, which come from counted values: equal values are one row with
+    its first place, and its places are taken apart ``chunk`` at a time where their weights are summed.
+    Groups of fewer than three values, or of one value only, have null w and z; for three values z is null.
+    """
+    by = by or []
+    values = counted_values(df.select(*by, F.col(value).cast("double").alias("x")).where("not isnan(x)"), "x", by)
+    values = materialize(values, "order")
+    moments = values.groupBy(*by).agg(F.sum("__n").alias("n"), (F.sum(F.col("x") * F.col("__n")) / F.sum("__n")).alias("mean"))
+    moments = moments.select(*[F.col(c).alias(f"__{c}") for c in by], "n", "mean")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    rows = (values.join(moments, on) if by else values.crossJoin(F.broadcast(moments))).withColumn("d", F.col("x") - F.col("mean"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / chunk)))
+    rows = rows.withColumn("c", chunks).withColumn("take", F.least(F.lit(chunk).cast("long"), F.col("__n") - F.col("c") * chunk))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take")))).withColumn("place", F.col("k") + F.col("__before") + F.col("c") * chunk)
+    rows = rows.withColumn("m", normal_quantile((F.col("place") - 0.375) / (F.col("n") + 0.25)))
+    end = lambda c, k: F.max(F.when(F.col("place") == (k if k > 0 else F.col("n") + 1 + k), F.col(c)))
+    g = rows.groupBy(*by, "n").agg(F.sum(F.col("d") * F.col("d")).alias("ss"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("d")).alias("md"), end("m", -1).alias("m1"), end("m", -2).alias("m2"), (end("d", -1) - end("d", 1)).alias("d1"), (end("d", -2) - end("d", 2)).alias("d2"))
+    n, u, root = F.col("n"), 1 / F.sqrt("n"), F.sqrt("mm")
+    a1 = F.when(n == 3, math.sqrt(0.5)).otherwise(F.col("m1") / root + polynomial(u, _LAST))
+    a2 = F.col("m2") / root + polynomial(u, _LAST_BUT_ONE)
+    g = g.withColumns({"a1": a1, "a2": F.when(n > 5, a2)})
+    phi = F.when(n > 5, (F.col("mm") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2)).otherwise((F.col("mm") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2))
+    inner = F.when(n > 5, F.col("md") - F.col("m1") * F.col("d1") - F.col("m2") * F.col("d2")).otherwise(F.col("md") - F.col("m1") * F.col("d1"))
+    total = F.when(n == 3, F.col("a1") * F.col("d1")).when(n > 5, inner / F.sqrt(phi) + F.col("a1") * F.col("d1") + F.col("a2") * F.col("d2")).otherwise(inner / F.sqrt(phi) + F.col("a1") * F.col("d1"))
+    g = g.withColumn("w", F.when((n >= 3) & (F.col("ss") > 0), F.least(F.lit(1.0), total * total / F.col("ss"))))
+    few = (-F.log(polynomial(n.cast("double"), _SMALL[0]) - F.log(1 - F.col("w"))) - polynomial(n.cast("double"), _SMALL[1])) / F.exp(polynomial(n.cast("double"), _SMALL[2]))
+    many = (F.log(1 - F.col("w")) - polynomial(F.log("n"), _LARGE[0])) / F.exp(polynomial(F.log("n"), _LARGE[1]))
+    return g.select(*by, "n", "w", F.when(n >= 12, many).when(n >= 4, few).alias("z"))
+
+
+def normal_upper(z: float) -> float:
+    return math.erfc(z / math.sqrt(2)) / 2

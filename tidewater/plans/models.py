@@ -13,6 +13,7 @@ from tidewater.operators import density as DE
 from tidewater.operators import joins as J
 from tidewater.operators import language as L
 from tidewater.operators import mixed as M
+from tidewater.operators import stats as ST
 from tidewater.operators import text_stats as TS
 from tidewater.plans.registry import register, table
 
@@ -137,3 +138,25 @@ def text_vector_coherence(spark: SparkSession, sf: str) -> DataFrame:
     counts = docs.select(F.col("lang").alias("topic"), F.explode("ws").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"))
     topics = counts.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "word"))).where("r <= 10").select("topic", "word")
     return TS.vector_coherence(docs, topics, "ws", "embedding").withColumn("coherence", F.round("coherence", 6))
+
+
+def _poly(x: str, c: tuple[float, ...]) -> str:
+    return "(" + " + ".join(f"{v!r}::DOUBLE * ({x}) ** {i}" if i else f"{v!r}::DOUBLE" for i, v in enumerate(c)) + ")"
+
+
+def _ratio(x: str, parts: tuple) -> str:
+    return f"{_poly(x, parts[0])} / {_poly(x, parts[1])}"
+
+
+@register("stat_shapiro_wilk", f"""
+WITH o AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n, avg(value) OVER (PARTITION BY event_type) AS a FROM events WHERE value IS NOT NULL),
+p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p, sqrt(-ln(least((i - 0.375) / (n + 0.25), 1 - (i - 0.375) / (n + 0.25)))) AS r FROM o),
+m AS (SELECT event_type, n, i, x - a AS d, CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_ratio("0.180625 - (p - 0.5) ** 2", ST._MIDDLE)} WHEN r <= 5 THEN sign(p - 0.5) * {_ratio("r - 1.6", ST._TAIL)} ELSE sign(p - 0.5) * {_ratio("r - 5", ST._FAR)} END AS m FROM p),
+g AS (SELECT event_type, n, sum(d * d) AS ss, sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2 FROM m GROUP BY 1, 2),
+w AS (SELECT *, m1 / sqrt(mm) + {_poly("1 / sqrt(n)", ST._LAST)} AS a1, m2 / sqrt(mm) + {_poly("1 / sqrt(n)", ST._LAST_BUT_ONE)} AS a2 FROM g),
+f AS (SELECT *, sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS f FROM w),
+t AS (SELECT f.event_type, f.n, sum(CASE WHEN i = f.n THEN a1 WHEN i = 1 THEN -a1 WHEN i = f.n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / f END * d) ** 2 / any_value(ss) AS w FROM m JOIN f USING (event_type) GROUP BY 1, 2)
+SELECT event_type, n, round(w, 6) AS w, round((ln(1 - w) - {_poly("ln(n)", ST._LARGE[0])}) / exp({_poly("ln(n)", ST._LARGE[1])}), 3) AS z FROM t""")
+def stat_shapiro_wilk(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the values of each kind of event are normal."""
+    return ST.shapiro_wilk(table(spark, sf, "events"), "value", ["event_type"]).withColumns({"w": F.round("w", 6), "z": F.round("z", 3)})
