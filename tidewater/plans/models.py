@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import valence as V
 from tidewater.operators import density as DE
 from tidewater.operators import joins as J
 from tidewater.operators import language as L
@@ -160,3 +161,13 @@ SELECT event_type, n, round(w, 6) AS w, round((ln(1 - w) - {_poly("ln(n)", ST._L
 def stat_shapiro_wilk(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the values of each kind of event are normal."""
     return ST.shapiro_wilk(table(spark, sf, "events"), "value", ["event_type"]).withColumns({"w": F.round("w", 6), "z": F.round("z", 3)})
+
+
+@register("ml_valence_rules")
+def ml_valence_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Compound, positive, negative and neutral shares of every document; tests/test_valence.py has the rules as plain loops."""
+    lexicon = spark.createDataFrame(list({"the": 1.5, "der": -2.0, "la": 0.7, "that": -1.1, "in": 0.4}.items()), "word string, valence double")
+    boosters = {"and": V.BOOST, "y": V.BOOST, "und": -V.BOOST, "et": -V.BOOST}
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = V.scored(docs, "doc_id", "text", lexicon, boosters, ["of", "die", "le", "no"])
+    return out.select("doc_id", *[F.round(c, 4).alias(c) for c in ("compound", "pos", "neg", "neu")])
