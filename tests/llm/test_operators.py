@@ -162,6 +162,17 @@ def test_gradient_of_the_crf():
             assert g[name][at] == pytest.approx((pii._loss_grad(up, x, y)[0] - pii._loss_grad(down, x, y)[0]) / (2 * e), rel=0.08, abs=2e-3)
 
 
+def test_the_model_does_not_depend_on_order_or_copies(spark, docs, monkeypatch):
+    words = pii.sample_words(docs)
+    assert len(words) == len(set(words)) > 500
+    d = docs.select("doc_id", "text")
+    hot = spark.range(400).selectExpr("id as doc_id").crossJoin(d.limit(1).select("text"))
+    assert words == pii.sample_words(d.orderBy(F.desc("doc_id")).repartition(7)) == pii.sample_words(d.union(hot).union(d))
+    monkeypatch.setattr(pii, "SAMPLE_TEXTS", 5)
+    long = d.limit(0).union(spark.createDataFrame([(1, "a" * 25 + " 1 b2 " + "é " * 9000 + "last"), (2, None), (3, "")], "doc_id long, text string"))
+    assert sorted(pii.sample_words(long)) == ["last", "é"] and pii.sample_words(d.where("false")) == []
+
+
 def test_pii_digest(spark, tagger):
     t = "é a@b.co, 10.0.0.1"
     d = documents(spark, None, "", t, t).withColumn("spans", F.lit("clash")).withColumn("base", F.lit(1))

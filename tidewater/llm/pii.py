@@ -174,10 +174,13 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 3, words: list[str] | None
 
 
 def sample_words(docs: DataFrame, text: str = "text") -> list[str]:
-    """Distinct words of the first SAMPLE_TEXTS texts, SAMPLE_WORDS at most, in order."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, 4096).alias("t")).limit(SAMPLE_TEXTS).collect()
-    found = dict.fromkeys(w for r in rows for w in r["t"].split() if w.isalpha() and len(w) < 20)
-    return list(found)[:SAMPLE_WORDS]
+    """Up to SAMPLE_WORDS distinct words of up to SAMPLE_TEXTS different texts, each read whole; texts and words
+    are those of the least hashes, so neither the order of rows nor how often they repeat matters."""
+    h = F.xxhash64(text)
+    rows = docs.where(F.col(text).isNotNull())
+    least = [r["h"] for r in rows.select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_TEXTS).collect()]
+    words = rows.where(h.isin(least)).select(F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("w")).where(F.col("w").rlike(r"^\p{L}+$") & (F.length("w") < 20)).distinct()
+    return [r["w"] for r in words.orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS).collect()]
 
 
 _trained: dict[bytes, dict[str, np.ndarray]] = {}
