@@ -83,7 +83,8 @@ def chosen(filters: dict[str, dict], columns: dict[str, Column]) -> tuple[list[C
         if wanted := get(group, name):
             out.append(F.coalesce(columns[name] == wanted, F.lit(False)))
     out += [flag_is(columns["toxic"], get("Sentiment", "toxicity")), flag_is(columns["political"], get("Political", "political"))]
-    return out, get("General", "max_results") or 1000
+    most = get("General", "max_results")
+    return out, 1000 if most is None else most
 
 
 #: Names of conditions as shown (fixed values).
