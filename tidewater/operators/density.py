@@ -178,6 +178,21 @@ def _way_out(block, mine):
     return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
 
 
+def united(ways: DataFrame) -> DataFrame:
+    """(comp, root) where every component goes one way (comp, to) and only pairs go in a circle: their lesser is
+    the root, and each round follows what was found sixteen steps further."""
+    back = ways.select(F.col("comp").alias("c2"), F.col("to").alias("t2"))
+    roots = materialize(ways.join(back, F.col("to") == F.col("c2")).select("comp", F.when((F.col("t2") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root")), "roots")
+    while True:
+        out = roots
+        for _ in range(4):
+            out = out.join(out.select(F.col("comp").alias("c2"), F.col("root").alias("r2")), F.col("root") == F.col("c2")).select("comp", F.col("r2").alias("root"))
+        roots = materialize(out, "roots")
+        further = roots.join(roots.select(F.col("comp").alias("c2"), F.col("root").alias("r2")), F.col("root") == F.col("c2"))
+        if further.where("root <> r2").isEmpty():
+            return roots
+
+
 def spanning_tree(blocks: Blocks, near: DataFrame, cores: DataFrame) -> DataFrame:
     """(lo, hi, w): the minimum spanning tree under mutual reachability, ties in order of (w, lo, hi).
 
@@ -207,8 +222,8 @@ def spanning_tree(blocks: Blocks, near: DataFrame, cores: DataFrame) -> DataFram
         if best.isEmpty():
             break
         tree.append(best.select("e.lo", "e.hi", "e.w").distinct())
-        joined = connected_components(best.select(F.col("comp").alias("a"), F.col("e.other").alias("b")))
-        comps = materialize(comps.join(joined, F.col("comp") == F.col("node"), "left").select("id", F.coalesce("component", "comp").alias("comp")), "comps")
+        joined = united(best.select("comp", F.col("e.other").alias("to")))
+        comps = materialize(comps.join(joined, "comp").select("id", F.col("root").alias("comp")), "comps")
     if not tree:
         return cores.sparkSession.createDataFrame([], "lo long, hi long, w double")
     out = tree[0]
