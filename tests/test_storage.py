@@ -1,6 +1,7 @@
 """Storage, queues and streams."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import Row
@@ -85,6 +86,23 @@ def test_queue(spark, tmp_path):
     assert (ok.count(), bad.count()) == (1, 2)
 
 
+def test_claims(spark, tmp_path):
+    path = str(tmp_path / "q")
+    items = spark.createDataFrame([(i, f"u{i}") for i in range(40)], "i long, uri string")
+    Q.enqueue(Q.chunks(items, "i", 4, created_at="t1"), path)
+    with ThreadPoolExecutor(4) as pool:
+        taken = list(pool.map(lambda t: Q.claim(spark, path, t, limit=10, lease=100, now=1000.0), "abcd"))
+    assert sorted(i for t in taken for i in t) == list(range(10))  # each once
+    holder = {i: name for name, ids in zip("abcd", taken, strict=True) for i in ids}
+    assert Q.claim(spark, path, "e", now=1050.0) == []
+    assert Q.finish(spark, path, holder[0], [0], "t2", now=1050.0) == [0] and Q.finish(spark, path, "e", [1], "t2", now=1050.0) == []
+    assert Q.claim(spark, path, "e", limit=2, lease=100, now=1101.0) == [1, 2]  # the crashed takers' batches return, the finished one does not
+    assert Q.finish(spark, path, holder[1], [1], "t3", now=1102.0) == []  # too late: another holds it
+    assert Q.finish(spark, path, "e", [1, 2], "t3", now=1102.0) == [1, 2]
+    (tmp_path / "q/claims/3/000002").write_text("")  # a taker that died between creating and writing
+    assert 3 not in Q.claim(spark, path, "f", limit=10, lease=100, now=1200.0)
+
+
 def message(did, kind, op="create", **record):
     return json.dumps({"did": did, "time_us": 1_700_000_000_000_000, "kind": "commit", "commit": {"operation": op, "collection": f"app.{kind}", "rkey": "k", "record": record}})
 

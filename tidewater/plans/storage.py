@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,27 @@ def io_queue_round_trip(spark, sf):
     return got.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
 
 
+@register("io_queue_claims", """
+SELECT floor(o_orderkey / 1000)::BIGINT AS batch_id, 1::BIGINT AS n_takers, count(*) AS n FROM orders GROUP BY 1""")
+def io_queue_claims(spark, sf):
+    """Two takers at once empty a queue; each batch is in one taker's hands only, and finished by it."""
+    path = scratch_path(spark, "queue")
+    items = table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), "o_orderkey")
+    Q.enqueue(Q.chunks(items, "i", created_at="2024-01-01-00:00:00"), path)
+
+    def work(taker: str) -> list[tuple[int, str]]:
+        done = []
+        while ids := Q.claim(spark, path, taker, limit=100):
+            done += [(i, taker) for i in Q.finish(spark, path, taker, ids, "2024-01-01-00:00:02")]
+        return done
+
+    with ThreadPoolExecutor(2) as pool:
+        taken = [x for found in pool.map(work, ("a", "b")) for x in found]
+    takers = spark.createDataFrame(taken, "batch_id long, taker string").groupBy("batch_id").agg(F.count("*").alias("n_takers"))
+    got = Q.items(Q.load(spark, path, status="completed"), "o_orderkey bigint").groupBy("batch_id").agg(F.count("*").alias("n"))
+    return takers.join(got, "batch_id", "left")
+
+
 def _as_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Events as messages (event_id, value): views are posts, clicks are likes of the post before, signups follow."""
     e = table(spark, sf, "events")

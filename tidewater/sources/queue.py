@@ -2,10 +2,18 @@
 
 A table cannot update rows in place. Batches are appended; taking or finishing a batch
 appends its id to a ledger; what is pending is the anti join of the two.
+
+Takers that work at the same time claim batches: a claim is a numbered file that only one of them can
+create, with a lease. A batch whose lease ran out before it was finished can be claimed again.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +36,18 @@ def enqueue(batches: DataFrame, path: str) -> None:
 
 
 def mark(spark: SparkSession, ids: DataFrame, status: str, at: str, path: str) -> None:
-    ids.select("id", F.lit(status).alias("status"), F.lit(at).alias("at")).write.mode("append").parquet(f"{path}/ledger")
+    """Appends to the ledger in a folder of its own, since jobs that append to one folder at once lose files."""
+    ids.select("id", F.lit(status).alias("status"), F.lit(at).alias("at")).write.parquet(f"{path}/ledger/mark-{uuid.uuid4().hex}")
 
 
 def load(spark: SparkSession, path: str, status: str | None = None, min_id: int | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
     """Batches with their last status; limit counts batches, oldest first.
 
-    Of marks made at one time the greatest status counts. Marks lock nothing: takers must not work
-    on one queue at the same time, or agree on their ids first.
+    Of marks made at one time the greatest status counts. Marks lock nothing: takers that work on one
+    queue at the same time use ``claim``.
     """
     df = spark.read.schema(BATCHES).parquet(f"{path}/batches")
-    ledger = spark.read.schema(LEDGER).parquet(f"{path}/ledger")
+    ledger = spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(f"{path}/ledger")
     df = df.join(ledger.groupBy("id").agg(F.max(F.struct("at", "status"))["status"].alias("status")), "id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
     if status is not None:
         df = df.where(F.col("status") == status)
@@ -62,3 +71,77 @@ def split_labels(labels: DataFrame, flag: str = "was_successfully_labeled") -> t
     """Labels that succeeded, and those to be queued again."""
     ok = F.coalesce(F.col(flag), F.lit(False))
     return labels.where(ok), labels.where(~ok)
+
+
+class _Claims:
+    """The claim files of a queue: claims/<batch>/<attempt>, each written by the taker that created it."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm, self.root = spark._jvm, f"{path}/claims"
+        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def last(self, batch: int) -> tuple[int, dict | None]:
+        """The number of attempts and the last claim; one that is still being written holds for a minute."""
+        folder = self.path(str(batch))
+        if not self.fs.exists(folder):
+            return 0, None
+        names = sorted(f.getPath().getName() for f in self.fs.listStatus(folder) if not f.getPath().getName().startswith("."))
+        if not names:
+            return 0, None
+        stream = self.fs.open(self.path(f"{batch}/{names[-1]}"))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        written = self.fs.getFileStatus(self.path(f"{batch}/{names[-1]}")).getModificationTime()
+        return len(names), json.loads(text) if text.endswith("}") else {"taker": None, "until": written + 60_000}
+
+    def create(self, batch: int, attempt: int, claim: dict) -> bool:
+        """Whether this taker, and no other, created the file."""
+        self.fs.mkdirs(self.path(str(batch)))
+        target = self.path(f"{batch}/{attempt:06}")
+        try:
+            if self.fs.getScheme() == "file":  # whose create is a check and then a write; the system's own is one step
+                if not self.jvm.java.io.File(target.toUri().getPath()).createNewFile():
+                    return False
+                out = self.fs.create(target, True)
+            else:
+                out = self.fs.create(target, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or self.fs.exists(target):
+                return False
+            raise
+        try:
+            out.write(json.dumps(claim).encode())
+        finally:
+            out.close()
+        return True
+
+
+def claim(spark: SparkSession, path: str, taker: str, limit: int = 1, lease: float = 3600.0, now: float | None = None) -> list[int]:
+    """Ids of up to limit batches, oldest first, that are now this taker's until the lease (seconds) ends.
+
+    Batches that are finished, or that another holds, are passed over. On a store without an atomic create
+    (some object stores) two takers could both succeed; the shared file systems of clusters have one.
+    """
+    claims, at = _Claims(spark, path), int((time.time() if now is None else now) * 1000)
+    mine: list[int] = []
+    for r in load(spark, path, status="pending").select("id").orderBy("id").toLocalIterator():
+        attempts, last = claims.last(r["id"])
+        if (last is None or last["until"] <= at) and claims.create(r["id"], attempts + 1, {"taker": taker, "until": at + int(lease * 1000)}):
+            mine.append(r["id"])
+            if len(mine) == limit:
+                break
+    return mine
+
+
+def finish(spark: SparkSession, path: str, taker: str, ids: list[int], at: str, status: str = "completed", now: float | None = None) -> list[int]:
+    """Marks those of the batches that the taker still holds, and returns them; others may be in other hands by now."""
+    claims, time_ = _Claims(spark, path), int((time.time() if now is None else now) * 1000)
+    held = [i for i in ids if (c := claims.last(i)[1]) and c["taker"] == taker and c["until"] > time_]
+    if held:
+        mark(spark, spark.createDataFrame([(i,) for i in held], "id long"), status, at, path)
+    return held
