@@ -18,6 +18,13 @@ def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def restricted(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...], start: str, end: str) -> DataFrame:
+    """Edges (a, b, day) from start to end, both included, of which both ends are nodes (node, kind) of the kinds."""
+    may = nodes.where(F.col("kind").isin(*kinds)).select("node").distinct()
+    inside = edges.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return inside.join(may.withColumnRenamed("node", "a"), "a", "left_semi").join(may.withColumnRenamed("node", "b"), "b", "left_semi").select(edges.columns)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 

@@ -16,6 +16,13 @@ def split_by(df: DataFrame, other: DataFrame, key: str | list[str]) -> tuple[Dat
     return df.join(keys, key, "left_semi"), df.join(keys, key, "left_anti")
 
 
+def without_participants(df: DataFrame, did: str, handle: str, excluded: DataFrame) -> DataFrame:
+    """Rows whose did and whose handle are both not among the excluded (did, handle); a null matches nothing."""
+    dids = excluded.select(F.col("did").alias(did)).where(F.col(did).isNotNull()).distinct()
+    handles = excluded.select(F.col("handle").alias(handle)).where(F.col(handle).isNotNull()).distinct()
+    return df.join(dids, did, "left_anti").join(handles, handle, "left_anti").select(df.columns)
+
+
 def enrich(df: DataFrame, parts: list[tuple[DataFrame, dict[str, object]]], key: str, done: DataFrame | None = None) -> DataFrame:
     """Left joins on key with a fill value for every column taken; rows in done are left out.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import valence as V
 from tidewater.operators import density as DE
+from tidewater.operators import graph as G
 from tidewater.operators import joins as J
 from tidewater.operators import language as L
 from tidewater.operators import mixed as M
@@ -171,3 +172,34 @@ def ml_valence_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     out = V.scored(docs, "doc_id", "text", lexicon, boosters, ["of", "die", "le", "no"])
     return out.select("doc_id", *[F.round(c, 4).alias(c) for c in ("compound", "pos", "neg", "neu")])
+
+
+# ---- restrictions and averages by day ---------------------------------------------------------
+
+
+@register("filter_participants", """
+WITH p AS (SELECT event_id, user_id AS did, 'h' || (event_id % 300) AS handle FROM events), x AS (SELECT c_custkey AS did, CASE WHEN c_nationkey < 4 THEN 'h' || (c_custkey % 300) END AS handle FROM customer WHERE c_nationkey < 6)
+SELECT event_id, did, handle FROM p WHERE did NOT IN (SELECT did FROM x) AND handle NOT IN (SELECT handle FROM x WHERE handle IS NOT NULL)""")
+def filter_participants(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts of which neither author nor handle is an excluded participant's."""
+    handle = lambda c: F.concat(F.lit("h"), (c % 300).cast("string"))
+    posts = table(spark, sf, "events").select("event_id", F.col("user_id").alias("did"), handle(F.col("event_id")).alias("handle"))
+    c = table(spark, sf, "customer").where("c_nationkey < 6")
+    return J.without_participants(posts, "did", "handle", c.select(F.col("c_custkey").alias("did"), F.when(F.col("c_nationkey") < 4, handle(F.col("c_custkey"))).alias("handle")))
+
+
+@register("graph_restricted", """
+SELECT DISTINCT l_suppkey AS a, l_partkey AS b, l_shipdate::DATE AS day FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'PROMO')) AND l_suppkey IN (SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'PROMO'))""")
+def graph_restricted(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of one year between nodes of two types."""
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.to_date("l_shipdate").alias("day")).distinct()
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("kind"))
+    return G.restricted(edges, nodes, ("ECONOMY", "PROMO"), "1995-01-01", "1995-12-31")
+
+
+@register("agg_baseline_source_day", """
+SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS partition_date, round(avg(value), 6) AS average, round(avg((value >= 50)::INT), 6) AS share, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2""")
+def agg_baseline_source_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Averages of two sources by day, in one pass."""
+    e = table(spark, sf, "events").where("event_type in ('view', 'click')")
+    return e.groupBy(F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("partition_date")).agg(F.round(F.avg("value"), 6).alias("average"), F.round(F.avg((F.col("value") >= 50).cast("int")), 6).alias("share"), F.count("*").alias("n"))
