@@ -348,9 +348,14 @@ def classified(docs: DataFrame, key: str, text: str, width: int, threshold: tupl
     # one row a class, combined before the shuffle however many copies there are
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
     classes = signed.where("n > 0").groupBy("c1", "c2").agg(F.min(F.when(~F.col("kn"), F.col("k"))).alias("key"), F.min(F.struct(*_IDENTITY)).alias("row"), first("n"), first("prefix"), first("bitmap"))
-    classes = C.materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
-    groups = C.materialize(shared_groups(classes, t), "jaccard-groups")
-    tiles = C.materialize(candidate_parts(groups.select("tile", "cls", "n"), classes.select("cls", "n", "bitmap"), t), "jaccard-tiles")
+    whole = C.materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+    # prefixes and bitmaps are most of both tables: what is needed later is kept without them
+    rows = C.materialize(signed.select(*_IDENTITY, "n", "c1", "c2"), "jaccard-rows")
+    C.discard(signed)
+    groups = C.materialize(shared_groups(whole, t), "jaccard-groups")
+    tiles = C.materialize(candidate_parts(groups.select("tile", "cls", "n"), whole.select("cls", "n", "bitmap"), t), "jaccard-tiles")
+    classes = C.materialize(whole.drop("n", "prefix", "bitmap"), "jaccard-numbers")
+    C.discard(whole, groups)
 
     # of each class in a tile, the row whose text gives its set
     owners = C.materialize(classes.join(tiles, "cls", "left_semi").select("cls", "c1", "c2", F.xxhash64(*(f"row.{c}" for c in _IDENTITY)).alias("row")), "jaccard-owners")
@@ -368,13 +373,16 @@ def classified(docs: DataFrame, key: str, text: str, width: int, threshold: tupl
 
     full = docs.select(F.xxhash64(*_IDENTITY).alias("row"), "_text").mapInArrow(items, "row long, c1 long, c2 long, items binary")
     full = full.join(owners, ["row", "c1", "c2"]).dropDuplicates(["cls"]).select("cls", "items")
-    linked = C.materialize(connected_components(C.materialize(tile_links(tiles, full, t), "jaccard-links")), "jaccard-linked")
+    links = C.materialize(tile_links(tiles, full, t), "jaccard-links")
+    linked = C.materialize(connected_components(links), "jaccard-linked")
 
     # smallest document of each class, then of each group of classes
     least = classes.select("c1", "c2", "cls", "key").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
     least = C.materialize(least.select("c1", "c2", "grp", "key"), "jaccard-least")
     in_group = C.materialize(least.groupBy("grp").agg(F.min("key").alias("component_id")), "jaccard-components")
-    return signed.select(*_IDENTITY, "n", "c1", "c2"), C.materialize(least.drop("key").join(in_group, "grp"), "jaccard-by-class")
+    by_class = C.materialize(least.drop("key").join(in_group, "grp"), "jaccard-by-class")
+    C.discard(classes, tiles, owners, links, linked, least, in_group)
+    return rows, by_class
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, threshold: tuple[int, int] = (85, 100), frequent_from: int = 64) -> DataFrame:
@@ -388,11 +396,13 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """The rows of docs without all but one of each group: of the smallest key, nulls last, and of the
     rows with that key one text. Rows without words stay."""
     rows, by_class = classified(docs, key, text, width, threshold, frequent_from)
-    alike = C.materialize(rows.where("n > 0").groupBy(*_IDENTITY).agg(F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.count("*").alias("m")), "jaccard-alike")
-    alike = C.materialize(alike.join(by_class.select("c1", "c2", "grp"), ["c1", "c2"]).select(*_IDENTITY, "m", "grp"), "jaccard-in-group")
+    merged = C.materialize(rows.where("n > 0").groupBy(*_IDENTITY).agg(F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.count("*").alias("m")), "jaccard-alike")
+    alike = C.materialize(merged.join(by_class.select("c1", "c2", "grp"), ["c1", "c2"]).select(*_IDENTITY, "m", "grp"), "jaccard-in-group")
+    C.discard(rows, merged, by_class)
     kept = C.materialize(alike.groupBy("grp").agg(F.min(F.struct(*_IDENTITY)).alias("kept"), F.sum("m").alias("all")).where("all > 1"), "jaccard-kept")
     marks = alike.join(kept, "grp").select(*_IDENTITY, (F.struct(*_IDENTITY) == F.col("kept")).alias("stays"), "m").where("m > 1 or not stays")
     marks = C.materialize(marks, "jaccard-marks")
+    C.discard(alike, kept)
     own = [f"__{c}" for c in _IDENTITY]
     wide = docs.withColumns({o: c for o, c in zip(own, C.identity(F.col(key), F.col(text)), strict=True)})
     named = marks.select(*(F.col(c).alias(o) for c, o in zip(_IDENTITY, own, strict=True)), "stays")

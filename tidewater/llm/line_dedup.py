@@ -96,7 +96,10 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = C.materialize(_with_key(docs, key, text).mapInArrow(occurrences, "d long, th long, line int, lines int, h long, bytes binary"), "line-chunks")
     owner = found.groupBy("h", "bytes").agg(F.min(F.struct("d", "line", "th")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "bytes", "owner")
     owner = C.materialize(owner, "line-owners")  # apart from the join, so that Spark can split what is skewed there
-    return found.join(owner, ["h", "bytes"]).where(F.struct("d", "line", "th") != F.col("owner")).select("d", "th", "line", "lines")
+    out = found.join(owner, ["h", "bytes"]).where(F.struct("d", "line", "th") != F.col("owner")).select("d", "th", "line", "lines")
+    out = C.materialize(out, "line-repeats")  # places only, so that the texts of runs need not stay
+    C.discard(again, found, owner)
+    return out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
