@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,14 @@ def test_top_share_breaks_ties_by_key(spark):
     df = spark.createDataFrame([(k,) for k in "aaabbbccd"], "k string")
     assert [(r["k"], r["place"]) for r in W.top_share(df, "k", 0.5).orderBy("place").collect()] == [("a", 1), ("b", 2)]
     assert W.top_share(df, "k", 0.1).count() == 0
+
+
+def test_draws_repeat_also_from_many_rows(spark, tmp_path):
+    """As many draws as the SQL's, and its rows, where there are more suppliers than draws."""
+    from tidewater.plans.registry import ORACLES, QUERIES
+
+    spark.range(6000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {(r["s_suppkey"], r["drawn"]) for r in QUERIES["topk_resample"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    assert got == set(c.execute(ORACLES["topk_resample"]).fetchall()) and sum(n for _, n in got) == 5000

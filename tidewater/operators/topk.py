@@ -86,6 +86,11 @@ def resample(df: DataFrame, key: str, size: int, n: int, seed: int = 42, replace
         whole = -(-size // n)
         many = df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(whole))))
         return many.orderBy("__copy", _uniform(key, seed), key).limit(size).drop("__copy")
+    return drawn(df, key, size, n, seed)
+
+
+def drawn(df: DataFrame, key: str, size: int, n: int, seed: int = 42) -> DataFrame:
+    """size draws with replacement from df's n rows, also where these are enough for a sample without repeats."""
     placed = numbered(df, [_uniform(key, seed), F.col(key)], "__at")
     draws = df.sparkSession.range(size).select(F.floor(_uniform("id", seed + 1) * n).alias("__at"))
     return placed.join(draws, "__at").drop("__at")

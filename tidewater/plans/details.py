@@ -338,9 +338,9 @@ def topk_sample_share(spark, sf):
 WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || s_suppkey), 1, 10))::BIGINT, s_suppkey) - 1 AS place, count(*) OVER () AS n FROM supplier), d AS (SELECT unnest(range(5000)) AS i)
 SELECT s_suppkey, count(*) AS drawn FROM d JOIN r ON r.place = floor(('0x' || substr(md5('43:' || i), 1, 10))::BIGINT / 1099511627776.0 * r.n) GROUP BY 1""")
 def topk_resample(spark, sf):
-    """5000 draws with replacement from fewer rows."""
+    """5000 draws with replacement, from fewer rows or more."""
     s = table(spark, sf, "supplier").select("s_suppkey")
-    return K.resample(s, "s_suppkey", 5000, s.count()).groupBy("s_suppkey").agg(F.count("*").alias("drawn"))
+    return K.drawn(s, "s_suppkey", 5000, s.count()).groupBy("s_suppkey").agg(F.count("*").alias("drawn"))
 
 
 @register("agg_mean_intervals", """
