@@ -288,3 +288,10 @@ def test_draws_repeat_also_from_many_rows(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
     assert got == set(c.execute(ORACLES["topk_resample"]).fetchall()) and sum(n for _, n in got) == 5000
+
+
+def test_in_network_counts(spark):
+    """Posts of two authors count once, null ones not at all."""
+    edges = spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "b"), ("v", "b"), ("w", "c"), ("x", "none"), ("y", None)], "user string, other string")
+    posts = spark.createDataFrame([("p", "a", "firehose"), ("p", "b", "firehose"), ("p", "b", "firehose"), ("q", "a", "firehose"), ("r", "b", "firehose"), ("s", "b", "other"), (None, "c", "firehose"), ("t", None, "firehose")], "uri string, author_did string, source string")
+    assert {tuple(r) for r in FD.in_network_counts(edges, posts).collect()} == {("u", 3), ("v", 2), ("w", 0)}

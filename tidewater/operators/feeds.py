@@ -41,6 +41,19 @@ def in_network(users: DataFrame, edges: DataFrame, posts: DataFrame) -> DataFram
     return users.select("user").join(edges, "user").join(own, F.col("other") == F.col("author_did")).select("user", "uri").distinct()
 
 
+def in_network_counts(edges: DataFrame, posts: DataFrame) -> DataFrame:
+    """(user, n): how many firehose posts (different uris, null not counted) the user's followed authors have.
+
+    Posts are counted by author before they meet the edges; only uris that more than one author has meet them one by one.
+    """
+    own = posts.where("source = 'firehose'").select("uri", "author_did")
+    shared = own.groupBy("uri").agg(F.min("author_did").alias("a"), F.max("author_did").alias("b")).where("uri is not null and a <> b").select("uri")
+    counts = own.join(shared, "uri", "left_anti").groupBy("author_did").agg(F.countDistinct("uri").alias("n")).withColumn("uri", F.lit(None).cast(own.schema["uri"].dataType))
+    several = own.join(shared, "uri", "left_semi").select("author_did", F.lit(0).cast("long").alias("n"), "uri").distinct()
+    met = edges.select("user", "other").distinct().join(counts.unionByName(several), F.col("other") == F.col("author_did"))
+    return met.groupBy("user", "uri").agg(F.sum("n").alias("n")).groupBy("user").agg((F.sum("n") + F.count("uri")).alias("n"))
+
+
 def rank_feeds(users: DataFrame, pool: DataFrame, network: DataFrame, previous: DataFrame | None = None, config: S.FeedConfig = S.FeedConfig(), seed: int | None = None) -> DataFrame:
     """(user, condition, position, uri, is_in_network) of every user's feed.
 
