@@ -295,3 +295,9 @@ def test_in_network_counts(spark):
     edges = spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "b"), ("v", "b"), ("w", "c"), ("x", "none"), ("y", None)], "user string, other string")
     posts = spark.createDataFrame([("p", "a", "firehose"), ("p", "b", "firehose"), ("p", "b", "firehose"), ("q", "a", "firehose"), ("r", "b", "firehose"), ("s", "b", "other"), (None, "c", "firehose"), ("t", None, "firehose")], "uri string, author_did string, source string")
     assert {tuple(r) for r in FD.in_network_counts(edges, posts).collect()} == {("u", 3), ("v", 2), ("w", 0)}
+
+
+def test_keys_are_told_apart_in_tasks_of_bounded_size(spark, monkeypatch):
+    assert U.dealt(spark.range(1000), "id", rows=100).rdd.getNumPartitions() == 10 and U.dealt(spark.range(0), "id").count() == 0
+    feeds = spark.createDataFrame([("c", 1, "p", True), ("c", 1, "p", None), ("c", None, None, False), ("c", 2, "q", False), (None, 1, "p", None)], "condition string, user long, uri string, is_in_network boolean")
+    assert {tuple(r) for r in FD.session_analytics(feeds).collect()} == {("c", 2, 4, 2, 0.333), (None, 1, 1, 1, None)}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import score as S
 from tidewater.operators import topk
+from tidewater.operators.sets import dealt
 from tidewater.operators.windows import first_n, running_cap
+from tidewater.sources.scratch import materialize
 
 
 def score_posts(posts: DataFrame, superposters: DataFrame, now: Column, config: S.FeedConfig = S.FeedConfig()) -> DataFrame:
@@ -93,8 +95,16 @@ def as_json(feeds: DataFrame) -> DataFrame:
 
 
 def session_analytics(feeds: DataFrame) -> DataFrame:
-    """Feeds, posts, distinct posts and in-network share by condition."""
-    return feeds.groupBy("condition").agg(F.countDistinct("user").alias("n_feeds"), F.count("*").alias("n_posts"), F.countDistinct("uri").alias("n_unique"), F.round(F.avg(F.col("is_in_network").cast("double")), 3).alias("prop_in_network"))
+    """Feeds, posts, distinct posts and in-network share by condition.
+
+    Users and posts are told apart in tasks of a bounded number of rows, whatever their number.
+    """
+    feeds = materialize(feeds.select("condition", "user", "uri", F.col("is_in_network").cast("int").alias("own")), "feeds")
+    users = dealt(feeds, "condition", "user").groupBy("condition", "user").agg(F.count("*").alias("n"), F.sum("own").alias("own"), F.count("own").alias("known"))
+    users = users.groupBy("condition").agg(F.count("user").alias("n_feeds"), F.sum("n").alias("n_posts"), F.round(F.try_divide(F.sum("own").cast("double"), F.sum("known")), 3).alias("prop_in_network"))
+    posts = dealt(feeds, "condition", "uri").select("condition", "uri").distinct().groupBy("condition").agg(F.count("uri").alias("n_unique"))
+    both = users.join(posts.withColumnRenamed("condition", "__c"), F.col("condition").eqNullSafe(F.col("__c")))
+    return both.select("condition", "n_feeds", "n_posts", "n_unique", "prop_in_network")
 
 
 def in_network_share(feeds: DataFrame, day: str = "day") -> DataFrame:

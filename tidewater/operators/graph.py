@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.sets import dealt
 from tidewater.sources.scratch import materialize
 
 
@@ -15,7 +16,7 @@ def follow_edges(rows: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
-    return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return dealt(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), "a", "b").distinct()
 
 
 def restricted(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...], start: str, end: str) -> DataFrame:

@@ -40,3 +40,13 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether both hold the same rows, as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+#: Rows of one task where keys are told apart.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys to as many tasks as hold about ``rows`` rows each, so that an aggregate by these keys, which
+    then needs no further shuffle, takes the same memory whatever the size of df (equal keys still meet)."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
