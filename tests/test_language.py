@@ -42,3 +42,12 @@ def test_vector_coherence(spark):
         want = np.mean([cos(mean[a], mean[b]) for a, b in itertools.combinations(words[t], 2)])
         assert abs(got[t]["coherence"] - want) < 1e-9 and got[t]["n_words"] == 3
     assert (got["one"]["n_words"], got["one"]["coherence"]) == (1, 0.0) and (got["none"]["n_words"], got["none"]["coherence"]) == (0, 0.0)
+
+
+def test_trigrams_do_not_become_rows(spark):
+    """As many rows as texts leave the look-up, however long these are."""
+    docs = spark.createDataFrame([(1, "the cat " * 400, "en"), (2, "le chat " * 400, "fr")], "id long, text string, lang string")
+    known = L.profiles(docs, "lang", "text").cache()
+    df = L.distances(docs, "id", "text", known)
+    assert {(r["id"], r["lang"]) for r in df.collect()} == {(i, x) for i in (1, 2) for x in ("en", "fr")}
+    assert "gram" not in df._jdf.queryExecution().optimizedPlan().toString()
