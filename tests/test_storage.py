@@ -214,3 +214,18 @@ def test_sessions(spark, tmp_path):
     s = I.sessions(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), "t", ["k"])
     s.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [1, 2]
+
+
+def test_lots_read_the_queue_once(spark, tmp_path, monkeypatch):
+    """One taker's lots hold all that nobody holds; a crashed taker's batch comes last, a finished one never again."""
+    path, reads, load = str(tmp_path / "q"), [], Q.load
+    Q.enqueue(Q.chunks(spark.range(40).select(F.col("id").alias("i"), "id"), "i", 2, created_at="t1"), path)
+    assert Q.claim(spark, path, "crashed", limit=2, lease=1, now=1000.0) == [0, 1]
+    assert Q.claim(spark, path, "other", limit=1) == [0] and Q.finish(spark, path, "other", [0], "t2") == [0]
+    monkeypatch.setattr(Q, "load", lambda *a, **k: reads.append(1) or load(*a, **k))
+    got = []
+    for ids in Q.lots(spark, path, "a", limit=3):
+        assert len(ids) <= 3
+        got += Q.finish(spark, path, "a", ids, "t3")
+    assert got == [*range(2, 20), 1] and len(reads) == 3
+    assert load(spark, path, status="pending").count() == 0

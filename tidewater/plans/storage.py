@@ -68,7 +68,7 @@ def io_queue_claims(spark, sf):
 
     def work(taker: str) -> list[tuple[int, str]]:
         done = []
-        while ids := Q.claim(spark, path, taker, limit=100):
+        for ids in Q.lots(spark, path, taker, limit=100):
             done += [(i, taker) for i in Q.finish(spark, path, taker, ids, "2024-01-01-00:00:02")]
         return done
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -138,10 +139,29 @@ def claim(spark: SparkSession, path: str, taker: str, limit: int = 1, lease: flo
     return mine
 
 
+def lots(spark: SparkSession, path: str, taker: str, limit: int, lease: float = 3600.0) -> Iterator[list[int]]:
+    """Lots of up to limit batches that are now this taker's, until nothing is left to claim.
+
+    What is pending is read once, not once a lot, so the work grows with the batches. Of that list only batches that
+    nobody ever claimed are taken, since others may be finished by now; those are left to fresh reads at the end.
+    """
+    claims, mine = _Claims(spark, path), []
+    for r in load(spark, path, status="pending").select("id").orderBy("id").toLocalIterator():
+        if claims.last(r["id"])[0] == 0 and claims.create(r["id"], 1, {"taker": taker, "until": int((time.time() + lease) * 1000)}):
+            mine.append(r["id"])
+            if len(mine) == limit:
+                yield mine
+                mine = []
+    if mine:
+        yield mine
+    while mine := claim(spark, path, taker, limit, lease):
+        yield mine
+
+
 def finish(spark: SparkSession, path: str, taker: str, ids: list[int], at: str, status: str = "completed", now: float | None = None) -> list[int]:
     """Marks those of the batches that the taker still holds, and returns them; others may be in other hands by now."""
     claims, time_ = _Claims(spark, path), int((time.time() if now is None else now) * 1000)
     held = [i for i in ids if (c := claims.last(i)[1]) and c["taker"] == taker and c["until"] > time_]
     if held:
-        mark(spark, spark.createDataFrame([(i,) for i in held], "id long"), status, at, path)
+        mark(spark, spark.createDataFrame([(i,) for i in held], "id long").coalesce(1), status, at, path)
     return held
