@@ -2,9 +2,10 @@
 
 import json
 from concurrent.futures import ThreadPoolExecutor
+from datetime import timedelta
 
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,6 +202,26 @@ def test_likes_before_posts_and_rejects(spark, tmp_path):
     assert ("malformed", "junk") in set(map(tuple, bad)) and {r["reason"] for r in bad} == {"malformed"}
 
 
+def test_audience_without_python_state(spark, tmp_path, monkeypatch):
+    """Addresses cost no Python calls, each has one owner, and what has waited its time meets nothing."""
+    src, study = tmp_path / "in", spark.createDataFrame([("s1",), ("s2",)], "did string")
+    src.mkdir()
+    monkeypatch.setattr(GroupedData, "transformWithState", None)
+
+    def run(name, wait, *batches):
+        for n, lines in enumerate(batches):
+            (src / f"{name}{n}.json").write_text("\n".join(lines))
+            records = I.flagged(I.operations(I.parse(I.read_lines(spark, f"{src}/{name}*"))), study, study.where("false"))
+            met = I.on_study_posts(records, wait).writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out"))
+            met.option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["uri"], r["owner"]) for r in spark.read.parquet(str(tmp_path / f"{name}-out")).collect())
+
+    first = [message("x", "like", uri="l0", subject_uri="p2"), message("x", "like", uri="l1", subject_uri="p1"), message("s1", "post", uri="p1"), message("s1", "post", uri="p1"), message("s1", "reply", uri="r1", parent_uri="p1")]
+    second = [message("s2", "post", uri="p1"), message("y", "like", uri="l2", subject_uri="p1"), message("y", "like", uri="l3", subject_uri="r1"), message("s2", "post", uri="p2")]
+    assert run("a", timedelta(days=7), first, second) == [("l0", "s2"), ("l1", "s1"), ("l2", "s1"), ("l3", "s1"), ("r1", "s1")]
+    assert run("b", timedelta(milliseconds=1), first, second) == [("l1", "s1"), ("l2", "s1"), ("l3", "s1"), ("r1", "s1")]
+
+
 def test_queue_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text(message("a", "post", uri="p") + "\nbad\n")

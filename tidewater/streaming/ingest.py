@@ -66,11 +66,14 @@ def operations(messages: DataFrame) -> DataFrame:
 def flagged(records: DataFrame, study_users: DataFrame, in_network: DataFrame) -> DataFrame:
     """Created records with is_study, is_near and on_study (the subject is a study user), and the address they aim at.
 
-    Static sides: study_users (did) and in_network (did). All are equi-joins that enrich the stream.
+    Static sides: study_users (did) and in_network (did). All are equi-joins that enrich the stream; records
+    without a subject are dealt by author, so that they do not meet in one task.
     """
     r = records.where("operation = 'create' or reason is not null" if "reason" in records.columns else "operation = 'create'")
     flag = lambda df, key, name: df.select(F.col("did").alias(key)).distinct().withColumn(name, F.lit(True))
-    r = r.join(flag(study_users, "did", "is_study"), "did", "left").join(flag(in_network, "did", "is_near"), "did", "left").join(flag(study_users, "subject_did", "on_study"), "subject_did", "left")
+    r = r.join(flag(study_users, "did", "is_study"), "did", "left").join(flag(in_network, "did", "is_near"), "did", "left")
+    r = r.withColumn("subject_key", F.coalesce("subject_did", F.concat(F.lit(" "), "did"))).join(flag(study_users, "subject_key", "on_subject"), "subject_key", "left")
+    r = r.withColumn("on_study", F.when(F.col("subject_did").isNotNull(), F.col("on_subject"))).drop("subject_key", "on_subject")
     return r.withColumn("target_uri", F.when(F.col("record_type") == "like", F.col("subject_uri")).otherwise(F.col("parent_uri")))
 
 
@@ -78,11 +81,13 @@ def flagged(records: DataFrame, study_users: DataFrame, in_network: DataFrame) -
 AIMED = "did string, time_us bigint, record_type string, uri string, text string, subject_uri string, subject_did string, parent_uri string"
 _AIMED = [f.split()[0] for f in AIMED.split(", ")]
 _MET = Row(*_AIMED, "owner")
+#: By how much a clock may go back between batches, of a restart on another machine say, without loss.
+CLOCKS = timedelta(days=1)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class StudyPostAudience(StatefulProcessor):
-    """State by post address: its owner once a study user's post came, and until then what aims at the address.
+    """State by post address, where owners lapse (see ``on_study_posts``): its owner once a study user's post came, and until then what aims at the address.
 
     A record meets its post whichever comes first, however late, in one batch or another, before a restart
     or after it. Owners are kept without limit, or ``keep_ms`` after they came; records whose post has
@@ -152,19 +157,42 @@ class StudyPostAudience(StatefulProcessor):
 
 
 def on_study_posts(records: DataFrame, wait: timedelta = timedelta(days=7), keep: timedelta | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Flagged records that aim at a study user's post, with its owner, by keyed state (see ``StudyPostAudience``).
+    """Flagged records that aim at a study user's post, with its owner; state lies in RocksDB and need not fit in memory.
 
-    ``known`` are posts (uri, owner) from before the stream. State lies in RocksDB, so it need not fit in
-    memory, and a batch costs what it holds, not what came before.
+    ``known`` are posts (uri, owner) from before the stream. Of several owners of an address the first stays. A record
+    meets its post whichever comes first, however late, in one batch or another, before a restart or after it;
+    what waits for a post is given up ``wait`` after it arrived. Both sides are state of a stream-stream join, which
+    passes once a batch over what waits. Only where owners lapse (``keep``) is the state a Python processor's, at the
+    cost of some calls for every address.
     """
     rows = records.where("uri is not null or target_uri is not null")
     is_own = F.col("is_study") & F.col("record_type").isin("post", "reply")
+    first = known.select(F.col("uri").alias("key"), "owner").where("key is not null and owner is not null").dropDuplicates(["key"]) if known is not None else None
+    met = _met_by_join(rows, is_own, wait, first) if keep is None else _met_by_timers(rows, is_own, wait, keep, first)
+    return met.withColumn("at", F.timestamp_micros("time_us"))
+
+
+def _met_by_join(rows: DataFrame, is_own: Column, wait: timedelta, known: DataFrame | None) -> DataFrame:
+    came = rows.withColumn("came", F.current_timestamp()).withWatermark("came", f"{int(CLOCKS.total_seconds())} seconds")
+    posts = came.where(is_own & F.col("uri").isNotNull()).select(F.col("uri").alias("key"), F.col("did").alias("owner"), F.col("came").alias("posted"))
+    aimed = came.where("target_uri is not null").select(F.col("target_uri").alias("key"), *_AIMED, "came")
+    out = [*_AIMED, "owner"]
+    before = None
+    if known is not None:
+        posts = posts.join(known.select("key"), "key", "left_anti")
+        aimed = aimed.join(known, "key", "left")
+        before, aimed = aimed.where("owner is not null").select(*out), aimed.where("owner is null").drop("owner")
+    posts = posts.dropDuplicates(["key"]).withColumnRenamed("key", "address")
+    in_time = F.col("posted") <= F.col("came") + F.make_dt_interval(secs=F.lit(wait.total_seconds()))
+    met = aimed.join(posts, (F.col("key") == F.col("address")) & in_time).select(*out)
+    return met if before is None else met.union(before)
+
+
+def _met_by_timers(rows: DataFrame, is_own: Column, wait: timedelta, keep: timedelta, known: DataFrame | None) -> DataFrame:
     both = F.array_compact(F.array(F.when(is_own & F.col("uri").isNotNull(), F.struct(F.col("uri").alias("key"), F.lit(True).alias("is_own"))), F.when(F.col("target_uri").isNotNull(), F.struct(F.col("target_uri").alias("key"), F.lit(False).alias("is_own")))))
     keyed = rows.select(F.explode(both).alias("k"), *_AIMED).select("k.key", "k.is_own", *_AIMED)
-    first = known.select(F.col("uri").alias("key"), "owner").dropDuplicates(["key"]).groupBy("key") if known is not None else None
-    ms = lambda t: None if t is None else int(t.total_seconds() * 1000)
-    met = keyed.groupBy("key").transformWithState(StudyPostAudience(ms(wait), ms(keep)), f"{AIMED}, owner string", "append", "processingTime", first)
-    return met.withColumn("at", F.timestamp_micros("time_us"))
+    ms = lambda t: int(t.total_seconds() * 1000)
+    return keyed.groupBy("key").transformWithState(StudyPostAudience(ms(wait), ms(keep)), f"{AIMED}, owner string", "append", "processingTime", known.groupBy("key") if known is not None else None)
 
 
 _ROUTED = ("did", "time_us", "at", "record_type", "uri", "text", "subject_uri", "subject_did", "parent_uri", "owner", "route", "reason", "raw")
@@ -215,16 +243,16 @@ def route_stream(lines: DataFrame, study_users: DataFrame, in_network: DataFrame
 
     writer = routed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     # a run that ends when the data do must not wait for timers: they go off with the next run's data
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB} | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now else {})
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.join.stateFormatVersion": "3", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"} | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now else {})
     conf = lines.sparkSession.conf
-    before = {k: conf.get(k) for k in settings}
+    before = {k: conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
             conf.set(k, v)  # a stream keeps the settings that hold when it starts
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
     finally:
         for k, v in before.items():
-            conf.set(k, v)
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def to_queue(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
