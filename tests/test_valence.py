@@ -98,3 +98,21 @@ def test_random_texts(spark):
 def test_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("doc_id", "k")
     check(spark, docs, {"the": 1.5, "der": -2.0, "la": 0.7, "that": -1.1, "in": 0.4}, {"and": 0.293, "und": -0.293, "et": 0.293}, ["of", "die", "le"])
+
+
+def test_only_words_of_the_lexicon_cost(spark, monkeypatch):
+    """A lexicon that travels is neither joined nor exploded; one beyond the limit gives the same, whatever the size of pieces."""
+    texts = ["very good day, but no GOOD night!", "bad", None, "", "  ", "never so\x0bgood\tor\x1cbad (good)", "x" * 50 + " good??", "ÄRGER good", "don't\u00a0good kind of good"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 7)] + [(None, "good")], "k long, text string")
+    lexicon = {"good": 1.9, "bad": -2.5, "no": -1.2, "kind": 2.4}
+    known = spark.createDataFrame([*lexicon.items(), (None, 1.0), ("day", None)], "word string, valence double")
+    small = V.scored(rows, "k", "text", known)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    monkeypatch.setattr(V, "PIECE", 64)
+    pieces = sorted(map(tuple, V.scored(rows, "k", "text", known).collect()), key=str)
+    monkeypatch.setattr(V, "LEXICON", 1)
+    large = V.scored(rows, "k", "text", known)
+    assert "Join" in large._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, small.collect()), key=str) == pieces == sorted(map(tuple, large.collect()), key=str)
+    check(spark, rows.where("k is not null").drop("word"), lexicon)

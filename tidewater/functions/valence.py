@@ -1,13 +1,19 @@
 """Rule-based valence of texts: negation, boosters, capitals, "but" and punctuation, over a given lexicon.
 
-The rules are those of a widely used public sentiment model, as staged expressions over a token array, so
-that all stays in the JVM. The lexicon is a table of any size, joined so that each row carries only the
-entries of its own words. Idioms are not known, and of "but" the first
-counts, for the words before and after it.
+The rules are those of a widely used public sentiment model. A batch of texts becomes one flat array of word
+numbers; what is known of a word is looked up once a batch, and the rules run in numpy over the places of the
+lexicon's words alone, since no other word has a valence. The lexicon is a table of any size: one of
+``LEXICON`` rows at most travels with the tasks, a larger one is joined so that each row carries only the entries
+of its own words. Idioms are not known, and of "but" the first counts, for the words before and after it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +29,11 @@ NEGATIONS = """aint arent cannot cant couldnt darent didnt doesnt dont hadnt has
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: a sum of valences s becomes s / sqrt(s * s + ALPHA).
 ALPHA = 15.0
-
-
-def literal_map(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))]) if values else F.lit(None).cast("map<string,double>")
+#: Largest lexicon that travels with the tasks, and the text bytes that a task works on at once (a longer text is one piece).
+LEXICON, PIECE = 100_000, 2 << 20
+#: Words that rules name, numbered from 1.
+NAMED = {w: i for i, w in enumerate("no kind of or nor never so this without doubt least at very but".split(), 1)}
+SHARES = ("compound", "pos", "neg", "neu")
 
 
 def tokens(text: Column) -> Column:
@@ -36,96 +43,148 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.length(bare(w)) <= 2, w).otherwise(bare(w)))
 
 
-def with_valences(df: DataFrame, text: str, lexicon: str, boosters: dict[str, float] | None = None, negations: list[str] | None = None) -> DataFrame:
-    """df with __valences, that of each token after all rules but punctuation; lexicon is a map column.
-
-    Each stage is a column of its own: an expression within a lambda would be worked out for every element.
-    """
-    boosters, negations = BOOSTERS if boosters is None else boosters, NEGATIONS if negations is None else negations
-    boost_of, negative = literal_map(boosters), F.array(*[F.lit(w) for w in negations])
-
-    def facts(w: Column) -> Column:
-        low = F.lower(w)
-        return F.struct(low.alias("w"), ((F.upper(w) == w) & (low != w)).alias("up"), F.element_at(lexicon, low).alias("lex"), F.element_at(boost_of, low).alias("boost"), (F.array_contains(negative, low) | low.contains("n't")).alias("neg"))
-
-    t, some = F.col("__t"), F.col("__mixed")
-    df = df.withColumn("__words", tokens(F.col(text))).withColumn("__t", F.transform("__words", facts))
-    df = df.withColumn("__mixed", F.exists(t, lambda x: x["up"]) & F.exists(t, lambda x: ~x["up"]))
-
-    def start(x: Column, i: Column) -> Column:
-        at = lambda k: F.get(t, i + k)
-        is_no = lambda k: F.coalesce(at(k)["w"] == "no", F.lit(False))
-        silent = x["boost"].isNotNull() | ((x["w"] == "kind") & F.coalesce(at(1)["w"] == "of", F.lit(False)))
-        after_no = is_no(-1) | is_no(-2) | (is_no(-3) & F.coalesce(at(-1)["w"].isin("or", "nor"), F.lit(False)))
-        v = F.when(after_no, x["lex"] * NEGATION).when((x["w"] == "no") & at(1)["lex"].isNotNull(), 0.0).otherwise(x["lex"])
-        loud = F.when(x["up"] & some, F.when(v > 0, CAPITALS).otherwise(-CAPITALS)).otherwise(0.0)
-        return F.struct(F.when(silent | x["lex"].isNull(), 0.0).otherwise(v + loud).alias("v"), (~silent & x["lex"].isNotNull()).alias("counts"))
-
-    def look_back(k: int, damping: float):
-        def stage(x: Column, i: Column) -> Column:
-            before = F.get(t, i - k)
-            sign = F.when(x["v"] < 0, -1.0).otherwise(1.0)
-            step = before["boost"] * sign + F.when(before["up"] & some, F.when(x["v"] > 0, CAPITALS).otherwise(-CAPITALS)).otherwise(0.0)
-            v = x["v"] + F.coalesce(step * damping, F.lit(0.0))
-            word = lambda j: F.coalesce(F.get(t, i - j)["w"], F.lit(""))
-            between = range(1, k)
-            never = F.lit(False) if k == 1 else (word(k) == "never") & _any([word(j).isin("so", "this") for j in between])
-            sure = F.lit(False) if k == 1 else (word(k) == "without") & _any([word(j) == "doubt" for j in between])
-            negated = F.when(never, v * 1.25).when(sure, v).when(before["neg"], v * NEGATION).otherwise(v)
-            applies = x["counts"] & before["w"].isNotNull() & before["lex"].isNull()
-            return F.struct(F.when(applies, negated).otherwise(x["v"]).alias("v"), x["counts"].alias("counts"))
-
-        return stage
-
-    def least(x: Column, i: Column) -> Column:
-        before, first = F.get(t, i - 1), F.coalesce(F.get(t, i - 2)["w"], F.lit(""))
-        applies = F.coalesce(x["counts"] & (before["w"] == "least") & before["lex"].isNull() & ~first.isin("at", "very"), F.lit(False))
-        return F.when(applies, x["v"] * NEGATION).otherwise(x["v"])
-
-    df = df.withColumn("__v0", F.transform(t, start))
-    for k, damping in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        df = df.withColumn(f"__v{k}", F.transform(f"__v{k - 1}", look_back(k, damping)))
-    df = df.withColumns({"__v4": F.transform("__v3", least), "__but": F.array_position(F.transform(t, lambda x: x["w"]), "but")})  # from 1; 0 if there is none
-    but = F.col("__but")
-    out = F.transform("__v4", lambda x, i: F.when((but == 0) | (i + 1 == but), x).when(i + 1 < but, x * 0.5).otherwise(x * 1.5))
-    return df.withColumn("__valences", out).drop("__words", "__t", "__mixed", "__but", *[f"__v{k}" for k in range(5)])
-
-
-def _any(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out | p
-    return out
-
-
-def emphasis(text: Column) -> Column:
-    """What exclamation marks, four at most, and two or more question marks add."""
-    count = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
-    marks, asked = F.least(count("!"), F.lit(4)) * 0.292, count("?")
-    return marks + F.when(asked > 3, 0.96).when(asked > 1, asked * 0.18).otherwise(0.0)
-
-
-def summary(valences: Column, text: Column) -> dict[str, Column]:
-    """compound, pos, neg and neu from the tokens' valences; null and wordless texts are neutral, all zero."""
-    some, more = F.coalesce(F.size(valences) > 0, F.lit(False)), emphasis(text)
-    total = F.aggregate(valences, F.lit(0.0), lambda s, x: s + x)
-    loud = total + F.when(total > 0, more).when(total < 0, -more).otherwise(0.0)
-    part = lambda keep, shift: F.aggregate(F.filter(valences, keep), F.lit(0.0), lambda s, x: s + x + shift)
-    pos, neg, neu = part(lambda x: x > 0, 1.0), part(lambda x: x < 0, -1.0), F.size(F.filter(valences, lambda x: x == 0))
-    pos_, neg_ = F.when(pos > -neg, pos + more).otherwise(pos), F.when(pos < -neg, neg - more).otherwise(neg)
-    all_ = pos_ - neg_ + neu
-    out = {"compound": loud / F.sqrt(loud * loud + ALPHA), "pos": pos_ / all_, "neg": -neg_ / all_, "neu": neu / all_}
-    return {k: F.when(some, c).otherwise(0.0) for k, c in out.items()}
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as ``tokens`` tells them apart, in a row, and where each text's words begin (and the last ends)."""
+    split = pc.ascii_split_whitespace(texts)
+    flat, ends = split.flatten(), split.offsets.to_numpy()
+    there = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(there)])[ends - ends[0]]
+    flat = flat.filter(pa.array(there))
+    bare = pc.ascii_trim(flat, PUNCTUATION)
+    return pc.if_else(pc.less_equal(pc.utf8_length(bare), 2), flat, bare), starts
+
+
+class Rules:
+    """The rules over a batch of texts; the lexicon comes with the object, with the texts, or both."""
+
+    def __init__(self, lexicon: dict[str, float], boosters: dict[str, float], negations: list[str]) -> None:
+        self.lexicon, self.boosters, self.negations = lexicon, boosters, set(negations)
+
+    def __call__(self, texts: pa.Array, entries: dict[str, float] | None = None) -> dict[str, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        words, starts = words_of(texts)
+        coded = words.dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        lexicon = self.lexicon if entries is None else entries
+        low = [w.lower() for w in distinct]
+        lex = np.array([lexicon.get(w, 0.0) for w in low], float)
+        listed = np.array([w in lexicon for w in low], bool)
+        boost = np.array([self.boosters.get(w, 0.0) for w in low], float)
+        boosts = np.array([w in self.boosters for w in low], bool)
+        neg = np.array([w in self.negations or "n't" in w for w in low], bool)
+        up = np.array([w != v and w.upper() == w for w, v in zip(distinct, low, strict=True)], bool)
+        name = np.array([NAMED.get(w, 0) for w in low], np.int8)
+
+        n, many = np.diff(starts), np.bincount
+        text_of = np.repeat(np.arange(len(n)), n)
+        loud = np.concatenate([[0], np.cumsum(up[code])])
+        loud = loud[starts[1:]] - loud[starts[:-1]]
+        mixed = (loud > 0) & (loud < n)
+        buts = np.flatnonzero(name[code] == NAMED["but"])
+        but = np.full(len(n), -1)
+        but[text_of[buts][::-1]] = buts[::-1]  # the first of each text is written last
+
+        hits = np.flatnonzero(listed[code])
+        at_text = text_of[hits]
+        first, end, some = starts[at_text], starts[at_text + 1], mixed[at_text]
+
+        def around(k: int) -> tuple[np.ndarray, np.ndarray]:
+            """The word k places on from every hit, and whether it is there."""
+            there = (hits + k >= first) & (hits + k < end)
+            return code[np.where(there, hits + k, hits)], there
+
+        def named(k: int, *which: str) -> np.ndarray:
+            w, there = around(k)
+            return there & np.isin(name[w], [NAMED[x] for x in which])
+
+        here, (after, follows) = code[hits], around(1)
+        silent = boosts[here] | (named(0, "kind") & named(1, "of"))
+        after_no = named(-1, "no") | named(-2, "no") | (named(-3, "no") & named(-1, "or", "nor"))
+        v = np.where(after_no, lex[here] * NEGATION, np.where(named(0, "no") & follows & listed[after], 0.0, lex[here]))
+        v = v + np.where(up[here] & some, np.where(v > 0, CAPITALS, -CAPITALS), 0.0)
+        for k, damping in ((1, 1.0), (2, 0.95), (3, 0.9)):
+            w, there = around(-k)
+            step = boost[w] * np.where(v < 0, -1.0, 1.0) + np.where(up[w] & some, np.where(v > 0, CAPITALS, -CAPITALS), 0.0)
+            changed = v + np.where(boosts[w], step * damping, 0.0)
+            turned = np.where(neg[w], changed * NEGATION, changed)
+            if k > 1:
+                between = range(-k + 1, 0)
+                turned = np.where(named(-k, "without") & np.any([named(j, "doubt") for j in between], axis=0), changed, turned)
+                turned = np.where(named(-k, "never") & np.any([named(j, "so", "this") for j in between], axis=0), changed * 1.25, turned)
+            v = np.where(there & ~listed[w], turned, v)
+        least = named(-1, "least") & ~listed[around(-1)[0]] & ~named(-2, "at", "very")
+        v = np.where(least, v * NEGATION, v)
+        turn = but[at_text]
+        v = np.where((turn < 0) | (hits == turn), v, np.where(hits < turn, v * 0.5, v * 1.5))
+        v[silent] = 0.0
+
+        def total(keep: np.ndarray, shift: float = 0.0) -> np.ndarray:
+            return many(at_text[keep], v[keep] + shift, len(n))
+
+        count = lambda c: pc.count_substring(texts, c).to_numpy()
+        marks, asked = np.minimum(count("!"), 4) * 0.292, count("?")
+        more = marks + np.where(asked > 3, 0.96, np.where(asked > 1, asked * 0.18, 0.0))
+        whole, pos, neg_ = total(v != 0), total(v > 0, 1.0), total(v < 0, -1.0)
+        whole = whole + np.sign(whole) * more
+        neu = n - many(at_text[v != 0], minlength=len(n))
+        pos, neg_ = np.where(pos > -neg_, pos + more, pos), np.where(pos < -neg_, neg_ - more, neg_)
+        all_ = np.where(n > 0, pos - neg_ + neu, 1.0)
+        out = {"compound": whole / np.sqrt(whole * whole + ALPHA), "pos": pos / all_, "neg": -neg_ / all_, "neu": neu / all_}
+        return {k: np.where(n > 0, c, 0.0) for k, c in out.items()}
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about PIECE bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + PIECE, "right")))
+        yield at, end
+        at = end
+
+
+def _shares(rules: Rules, joined: bool):
+    """An Arrow function of texts, and of each text's own entries of the lexicon if it is joined."""
+
+    def run(texts: pa.Array, entries: pa.Array | None = None) -> pa.Array:
+        done = []
+        for a, e in _pieces(texts):
+            own = None
+            if joined:
+                flat = entries.slice(a, e - a).flatten()
+                own = dict(zip(flat.field("word").to_pylist(), flat.field("valence").to_pylist(), strict=True))
+            done.append(rules(texts.slice(a, e - a), own))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([d[c] for d in done]) if done else [], pa.float64()) for c in SHARES], names=list(SHARES))
+
+    type_ = ", ".join(f"{c} double" for c in SHARES)
+    if joined:
+
+        @F.arrow_udf(type_)
+        def shares(texts: pa.Array, entries: pa.Array) -> pa.Array:
+            return run(texts, entries)
+    else:
+
+        @F.arrow_udf(type_)
+        def shares(texts: pa.Array) -> pa.Array:
+            return run(texts)
+
+    return shares
 
 
 def scored(df: DataFrame, key: str, text: str, lexicon: DataFrame, boosters: dict[str, float] | None = None, negations: list[str] | None = None) -> DataFrame:
-    """df with compound, pos, neg and neu under a lexicon table (word, valence) of any size; key tells rows apart.
-
-    Words meet the lexicon once each; what is joined back to a row are the entries of its own words.
-    """
-    words = df.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.transform(tokens(F.col(text)), F.lower))).alias("word"))
-    met = words.distinct().join(lexicon.dropDuplicates(["word"]), "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("valence").cast("double")))).alias("__lexicon"))
-    rows = df.join(met, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-    rows = rows.withColumn("__lexicon", F.coalesce("__lexicon", F.create_map().cast("map<string,double>")))
-    rows = with_valences(rows, text, "__lexicon", boosters, negations)
-    return rows.withColumns(summary(F.col("__valences"), F.col(text))).drop("__valences", "__lexicon")
+    """df with compound, pos, neg and neu under a lexicon table (word, valence) of any size; key tells rows apart."""
+    boosters, negations = BOOSTERS if boosters is None else boosters, NEGATIONS if negations is None else negations
+    lexicon = lexicon.dropDuplicates(["word"]).where("word is not null and valence is not null").select("word", F.col("valence").cast("double").alias("valence"))
+    known = lexicon.limit(LEXICON + 1).collect()
+    if len(known) <= LEXICON:
+        rows, given = df, (text,)
+        shares = _shares(Rules({r["word"]: r["valence"] for r in known}, boosters, negations), False)
+    else:
+        words = df.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.transform(tokens(F.col(text)), F.lower))).alias("word"))
+        met = words.join(lexicon, "word").distinct().groupBy("__key").agg(F.collect_list(F.struct("word", "valence")).alias("__lexicon"))
+        rows, given = df.join(met, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key"), (text, "__lexicon")
+        rows = rows.withColumn("__lexicon", F.coalesce("__lexicon", F.array().cast("array<struct<word:string,valence:double>>")))
+        shares = _shares(Rules({}, boosters, negations), True)
+    rows = rows.withColumn("__shares", shares(*given))
+    return rows.withColumns({c: F.col(f"__shares.{c}") for c in SHARES}).drop("__shares", "__lexicon")
