@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidewater.operators import density as D
+from tidewater.operators import graph as G
 
 
 def brute(x, copies, ids, min_samples, size):
@@ -118,3 +119,16 @@ def test_small_tables(spark):
     assert {r["cluster"] for r in D.density_clusters(df, "key", "v").collect()} == {-1}
     assert D.density_clusters(df.where("false"), "key", "v").count() == 0
     assert [r["cluster"] for r in D.density_clusters(df.limit(1), "key", "v").collect()] == [-1]
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Tables of nodes are as small here as they can be, and still none is broadcast."""
+    plans = []
+    for module in (D, G):
+        written = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, written=written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    df = spark.createDataFrame(list(enumerate(points(1, 40).tolist())), "key long, v array<double>")
+    out = D.density_clusters(df, "key", "v", 2, 4)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 40 and any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)

@@ -12,7 +12,8 @@ inside a task. The tree grows by Boruvka rounds: every component takes its short
 read off its rows' neighbour lists where these prove it, and searched for in blocks for the other rows. The
 levels at which each row's group reaches ``min_cluster_size`` come from rounds over the tree's edges. The
 driver sees pivots (``PIVOTS`` at most, with their pairs) and the tree of clusters, which has fewer nodes than
-2 n / min_cluster_size.
+2 n / min_cluster_size. Tables of nodes meet by sorting on both sides, however small they are: a broadcast would send
+each of them through the driver, in every round.
 
 Equal vectors are one node with a number of copies. Vectors that are null, empty, hold null or non-finite
 components or have another length than most have a null cluster. Without a split into two clusters all rows
@@ -154,7 +155,7 @@ def neighbour_lists(blocks: Blocks, k: int) -> DataFrame:
     first = materialize(blocks.meet(base, base, blocks.partners(some, True), _nearest_task(k), schema, names), "near")
     order = Window.partitionBy("id").orderBy("d", "b")
     kth = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("id", F.col("d").alias("limit"))
-    asking = materialize(plain(F.lit(0.0)).drop("limit").join(kth, "id", "left").na.fill({"limit": math.inf}), "asking")
+    asking = materialize(plain(F.lit(0.0)).drop("limit").join(kth.hint("merge"), "id", "left").na.fill({"limit": math.inf}), "asking")
     limits = {r["pivot"]: r["limit"] for r in asking.groupBy("pivot").agg(F.max("limit").alias("limit")).collect()}
     rest = materialize(blocks.meet(asking, base, blocks.partners(limits, False), _nearest_task(k), schema, names), "near")
     return materialize(rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"), "neighbours")
@@ -182,13 +183,13 @@ def united(ways: DataFrame) -> DataFrame:
     """(comp, root) where every component goes one way (comp, to) and only pairs go in a circle: their lesser is
     the root, and each round follows what was found sixteen steps further."""
     back = ways.select(F.col("comp").alias("c2"), F.col("to").alias("t2"))
-    roots = materialize(ways.join(back, F.col("to") == F.col("c2")).select("comp", F.when((F.col("t2") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root")), "roots")
+    roots = materialize(ways.join(back.hint("merge"), F.col("to") == F.col("c2")).select("comp", F.when((F.col("t2") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root")), "roots")
     while True:
         out = roots
         for _ in range(4):
-            out = out.join(out.select(F.col("comp").alias("c2"), F.col("root").alias("r2")), F.col("root") == F.col("c2")).select("comp", F.col("r2").alias("root"))
+            out = out.join(out.select(F.col("comp").alias("c2"), F.col("root").alias("r2")).hint("merge"), F.col("root") == F.col("c2")).select("comp", F.col("r2").alias("root"))
         roots = materialize(out, "roots")
-        further = roots.join(roots.select(F.col("comp").alias("c2"), F.col("root").alias("r2")), F.col("root") == F.col("c2"))
+        further = roots.join(roots.select(F.col("comp").alias("c2"), F.col("root").alias("r2")).hint("merge"), F.col("root") == F.col("c2"))
         if further.where("root <> r2").isEmpty():
             return roots
 
@@ -199,17 +200,17 @@ def spanning_tree(blocks: Blocks, near: DataFrame, cores: DataFrame) -> DataFram
     cores has id, core and sure: nodes not in a node's list are at least that far.
     """
     c = lambda name: cores.select(F.col("id").alias(name), F.col("core").alias(f"core_{name}"))
-    listed = near.select(F.col("id").alias("a"), "b", "d").join(c("a"), "a").join(c("b"), "b")
+    listed = near.select(F.col("id").alias("a"), "b", "d").join(c("a").hint("merge"), "a").join(c("b").hint("merge"), "b")
     listed = listed.select("a", "b", F.greatest("d", "core_a", "core_b").alias("w"))
     listed = materialize(listed.union(listed.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).distinct(), "listed")
     comps = cores.select("id", F.col("id").alias("comp"))
     tree: list[DataFrame] = []
     while True:
         of = lambda name, comps=comps: comps.select(F.col("id").alias(name), F.col("comp").alias(f"c{name}"))
-        listed = materialize(listed.drop("ca", "cb").join(of("a"), "a").join(of("b"), "b").where("ca <> cb"), "listed")
+        listed = materialize(listed.drop("ca", "cb").join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("ca <> cb"), "listed")
         edge = F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("cb").alias("other"))
         known = listed.groupBy(F.col("ca").alias("comp")).agg(F.min(edge).alias("e"))
-        nodes = blocks.nodes.join(comps, "id").join(cores, "id").join(known.select("comp", F.col("e.w").alias("limit")), "comp", "left").na.fill({"limit": math.inf})
+        nodes = blocks.nodes.join(comps.hint("merge"), "id").join(cores.hint("merge"), "id").join(known.select("comp", F.col("e.w").alias("limit")).hint("merge"), "comp", "left").na.fill({"limit": math.inf})
         nodes = materialize(nodes, "open")
         asking = nodes.where("sure <= limit")
         limits = {r["pivot"]: r["limit"] for r in asking.groupBy("pivot").agg(F.max("limit").alias("limit")).collect()}
@@ -223,7 +224,7 @@ def spanning_tree(blocks: Blocks, near: DataFrame, cores: DataFrame) -> DataFram
             break
         tree.append(best.select("e.lo", "e.hi", "e.w").distinct())
         joined = united(best.select("comp", F.col("e.other").alias("to")))
-        comps = materialize(comps.join(joined, "comp").select("id", F.col("root").alias("comp")), "comps")
+        comps = materialize(comps.join(joined.hint("merge"), "comp").select("id", F.col("root").alias("comp")), "comps")
     if not tree:
         return cores.sparkSession.createDataFrame([], "lo long, hi long, w double")
     out = tree[0]
@@ -246,13 +247,13 @@ def levels(tree: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     while True:
         open_ = state.where("level is null")
         sizes = open_.groupBy("comp").agg(F.sum("copies").alias("n"))
-        ends = both.join(open_.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(state.select(F.col("id").alias("b"), F.when(F.col("level").isNull(), F.col("comp")).alias("cb")), "b")
+        ends = both.join(open_.select(F.col("id").alias("a"), F.col("comp").alias("ca")).hint("merge"), "a").join(state.select(F.col("id").alias("b"), F.when(F.col("level").isNull(), F.col("comp")).alias("cb")).hint("merge"), "b")
         out = ends.where("cb is null or ca <> cb").groupBy(F.col("ca").alias("comp")).agg(F.min(F.struct("e", "cb")).alias("m")).select("comp", "m.e", F.col("m.cb").alias("to"))
-        out = materialize(out.join(sizes, "comp"), "nearest")
+        out = materialize(out.join(sizes.hint("merge"), "comp"), "nearest")
         if out.isEmpty():
             break
         # two components that are each other's nearest share the edge; roots are these and what has reached the size
-        mutual = out.join(out.select(F.col("comp").alias("c2"), F.col("to").alias("t2"), F.col("n").alias("n2")), (F.col("to") == F.col("c2")) & (F.col("comp") == F.col("t2")), "left")
+        mutual = out.join(out.select(F.col("comp").alias("c2"), F.col("to").alias("t2"), F.col("n").alias("n2")).hint("merge"), (F.col("to") == F.col("c2")) & (F.col("comp") == F.col("t2")), "left")
         step = mutual.select("comp", "e", "n", F.when(F.col("to").isNull(), F.lit(1)).when(F.col("c2").isNull(), F.lit(0)).when(F.col("n") + F.col("n2") >= size, F.lit(1)).otherwise(F.lit(2)).alias("kind"), "to")
         step = materialize(step, "steps")  # kind 1: reaches the size now; 2: unites with its mate, still small; 0: hangs on another; 3: waits for the next round
         kinds = step.select("comp", "kind", "to")
@@ -260,9 +261,9 @@ def levels(tree: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             other = kinds.select(F.col("comp").alias("c2"), F.col("kind").alias("k2"), F.col("to").alias("t2"))
             waits = F.col("kind") == 0
             kind = F.when(waits & (F.col("k2") == 1), 1).when(waits & (F.col("k2") > 1), 3).otherwise(F.col("kind"))
-            kinds = kinds.join(other, F.col("to") == F.col("c2"), "left").select("comp", kind.alias("kind"), F.when(waits & (F.col("k2") == 0), F.col("t2")).otherwise(F.col("to")).alias("to"))
-        done = step.drop("kind").join(kinds.select("comp", "kind"), "comp").select("comp", F.when(F.col("kind") == 1, F.col("e")).alias("reached"), F.when(F.col("kind") == 2, F.least("comp", "to")).alias("united"))
-        state = state.join(done, "comp", "left").select("id", F.coalesce("united", "comp").alias("comp"), "copies", F.coalesce("level", "reached").alias("level"))
+            kinds = kinds.join(other.hint("merge"), F.col("to") == F.col("c2"), "left").select("comp", kind.alias("kind"), F.when(waits & (F.col("k2") == 0), F.col("t2")).otherwise(F.col("to")).alias("to"))
+        done = step.drop("kind").join(kinds.select("comp", "kind").hint("merge"), "comp").select("comp", F.when(F.col("kind") == 1, F.col("e")).alias("reached"), F.when(F.col("kind") == 2, F.least("comp", "to")).alias("united"))
+        state = state.join(done.hint("merge"), "comp", "left").select("id", F.coalesce("united", "comp").alias("comp"), "copies", F.coalesce("level", "reached").alias("level"))
         state = materialize(state, "levels")
     return state.where("level is not null").select("id", "level.w", "level.lo", "level.hi")
 
@@ -354,19 +355,19 @@ def density_clusters(df: DataFrame, key: str, vector: str, min_samples: int = 5,
     order = Window.partitionBy("id").orderBy("d", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heard = near.withColumn("upto", F.sum("copies").over(order)).groupBy("id").agg(F.count("*").alias("listed"), F.max("d").alias("last"), F.collect_list(F.struct("d", "upto")).alias("l"))
     enough = lambda c: F.array_min(F.transform(F.filter("l", lambda e: e["upto"] + c - 1 >= min_samples), lambda e: e["d"]))
-    cores = nodes.select("id", "copies").join(heard, "id", "left")
+    cores = nodes.select("id", "copies").join(heard.hint("merge"), "id", "left")
     cores = cores.select("id", F.when(F.col("copies") > min_samples, 0.0).otherwise(F.coalesce(enough(F.col("copies")), "last", F.lit(0.0))).alias("core"), F.when(F.coalesce("listed", F.lit(0)) < k, F.lit(math.inf)).otherwise(F.col("last")).alias("sure"))
     cores = materialize(cores, "cores")
     tree = spanning_tree(blocks, near, cores)
-    level = levels(tree, nodes.select("id", "copies").join(cores.select("id", "core"), "id"), min_cluster_size)
+    level = levels(tree, nodes.select("id", "copies").join(cores.select("id", "core").hint("merge"), "id"), min_cluster_size)
     edge = F.struct("w", "lo", "hi")
     side = lambda name: level.select(F.col("id").alias(name), F.struct("w", "lo", "hi").alias(f"at_{name}"))
-    judged = tree.join(side("lo"), "lo", "left").join(side("hi"), "hi", "left").withColumn("full", F.coalesce((F.col("at_lo") < edge) & (F.col("at_hi") < edge), F.lit(False)))
+    judged = tree.join(side("lo").hint("merge"), "lo", "left").join(side("hi").hint("merge"), "hi", "left").withColumn("full", F.coalesce((F.col("at_lo") < edge) & (F.col("at_hi") < edge), F.lit(False)))
     judged = materialize(judged.select("lo", "hi", "w", "full"), "judged")
     joined = connected_components(judged.where("not full").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    cells = materialize(nodes.select("id", "copies").join(joined, F.col("id") == F.col("node"), "left").select("id", "copies", F.coalesce("component", "id").alias("cell")).join(level, "id", "left"), "cells")
+    cells = materialize(nodes.select("id", "copies").join(joined.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "copies", F.coalesce("component", "id").alias("cell")).join(level.hint("merge"), "id", "left"), "cells")
     of = lambda name: cells.select(F.col("id").alias(name), F.col("cell").alias(f"c_{name}"))
-    merges = [((r["w"], r["lo"], r["hi"]), r["c_lo"], r["c_hi"]) for r in judged.where("full").join(of("lo"), "lo").join(of("hi"), "hi").collect()]
+    merges = [((r["w"], r["lo"], r["hi"]), r["c_lo"], r["c_hi"]) for r in judged.where("full").join(of("lo").hint("merge"), "lo").join(of("hi").hint("merge"), "hi").collect()]
     found = sorted({c for _, a, b in merges for c in (a, b)})
     if not merges:
         labelled = cells.select("id", F.lit(-1).alias("cluster"), "w")
@@ -388,6 +389,6 @@ def density_clusters(df: DataFrame, key: str, vector: str, min_samples: int = 5,
                 least[c] = min(least.get(c, r["least"]), r["least"])
         number = {c: i for i, c in enumerate(sorted(least, key=least.get))}
         names = spark.createDataFrame([(k, number[c]) for k, c in enumerate(label) if c >= 0 and c in number], "entered int, cluster int")
-        labelled = inside.join(names, "entered", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "w")
-    out = rows.withColumn("id", F.when(F.col("x").isNotNull(), F.xxhash64("x"))).join(labelled, "id", "left")
+        labelled = inside.join(names.hint("merge"), "entered", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "w")
+    out = rows.withColumn("id", F.when(F.col("x").isNotNull(), F.xxhash64("x"))).join(labelled.hint("merge"), "id", "left")
     return out.select(F.col("key").alias(key), "cluster", "w")
