@@ -9,6 +9,8 @@ from pyspark.sql import GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tests.conftest import SF
+from tidewater.plans import registry, storage as P  # noqa: F401 - the registry loads the plans
 from tidewater.sources import catalog as CT
 from tidewater.sources import queue as Q
 from tidewater.sources import storage as ST
@@ -222,6 +224,19 @@ def test_audience_without_python_state(spark, tmp_path, monkeypatch):
     assert run("b", timedelta(milliseconds=1), first, second) == [("l1", "s1"), ("l2", "s1"), ("l3", "s1"), ("r1", "s1")]
 
 
+def test_parts_are_written_by_many_tasks(spark, monkeypatch):
+    """However large a part of the late stream is, its messages are dealt over the cores, and it stays one micro-batch."""
+    seen, cores = [], spark.sparkContext.defaultParallelism
+
+    def routed(spark, sf, root, per_trigger=None):
+        seen.append((spark.read.format("binaryFile").load(f"{root}/in").count(), per_trigger))
+        spark.createDataFrame([("x",)], "route string").write.mode("overwrite").parquet(f"{root}/out")
+
+    monkeypatch.setattr(P, "_routed", routed)
+    P.stream_late_and_early(spark, SF)
+    assert seen == [(2 * cores, cores), (4 * cores, cores)]
+
+
 def test_queue_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text(message("a", "post", uri="p") + "\nbad\n")

@@ -79,9 +79,10 @@ def io_queue_claims(spark, sf):
     return takers.join(got, "batch_id", "left")
 
 
-def _as_messages(spark: SparkSession, sf: str) -> DataFrame:
+def _as_messages(spark: SparkSession, sf: str, tasks: int | None = None) -> DataFrame:
     """Events as messages (event_id, value): views are posts, clicks are likes of the post before, signups follow."""
     e = table(spark, sf, "events")
+    e = e.repartition(tasks) if tasks else e
     did = lambda c: F.concat(F.lit("did:"), c.cast("string"))
     uri = lambda c: F.concat(F.lit("at://post/"), c.cast("string"))
     kind = F.element_at(F.create_map(*[F.lit(x) for p in {"view": "post", "click": "like", "signup": "follow", "purchase": "reply", "error": "post"}.items() for x in p]), F.col("event_type"))
@@ -132,12 +133,12 @@ def stream_route_batch(spark, sf):
 def stream_late_and_early(spark, sf):
     """The same routes, whatever the order: messages come in micro-batches dealt by id, so that of likes
     and replies many come before their post, others hours after it, and half of them after a restart."""
-    root = scratch_path(spark, "stream")
-    m = _as_messages(spark, sf).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    root, files = scratch_path(spark, "stream"), spark.sparkContext.defaultParallelism
+    m = _as_messages(spark, sf, files).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
     for run in range(2):
         for part in (2 * run, 2 * run + 1):
-            m.where(F.col("part") == part).select("value").coalesce(1).write.mode("append").text(f"{root}/in")
-        _routed(spark, sf, root, per_trigger=1)
+            m.where(F.col("part") == part).select("value").write.mode("append").text(f"{root}/in")
+        _routed(spark, sf, root, per_trigger=files)
     return spark.read.parquet(f"{root}/out").groupBy("route").agg(F.count("*").alias("n"))
 
 
