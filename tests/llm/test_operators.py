@@ -752,3 +752,49 @@ def test_hot_group_is_spread_and_edges(spark):
     few = sharding.shard_documents(d.where("doc_id < 5")).collect()
     check_shards(few)
     assert sharding.shard_documents(d.where("false")).count() == 0
+
+
+def test_sharding_writes_few_files(spark, monkeypatch):
+    """A file costs every executor a process or more, so rounds must not write one for each shuffle partition."""
+    wrote, materialize, settings = [], sharding.C.materialize, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        wrote.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(sharding.C, "materialize", counted)
+    before = {k: spark.conf.get(k) for k in settings}
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 1500).cast("string").alias("text"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = sharding.shard_documents(d).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    check_shards(rows)
+    assert sum(n for _, n in wrote) <= 200, wrote
+
+
+def test_sharding_surplus_fills_the_room(spark, monkeypatch):
+    """Without rounds, so that shards start with more and with fewer documents than their quota."""
+    monkeypatch.setattr(sharding, "propagate", lambda hubs, quota: hubs)
+    rows = sharding.shard_documents(spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 1990).cast("string").alias("text"))).collect()
+    check_shards(rows)
+    assert sorted(r["doc_id"] for r in rows) == list(range(4000))
+
+
+def test_large_group_is_ranked_in_many_tasks(spark, monkeypatch):
+    most, ranked = [], sharding.ranked
+
+    def watched(df, group, bucket):
+        most.append(df.groupBy(*group, bucket).count().agg(F.max("count")).first()[0])
+        return ranked(df, group, bucket)
+
+    monkeypatch.setattr(sharding, "ranked", watched)
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1100, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = sharding.shard_documents(d).collect()
+    check_shards(rows)
+    assert len({r["shard"] for r in rows if r["doc_id"] < 1100}) == 1
+    assert max(most) <= 45, most  # 20,000 rows in 1,024 buckets

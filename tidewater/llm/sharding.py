@@ -12,7 +12,8 @@ left, and surplus over a quota goes there too, so that shards differ by one row
 Null texts count as empty ones (size 1). Rows that repeat a doc_id are placed row by row. An
 empty table gives no rows. Nothing but totals by shard and tables of fixed size (BUCKETS
 rows a shard) is gathered; ranks are sums over buckets plus a rank within a bucket, of which there
-are as many as keep a bucket at about BUCKET_ROWS rows. ``quality`` reports sizes and cut edges.
+are as many, also for a single large hub, as keep a bucket at about BUCKET_ROWS rows. ``quality``
+reports sizes and cut edges.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tidewater.llm import common as C
 
 SHARDS, ROUNDS, BUCKETS, BUCKET_ROWS = 16, 8, 1024, 20_000
+#: Documents for which one task may write the sums by text and by hub; fewer than the cores are not taken.
+SUMS_ROWS = 1 << 18
 
 
 def _by_shard(values: dict[int, int], shard: Column) -> Column:
@@ -41,28 +44,38 @@ def ranked(df: DataFrame, group: list[str], bucket: Column) -> DataFrame:
     return df.withColumn("__place", place).join(total, [*group, "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__place")).drop("__bucket", "__before", "__place")
 
 
-def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
-    """linked (rid, hub, shard) after some rounds of moves towards the hubs' shards."""
+def propagate(hubs: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
+    """hubs (hub, all, held, to) after some rounds of moves: ``to`` is the shard of all of a hub's documents, null while they are apart.
+
+    ``held`` has the documents by shard from before the first round. A hub moves as a whole or not
+    at all, so it needs no more, and a round is one narrow pass over the hubs: no shuffle but of
+    totals, and as few files as the hubs fill."""
+    apart = F.col("to").isNull()
+    loose, given = None, hubs
     for _ in range(rounds):
-        votes = C.materialize(linked.groupBy("hub", "shard").agg(F.count("*").alias("n")), "votes")
-        now = {s: 0 for s in quota} | {r["shard"]: r["n"] for r in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        lies = F.explode(F.when(apart, F.col("held")).otherwise(F.array(F.struct(F.col("to").alias("shard"), F.col("all").alias("n")))))
+        totals = hubs.select(apart.alias("apart"), lies.alias("x")).groupBy("x.shard", "apart").agg(F.sum("x.n").alias("n")).collect()
+        before, loose = loose, sum(r["n"] for r in totals if r["apart"])
+        if loose in (0, before):  # all are together, or the last round moved none and the next would not either
+            break
+        now = {s: sum(r["n"] for r in totals if r["shard"] == s) for s in quota}
         room = {s: max(0, quota[s] - now[s]) for s in quota}
-        held = votes.groupBy("hub").agg(F.collect_list(F.struct("shard", "n")).alias("held"), F.sum("n").alias("all"))  # a row a shard at most
         fits = lambda x: (_by_shard(room, x["shard"]) + x["n"] >= F.col("all")).cast("int")
         best = F.array_max(F.transform("held", lambda x: F.struct(fits(x).alias("fits"), x["n"].alias("n"), F.negative(x["shard"]).alias("s"))))
-        target = held.where(F.size("held") > 1).select("hub", F.negative(best["s"]).alias("to"))  # a hub that is together stays
-        asks = C.materialize(votes.join(target, "hub").where("shard <> to").withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(BUCKETS))), "asks")
-        leaving = {r["shard"]: r["n"] for r in asks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        if not leaving:
-            break
+        aimed = hubs.withColumn("best", F.when(apart, best)).withColumn("aim", F.negative(F.col("best.s"))).withColumn("bucket", F.pmod(F.xxhash64("hub"), F.lit(BUCKETS)))
+        asks = aimed.where(apart)
+        leaving = {r["shard"]: r["n"] for r in asks.select("aim", F.explode("held").alias("x")).where("x.shard <> aim").groupBy("x.shard").agg(F.sum("x.n").alias("n")).collect()}
         grant = {s: max(0, quota[s] - now[s] + leaving.get(s, 0)) for s in quota}
-        upto = Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        asked = asks.groupBy("to", "bucket").agg(F.sum("n").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0)))
-        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (_by_shard(grant, F.col("to")) - F.col("before")) / F.col("sum")))
-        granted = asked.select("to", "bucket", share.alias("share")).where("share > 0")  # BUCKETS rows a shard at most
-        moves = asks.join(F.broadcast(granted), ["to", "bucket"]).where(F.pmod(F.xxhash64("hub", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("hub", "shard", "to")
-        linked = C.materialize(linked.join(moves, ["hub", "shard"], "left").select("rid", "hub", F.coalesce("to", "shard").alias("shard")), "labels")
-    return linked
+        upto = Window.partitionBy("aim").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        asked = asks.groupBy("aim", "bucket").agg(F.sum(F.col("all") - F.col("best.n")).alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0)))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (_by_shard(grant, F.col("aim")) - F.col("before")) / F.col("sum")))
+        granted = asked.select("aim", "bucket", share.alias("share")).where("share > 0")  # BUCKETS rows a shard at most
+        lot = F.pmod(F.xxhash64("hub", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+        moved = aimed.join(F.broadcast(granted), ["aim", "bucket"], "left").withColumn("to", F.coalesce("to", F.when(lot < F.col("share"), F.col("aim"))))
+        last, hubs = hubs, C.materialize(moved.select("hub", "all", "held", "to"), "votes")
+        if last is not given:
+            C.discard(last)
+    return hubs
 
 
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -72,33 +85,49 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     base = C.materialize(base, "sizes")
     n = base.count()
     quota = {s: n // shards + (s < n % shards) for s in range(shards)}
-    hubs = base.groupBy("text_hash").agg(F.count("*").alias("copies")).where("copies > 1")
-    hubs = C.materialize(hubs, "copies")  # apart from the join, so that Spark can split what is skewed there
+    copies = base.groupBy("text_hash").agg(F.count("*").alias("copies")).where("copies > 1")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // SUMS_ROWS))
+    copies = C.materialize(copies.coalesce(tasks), "copies")  # apart from the join, so that Spark can split what is skewed there
     parts = F.ceil(F.col("copies") / F.lit(max(1, n // shards * 9 // 10)))
-    rows = base.select("rid", "text_hash").join(hubs, "text_hash", "left")
-    rows = rows.withColumn("hub", F.when(F.col("copies") > 1, F.xxhash64("text_hash", F.pmod(F.xxhash64("rid"), parts)))).select("rid", "hub", F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
-    rows = C.materialize(rows, "hubs")
-    linked = propagate(rows.where("hub is not null"), quota)
-
-    buckets = max(BUCKETS, -(-n // (BUCKET_ROWS * 16)) * 16)
-    scattered = F.pmod(F.xxhash64("hub", F.lit(1)), F.lit(buckets // 16)) * 16 + F.pmod(F.xxhash64("rid", F.lit(2)), F.lit(16))
-    placed = C.materialize(ranked(linked, ["shard"], scattered), "ranks")
-    keep = F.col("__rank") < _by_shard(quota, F.col("shard"))
-    kept = {s: 0 for s in quota} | {r["shard"]: r["n"] for r in placed.where(keep).groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    # surplus first, hub by hub, so that it stays together where it goes; then documents without links
-    rest = placed.where(~keep).select("rid", "hub").union(rows.where("hub is null").select("rid", "hub")).withColumn("all", F.lit(0))
-    rest = ranked(rest, ["all"], F.when(F.col("hub").isNotNull(), scattered).otherwise(buckets + F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(3 * buckets))))
+    rows = base.join(copies, "text_hash", "left")
+    rows = rows.withColumn("hub", F.when(F.col("copies") > 1, F.xxhash64("text_hash", F.pmod(F.xxhash64("rid"), parts)))).withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(shards)).cast("int"))
+    rows = C.materialize(rows.select("rid", "doc_id", "size", "text_crc32", "hub", "shard"), "hubs")
+    C.discard(base, copies)
+
+    held = rows.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n")).groupBy("hub").agg(F.sum("n").alias("all"), F.collect_list(F.struct("shard", "n")).alias("held"))  # a row a shard at most
+    voted = C.materialize(held.withColumn("to", F.when(F.size("held") == 1, F.col("held")[0]["shard"])).coalesce(tasks), "votes")
+    hubs = propagate(voted, quota)
+
+    buckets = max(BUCKETS, -(-n // BUCKET_ROWS))
+    # documents with links lie in their shard's group, hub by hub, a large hub over several buckets; the others in groups from -1 down
+    linked = rows.where("hub is not null").join(hubs.select("hub", "all", "to"), "hub").withColumn("group", F.coalesce("to", "shard"))
+    pieces = F.ceil(F.col("all") / F.lit(max(1, n // buckets)))
+    linked = linked.withColumn("bucket", F.pmod(F.xxhash64("hub", F.lit(1)), F.lit(buckets)) * F.lit(1 << 32) + F.pmod(F.xxhash64("rid", F.lit(2)), pieces)).drop("all", "to")
+    single = rows.where("hub is null").withColumn("group", (-1 - F.pmod(F.xxhash64("rid", F.lit(6)), F.lit(shards))).cast("int"))
+    single = single.withColumn("bucket", F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(-(-4 * buckets // shards))))
+    grouped = C.materialize(linked.unionByName(single).drop("hub", "shard"), "groups")
+    C.discard(rows, voted, hubs)
+
+    total = {r["group"]: r["n"] for r in grouped.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    kept = {s: min(quota[s], total.get(s, 0)) for s in quota}
+    # what goes where room is left: the surplus over the quotas first, hub by hub, so that it stays together there
+    start, at = {}, 0
+    for g in [*quota, *sorted(total.keys() - quota.keys(), reverse=True)]:
+        start[g] = at
+        at += total.get(g, 0) - kept.get(g, 0)
     begins, at = {}, 0
-    for s in range(shards):
+    for s in quota:
         begins[s] = at
         at += quota[s] - kept[s]
+    out = ranked(grouped, ["group"], F.col("bucket"))
+    beyond = F.col("__rank") - F.coalesce(_by_shard(kept, F.col("group")), F.lit(0))
+    place = _by_shard(start, F.col("group")) + beyond
     shard_of = F.lit(0)
     for s in range(1, shards):
-        shard_of = F.when(F.col("__rank") >= begins[s], F.lit(s)).otherwise(shard_of) if quota[s] > kept[s] else shard_of
-    rest = rest.withColumn("shard", shard_of.cast("int")).withColumn("slot", F.col("__rank") - _by_shard(begins, F.col("shard")) + _by_shard(kept, F.col("shard")))
-    places = placed.where(keep).select("rid", F.col("shard").cast("int").alias("shard"), F.col("__rank").alias("slot")).union(rest.select("rid", "shard", "slot"))
-    out = base.join(places, "rid")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        shard_of = F.when(place >= begins[s], F.lit(s)).otherwise(shard_of) if quota[s] > kept[s] else shard_of
+    out = out.withColumn("shard", F.when(beyond < 0, F.col("group")).otherwise(shard_of).cast("int"))
+    slot = F.when(beyond < 0, F.col("__rank")).otherwise(place - _by_shard(begins, F.col("shard")) + _by_shard(kept, F.col("shard")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def quality(sharded: DataFrame) -> DataFrame:
