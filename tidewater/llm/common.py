@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.scratch import SHUFFLE_CLEANUP, discard, shuffles_cleaned  # noqa: F401
+
 #: Bytes of text that a kernel handles at once; its arrays take about 40 times as much memory.
 SLICE_BYTES = 1 << 20
 
@@ -33,37 +35,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Spark's setting by which the shuffle files of a query go as soon as it has ended.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it: cuts the lineage,
     survives lost executors, and lets several readers share one computation.
 
-    The shuffle files of the write go with it: without that they stay until the driver's garbage
-    collection meets them, and those of all steps add up on disk."""
+    The shuffle files of the write go with it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    try:
-        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    with shuffles_cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_folder = path
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) over runs of rows of a string column.
 

@@ -5,8 +5,9 @@ words, and ends the shortest such run that ends there; a line of LONG_WORDS word
 itself, since it is a passage of its own. A single short line is no run and stays. Each run depends
 on its own lines alone, and the runs inside a passage cover all its lines, so that a repeated
 passage of MIN_WORDS words goes whole, whatever stands before and after it.
-Runs whose hash occurs again anywhere are compared byte by byte (they are grouped by their
-bytes), and every occurrence but the first by (doc_id, line) is removed with its line ends. Runs
+Runs whose hash occurs again anywhere are told apart by 128 bits of SHA-256 of their bytes, which
+take the place of the bytes, since runs overlap and on disk would come to more than the texts;
+every occurrence but the first by (doc_id, line) is removed with its line ends. Runs
 overlap, so of lines that repeat one another at once only the first is left; a line that goes
 always has an equal line that stays.
 
@@ -17,6 +18,7 @@ keeps a row with an empty text and n_lines = n_removed.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -75,6 +77,12 @@ def _chunk_hashes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(chunks(data, offsets)[5].view(np.int64))], ["h"])
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """128 bits of SHA-256 of every data[start:end], as two columns."""
+    whole = b"".join(hashlib.sha256(data[a:e]).digest()[:16] for a, e in zip(starts.tolist(), ends.tolist(), strict=True))
+    return [pa.array(x) for x in np.frombuffer(whole, np.int64).reshape(-1, 2).T.copy()]
+
+
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """d, th (the document), first line and number of lines of every run to be removed."""
     spark = docs.sparkSession
@@ -91,20 +99,20 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 row, line, lines, a, e, h = chunks(data, offsets)
                 at = np.flatnonzero(C.has_bit(some.value, h, bits))
                 of = pa.array(row[at] + first)
-                yield pa.RecordBatch.from_arrays([d.take(of), th.take(of), pa.array(line[at].astype(np.int32)), pa.array(lines[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array([data[x:y].tobytes() for x, y in zip(a[at], e[at], strict=True)], pa.binary())], ["d", "th", "line", "lines", "h", "bytes"])
+                yield pa.RecordBatch.from_arrays([d.take(of), th.take(of), pa.array(line[at].astype(np.int32)), pa.array(lines[at].astype(np.int32)), *digests(data, a[at], e[at])], ["d", "th", "line", "lines", "g1", "g2"])
 
-    found = C.materialize(_with_key(docs, key, text).mapInArrow(occurrences, "d long, th long, line int, lines int, h long, bytes binary"), "line-chunks")
-    owner = found.groupBy("h", "bytes").agg(F.min(F.struct("d", "line", "th")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "bytes", "owner")
+    found = C.materialize(_with_key(docs, key, text).mapInArrow(occurrences, "d long, th long, line int, lines int, g1 long, g2 long"), "line-chunks")
+    owner = found.groupBy("g1", "g2").agg(F.min(F.struct("d", "line", "th")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("g1", "g2", "owner")
     owner = C.materialize(owner, "line-owners")  # apart from the join, so that Spark can split what is skewed there
-    out = found.join(owner, ["h", "bytes"]).where(F.struct("d", "line", "th") != F.col("owner")).select("d", "th", "line", "lines")
-    out = C.materialize(out, "line-repeats")  # places only, so that the texts of runs need not stay
+    out = found.join(owner, ["g1", "g2"]).where(F.struct("d", "line", "th") != F.col("owner")).select("d", "th", "line", "lines")
+    out = C.materialize(out, "line-repeats")  # places only
     C.discard(again, found, owner)
     return out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated runs taken out of text, and n_lines and n_removed added as __n_lines, __n_removed."""
-    gone = repeated_chunks(docs, key, text).distinct().groupBy("d", "th").agg(F.collect_list(F.struct("line", "lines")).alias("__gone"))
+    gone = repeated_chunks(docs, key, text).groupBy("d", "th").agg(F.collect_set(F.struct("line", "lines")).alias("__gone"))
     keyed = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(text))
     joined = keyed.join(gone.withColumnRenamed("d", "__d").withColumnRenamed("th", "__th"), ["__d", "__th"], "left")
     lines = F.split(F.col(text), "\n", -1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.sets import dealt
-from tidewater.sources.scratch import materialize
+from tidewater.sources.scratch import discard, materialize
 
 
 def follow_edges(rows: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down.hint("merge"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "cc")
+        last, edges = edges, materialize(small, "cc")
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if state[:3] == before and state[0] == state[3]:
             break
