@@ -132,3 +132,25 @@ def test_no_table_goes_through_the_driver(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.count() == 40 and any("SortMergeJoin" in p for p in plans)
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_rows_that_meet_blocks_grow_with_the_table(monkeypatch, spark):
+    """Vectors that no pivot parts visit a fixed number of blocks, and neighbours are searched for there once."""
+    sent = []
+    of = D.Blocks.meet
+
+    def counted(self, queries, base, partners, *rest):
+        sent.append(sum(self.parts[q] for q in range(len(self.parts))))
+        return of(self, queries, base, partners, *rest)
+
+    monkeypatch.setattr(D.Blocks, "meet", counted)
+    monkeypatch.setattr(D, "SMALLEST_BLOCK", 8)
+    for n in (400, 1600):
+        x = np.random.default_rng(n).normal(size=(n, 24))
+        nodes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, x array<double>, copies long")
+        near = D.neighbour_lists(D.Blocks(nodes, n, 24, None), 5).collect()
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        assert sorted((r["id"], r["b"]) for r in near) == sorted((i, int(j)) for i in range(n) for j in np.argsort(d[i])[:5])
+        assert all(r["d"] == d[r["id"], r["b"]] or abs(r["d"] - d[r["id"], r["b"]]) < 1e-12 for r in near)
+    assert max(sent) <= 4 * D.BLOCKS, sent

@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from tidewater.operators.graph import connected_components
 from tidewater.sources.scratch import materialize
 
-PIVOTS, BLOCK, ROWS_AT_A_TIME = 1024, 8192, 256
+PIVOTS, CELLS_AT_A_TIME = 1024, 1 << 21
+#: Blocks are as many whatever the number of rows, so that what meets them grows with the rows alone, up to the
+#: largest block; the rows that visit a block are dealt over SLICES tasks.
+BLOCKS, SMALLEST_BLOCK, LARGEST_BLOCK, SLICES = 12, 1024, 65536, 2
 #: Shorter distances count as this, so that copies have a finite density.
 LEAST = 1e-10
 
@@ -40,8 +43,9 @@ LEAST = 1e-10
 class Blocks:
     """The pivots, and how far their vectors reach."""
 
-    def __init__(self, nodes: DataFrame, n: int, dim: int, block: int) -> None:
+    def __init__(self, nodes: DataFrame, n: int, dim: int, block: int | None) -> None:
         self.dim = dim
+        block = block or min(LARGEST_BLOCK, max(SMALLEST_BLOCK, -(-n // BLOCKS)))
         count = min(PIVOTS, max(1, -(-n // block)))
         rows = nodes.orderBy(F.xxhash64("id"), "id").limit(count).select("x").collect()
         self.pivots = np.array([r["x"] for r in rows], float).reshape(-1, dim)
@@ -83,31 +87,34 @@ class Blocks:
         parts = self.parts
         visits = F.array(*[F.array(*[F.struct(F.lit(q).alias("p"), F.lit(k).alias("k")) for q in qs for k in range(parts[q])]) if qs else F.array().cast("array<struct<p:int,k:int>>") for qs in partners])
         columns = ["id", "x", "comp", "core", "copies", "limit"]
-        visiting = queries.select(*columns, F.explode(F.element_at(visits, F.col("pivot") + 1)).alias("to")).select(F.col("to.p").alias("p"), F.col("to.k").alias("k"), F.lit(1).alias("kind"), *columns)
+        visiting = queries.select(*columns, F.explode(F.element_at(visits, F.col("pivot") + 1)).alias("to")).select(F.col("to.p").alias("p"), F.col("to.k").alias("k"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SLICES)).cast("int").alias("s"), F.lit(1).alias("kind"), *columns)
         visited = sorted({q for qs in partners for q in qs})
-        standing = base.where(F.col("pivot").isin(visited)).select(F.col("pivot").alias("p"), F.col("part").alias("k"), F.lit(0).alias("kind"), *columns)
-        rows = standing.union(visiting).repartition("p", "k").sortWithinPartitions("p", "k", "kind")
+        standing = base.where(F.col("pivot").isin(visited)).select(F.col("pivot").alias("p"), F.col("part").alias("k"), F.explode(F.array(*[F.lit(i) for i in range(SLICES)])).alias("s"), F.lit(0).alias("kind"), *columns)
+        tasks = min(1000, max(1, 2 * SLICES * sum(parts[q] for q in visited)))
+        rows = standing.union(visiting).repartition(tasks, "p", "k", "s").sortWithinPartitions("p", "k", "s", "kind")
         dim = self.dim
 
         def run(batches):
-            key, held, block = None, [], None
+            key, held, block, beside = None, [], None, None
             for b in batches:
-                p, k, kind = (b.column(i).to_numpy() for i in range(3))
-                cuts = [0, *(np.flatnonzero((np.diff(p) != 0) | (np.diff(k) != 0) | (np.diff(kind) != 0)) + 1), len(p)]
+                p, k, s, kind = (b.column(i).to_numpy() for i in range(4))
+                cuts = [0, *(np.flatnonzero((np.diff(p) != 0) | (np.diff(k) != 0) | (np.diff(s) != 0) | (np.diff(kind) != 0)) + 1), len(p)]
                 for a, e in zip(cuts[:-1], cuts[1:], strict=True):
                     if a == e:
                         continue
-                    if (p[a], k[a]) != key:
-                        key, held, block = (p[a], k[a]), [], None
-                    part = [b.column(i).slice(a, e - a) for i in range(3, 9)]
+                    if (p[a], k[a], s[a]) != key:
+                        key, held, block = (p[a], k[a], s[a]), [], None
+                    part = [b.column(i).slice(a, e - a) for i in range(4, 10)]
                     mine = (part[0].to_numpy(), matrix(part[1], dim), *(c.to_numpy(zero_copy_only=False) for c in part[2:]))
                     if kind[a] == 0:
                         held.append(mine)
                     elif held:
                         if block is None:
                             block = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                        for at in range(0, e - a, ROWS_AT_A_TIME):
-                            found = task(block, tuple(c[at : at + ROWS_AT_A_TIME] for c in mine))
+                            held, beside = [()], widened(block[1])
+                        step = max(16, CELLS_AT_A_TIME // len(block[0]))
+                        for at in range(0, e - a, step):
+                            found = task(block, tuple(c[at : at + step] for c in mine), beside)
                             if len(found[0]):
                                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
 
@@ -129,19 +136,45 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
+def widened(b: np.ndarray) -> tuple[np.ndarray, float]:
+    """b as the right side of one product that gives squared distances, and its largest squared length."""
+    long = (b**2).sum(axis=1)
+    return np.ascontiguousarray(np.column_stack([b, long, np.ones(len(b))]).T), float(long.max())
+
+
+def rough_squares(a: np.ndarray, beside: tuple[np.ndarray, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one product, and for each row of a more than they can be off."""
+    long = (a**2).sum(axis=1)
+    return np.column_stack([-2 * a, np.ones(len(a)), long]) @ beside[0], 1e-11 * (long + beside[1]) + 1e-300
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of a and b side by side, by differences: the same from both sides and in every block."""
+    d = np.empty(len(a))
+    for at in range(0, len(a), 100_000):
+        d[at : at + 100_000] = np.sqrt(((a[at : at + 100_000] - b[at : at + 100_000]) ** 2).sum(axis=1))
+    return d
+
+
 def _nearest_task(k: int):
-    def task(block, mine):
-        """The k nearest other vectors of the block under each query's limit."""
-        d = np.sqrt(squares(mine[1], block[1]))
-        d[mine[0][:, None] == block[0][None]] = np.inf
-        d[d > mine[5][:, None]] = np.inf
-        k_ = min(k, d.shape[1])
-        at = np.argpartition(d, k_ - 1, axis=1)[:, :k_]
-        rows = np.repeat(np.arange(len(d)), k_)
-        at = at.ravel()
-        ok = np.isfinite(d[rows, at])
-        rows, at = rows[ok], at[ok]
-        return mine[0][rows], block[0][at], d[rows, at], block[4][at]
+    def task(block, mine, beside):
+        """The k nearest other vectors of the block under each query's limit, of equal distances those of least ids."""
+        d, off = rough_squares(mine[1], beside)
+        most = mine[5] ** 2
+        wide = np.flatnonzero(np.isinf(most))
+        if len(wide) and d.shape[1] > k + 1:  # one more, since a query may be in the block
+            most[wide] = np.partition(d[wide], k, axis=1)[:, k]
+        rows, at = np.nonzero(d <= (most * (1 + 1e-11) + 2 * off)[:, None])
+        other = mine[0][rows] != block[0][at]
+        rows, at = rows[other], at[other]
+        d = distances(mine[1][rows], block[1][at])
+        near = d <= mine[5][rows]
+        rows, at, d = rows[near], at[near], d[near]
+        order = np.lexsort((block[0][at], d, rows))
+        rows, at, d = rows[order], at[order], d[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, at, d = rows[first], at[first], d[first]
+        return mine[0][rows], block[0][at], d, block[4][at]
 
     return task
 
@@ -161,22 +194,20 @@ def neighbour_lists(blocks: Blocks, k: int) -> DataFrame:
     return materialize(rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"), "neighbours")
 
 
-def _way_out(block, mine):
+def _way_out(block, mine, beside):
     """The least (weight, ends) from each query to another component, within its limit."""
-    w = np.sqrt(squares(mine[1], block[1]))
-    w = np.maximum(np.maximum(w, mine[3][:, None]), block[3][None])
+    w, off = rough_squares(mine[1], beside)
+    np.maximum(w, (block[3] ** 2)[None], out=w)
     w[mine[2][:, None] == block[2][None]] = np.inf
-    least = w.min(axis=1)
-    some = np.flatnonzero(np.isfinite(least) & (least <= mine[5]))
-    out = []
-    for i in some:
-        at = np.flatnonzero(w[i] == least[i])
-        a, b = mine[0][i], block[0][at]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        j = np.lexsort((hi, lo))[0]
-        out.append((mine[2][i], float(least[i]), lo[j], hi[j], block[2][at[j]]))
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+    most = np.minimum(np.maximum(w.min(axis=1), mine[3] ** 2), mine[5] ** 2)
+    rows, at = np.nonzero(w <= np.where(np.isfinite(most), most * (1 + 1e-11) + 2 * off, -1.0)[:, None])
+    w = np.maximum(np.maximum(distances(mine[1][rows], block[1][at]), mine[3][rows]), block[3][at])
+    a, b = mine[0][rows], block[0][at]
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((hi, lo, w, rows))
+    order = order[np.concatenate([[True], np.diff(rows[order]) != 0])] if len(order) else order
+    order = order[w[order] <= mine[5][rows[order]]]
+    return [pa.array(c[order]) for c in (mine[2][rows], w, lo, hi, block[2][at])]
 
 
 def united(ways: DataFrame) -> DataFrame:
@@ -331,7 +362,7 @@ def density_of(w: float) -> float:
     return 1 / max(w, LEAST)
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, min_samples: int = 5, min_cluster_size: int = 15, neighbours: int | None = None, block: int = BLOCK) -> DataFrame:
+def density_clusters(df: DataFrame, key: str, vector: str, min_samples: int = 5, min_cluster_size: int = 15, neighbours: int | None = None, block: int | None = None) -> DataFrame:
     """key, cluster, w: the cluster of each row (from 0, in order of their smallest nodes; -1 for outliers) and the
     weight at which the row's group reaches ``min_cluster_size`` (null if never)."""
     k = max(neighbours or 2 * min_samples, min_samples)
